@@ -92,15 +92,17 @@ def attach(
     table: DataFrame,
     how: str = "inner",
     rows: int | None = None,
+    slot: Column | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a table with one row per image to the pixels.
 
     ``rows`` is a proven upper bound of the table (for example a catalogue
     count); below BROADCAST_ROWS the table is broadcast. Otherwise it is a
-    shuffled equi join on (image_id, slot): scan lines of one image are dealt
-    over ``salts`` slots and the table row is copied to each, so an image that
-    holds a large share of all pixels does not land in one task.
+    shuffled equi join on (image_id, slot): the rows of one image are dealt over
+    ``salts`` slots (by scan line unless ``slot`` gives another number) and the
+    table row is copied to each, so an image that holds a large share of all
+    pixels does not land in one task.
     """
     if rows is not None and rows <= BROADCAST_ROWS:
         return pixels.join(F.broadcast(table), "image_id", how)
@@ -108,7 +110,9 @@ def attach(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     return (
-        pixels.withColumn("_slot", F.pmod(F.col("y"), F.lit(salts)).cast("int"))
+        pixels.withColumn(
+            "_slot", F.pmod(F.col("y") if slot is None else slot, F.lit(salts)).cast("int")
+        )
         .join(slotted, ["image_id", "_slot"], how)
         .drop("_slot")
     )

@@ -206,10 +206,9 @@ def map_to_palette(
     if pens <= DIRECT_PENS:
         return attach(df, arrays, rows=rows).withColumn("pen", _nearest_pen()).drop("pal")
     shades = df.select("image_id", *COLORS, F.pmod("y", F.lit(SALTS)).cast("int").alias("_slot"))
+    distinct = shades.groupBy("image_id", *COLORS).agg(F.collect_set("_slot").alias("_slots"))
     matched = (
-        shades.groupBy("image_id", *COLORS)
-        .agg(F.collect_set("_slot").alias("_slots"))
-        .join(arrays, "image_id")
+        attach(distinct, arrays, rows=rows, slot=packed_rgb())
         .select("image_id", packed_rgb().alias("_rgb"), "_slots", _nearest_pen().alias("pen"))
         .select("image_id", "_rgb", "pen", F.explode("_slots").alias("_slot"))
     )

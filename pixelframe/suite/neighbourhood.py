@@ -92,7 +92,7 @@ def _(spark, d):
 
 
 @query("hist_eq_local", sql_then(GRAY_SQL, """
-taps AS (SELECT i AS dy, j AS dx FROM (SELECT unnest(range(-4, 5)) AS i) CROSS JOIN (SELECT unnest(range(-4, 5)) AS j))""", """
+taps AS (SELECT i AS dy, j AS dx FROM (SELECT unnest(range(-2, 3)) AS i) CROSS JOIN (SELECT unnest(range(-2, 3)) AS j))""", """
 SELECT p.image_id, p.y, p.x, CAST(255 * count(*) FILTER (q.r <= p.r) // count(*) AS INTEGER) AS r,
        CAST(255 * count(*) FILTER (q.g <= p.g) // count(*) AS INTEGER) AS g,
        CAST(255 * count(*) FILTER (q.b <= p.b) // count(*) AS INTEGER) AS b
@@ -100,7 +100,7 @@ FROM px p CROSS JOIN taps t
 JOIN px q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx
 GROUP BY p.image_id, p.y, p.x"""))
 def _(spark, d):
-    return shown(stencil.hist_eq_local(gray(spark, d), 4))
+    return shown(stencil.hist_eq_local(gray(spark, d), 2))
 
 
 @query("remove_isolated", sql_then(GRAY_SQL, LINES_CUT_SQL + """,
