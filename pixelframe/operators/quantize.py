@@ -366,6 +366,13 @@ def dither_floyd_steinberg_gray(
     return _error_diffusion(df, palettes, "r", rows)
 
 
+def expand_indexed(indexed: DataFrame, palettes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Pens back to colours, through the palette array of each image."""
+    joined = attach(indexed, palette_arrays(palettes), rows=rows)
+    entry = F.get("pal", F.col("pen"))
+    return joined.withColumns({c: entry[c] for c in COLORS}).drop("pal")
+
+
 PALETTE_METHODS = {"popularity": palette_popularity, "median_cut": palette_median_cut}
 
 

@@ -126,6 +126,16 @@ def in_region_table(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     )
 
 
+def pick_pixels(pixels: DataFrame, points: DataFrame) -> DataFrame:
+    """Pixels at (image_id, y, x), each once.
+
+    Repeated requests are merged before the join, so a point asked for very
+    often is no hot key; points outside their image have no row.
+    """
+    wanted = points.select("image_id", "y", "x").distinct()
+    return pixels.join(wanted, ["image_id", "y", "x"], "left_semi")
+
+
 def rescale(regions: DataFrame, dst_width, dst_height) -> DataFrame:
     """Carry boxes from an image of width x height to another size."""
     scaled = {}

@@ -197,9 +197,19 @@ def extract(
     ends the name. A wrong key yields no cookie and so no rows.
     """
     stream = read_bytes(df, passphrase, channels, rows)
-    ends = stream.where("pos >= 3 AND byte = 0").groupBy("image_id").agg(F.min("pos").alias("stop"))
+    at = lambda pos: F.max(F.when(F.col("pos") == pos, F.col("byte")))
     first, second = (int(COOKIE[i : i + 2], 16) for i in (0, 2))
-    placed = attach(stream, ends, rows=rows, slot=F.col("pos"))
+    ends = (
+        stream.where("pos < 2 OR (pos >= 3 AND byte = 0)")
+        .groupBy("image_id")
+        .agg(
+            at(0).alias("c0"),
+            at(1).alias("c1"),
+            F.min(F.when(F.col("pos") >= 3, F.col("pos"))).alias("stop"),
+        )
+        .where((F.col("c0") == first) & (F.col("c1") == second))
+        .select("image_id", "stop")
+    )
     size = F.when(
         F.col("pos").between(F.col("stop") + 1, F.col("stop") + 4),
         F.col("byte") * F.pow(F.lit(256), F.col("stop") + 4 - F.col("pos")).cast("bigint"),
@@ -208,18 +218,16 @@ def extract(
         (F.col("pos") >= 3) & (F.col("pos") < F.col("stop")),
         F.struct("pos", F.lpad(F.hex("byte"), 2, "0").alias("h")),
     )
-    # only header bytes are collected: the name ends before a payload starts
+    # only the file name of a marked frame is collected
     header = (
-        placed.where(F.col("pos") <= F.col("stop") + 4)
+        attach(stream, ends, rows=rows, slot=F.col("pos"))
+        .where(F.col("pos") <= F.col("stop") + 4)
         .groupBy("image_id")
         .agg(
-            F.max(F.when(F.col("pos") == 0, F.col("byte"))).alias("c0"),
-            F.max(F.when(F.col("pos") == 1, F.col("byte"))).alias("c1"),
             F.max("stop").alias("stop"),
             F.sum(size).alias("length"),
             F.sort_array(F.collect_list(letter)).alias("letters"),
         )
-        .where((F.col("c0") == first) & (F.col("c1") == second))
         .select(
             "image_id",
             "stop",
