@@ -334,15 +334,19 @@ def _inside(sx: Column, sy: Column) -> Column:
     )
 
 
-def _rotated_candidates(df: DataFrame, turn: Rotation, around: int) -> DataFrame:
-    """Each pixel with the destination cells that may read it, and their source."""
+def _rotated_candidates(df: DataFrame, turn: Rotation) -> DataFrame:
+    """Each pixel with the destination cells that may read it, and their source.
+
+    A reading cell has its source less than 1 away on each axis, so it lies less
+    than 1.42 from the pixel's own image: one cell around the rounded position.
+    """
     new_w, new_h = turn.size()
     sized = df.withColumns({"_nw": new_w, "_nh": new_h})
     old = turn.centre(F.col("width"), F.col("height"))
     new = turn.centre(F.col("_nw"), F.col("_nh"))
     fx, fy = turn.forward(F.col("x"), F.col("y"), old, new)
     at = sized.withColumns({"_fx": F.floor(fx + 0.5).cast("int"), "_fy": F.floor(fy + 0.5).cast("int")})
-    window = F.lit(list(range(-around, around + 1)))
+    window = F.lit([-1, 0, 1])
     cells = (
         at.withColumn("_j", F.explode(window))
         .withColumn("_dy", F.col("_fy") + F.col("_j"))
@@ -380,7 +384,7 @@ def rotate_nn(df: DataFrame, angle: int) -> DataFrame:
     image, so nine candidate cells per pixel are enough and nothing is shuffled.
     """
     turn = Rotation(angle)
-    cells = _rotated_candidates(df, turn, 1).where(
+    cells = _rotated_candidates(df, turn).where(
         (F.floor(F.col("_sx") + 0.5) == F.col("x")) & (F.floor(F.col("_sy") + 0.5) == F.col("y"))
     )
     placed = _moved(
@@ -389,15 +393,9 @@ def rotate_nn(df: DataFrame, angle: int) -> DataFrame:
     return placed.unionByName(_rotated_blank(df, turn))
 
 
-def _tap(at: Column, pixel: Column, last: Column) -> Column:
-    """Weight in 1/256 that position ``at`` gives to ``pixel``; edges repeat."""
-    base = F.floor(at)
-    part = F.floor((at - base) * 256).cast("int")
-    near = F.greatest(F.lit(0), F.least(last, base))
-    far = F.greatest(F.lit(0), F.least(last, base + 1))
-    return F.when(near == pixel, 256 - part).otherwise(0) + F.when(
-        far == pixel, part
-    ).otherwise(0)
+def _tap(at: str, pixel: str) -> Column:
+    """Weight in 1/256 of a pixel for a position given in 1/256 steps."""
+    return F.greatest(F.lit(0), 256 - F.abs(F.col(at) - F.col(pixel) * 256))
 
 
 def rotate_bilinear(df: DataFrame, angle: int) -> DataFrame:
@@ -406,12 +404,16 @@ def rotate_bilinear(df: DataFrame, angle: int) -> DataFrame:
     Integer weights make the sums independent of their order. One aggregation.
     """
     turn = Rotation(angle)
-    cells = _rotated_candidates(df, turn, 2).withColumn(
-        "_k",
-        _tap(F.col("_sx"), F.col("x"), F.col("width") - 1)
-        * _tap(F.col("_sy"), F.col("y"), F.col("height") - 1),
+    # positions left of pixel 0 read pixel 0 alone
+    steps = {
+        c: F.greatest(F.lit(0), F.floor(F.col(c) * 256).cast("int")) for c in ("_sx", "_sy")
+    }
+    cells = (
+        _rotated_candidates(df, turn)
+        .withColumns(steps)
+        .withColumn("_k", _tap("_sx", "x") * _tap("_sy", "y"))
     )
-    return _weighted(cells.where(F.col("_k") > 0)).unionByName(_rotated_blank(df, turn))
+    return _weighted(cells.where("_k > 0")).unionByName(_rotated_blank(df, turn))
 
 
 def _weighted(cells: DataFrame) -> DataFrame:

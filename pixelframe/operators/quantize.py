@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..layout import COLORS, SALTS, attach, packed_rgb, require
@@ -179,17 +180,45 @@ def palette_arrays(palettes: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_pen():
-    """Index of the nearest entry of ``pal``; the lowest pen wins ties."""
+def palette_bytes(palettes: DataFrame) -> DataFrame:
+    """One row per image: ``pal``, three bytes per pen (768 bytes at most).
 
-    def score(p):
-        total = F.lit(0)
-        for c in COLORS:
-            d = F.col(c) - p[c]
-            total = total + d * d
-        return total * 1024 + p["pen"]
+    Pens are numbered from 0 without gaps.
+    """
+    code = lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in COLORS])
+    text = F.array_join(F.transform("pal", code), "")
+    return palette_arrays(palettes).select("image_id", F.unhex(text).alias("pal"))
+
+
+def nearest_pens(rgb: np.ndarray, choice: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Nearest pen of each colour in its palette (tables[choice]); the first wins ties."""
+    out = np.empty(len(rgb), dtype=np.int32)
+    step = max(1, 1_000_000 // tables.shape[1])
+    for i in range(0, len(rgb), step):
+        gap = rgb[i : i + step, None, :] - tables[choice[i : i + step]]
+        out[i : i + step] = np.einsum("npc,npc->np", gap, gap).argmin(axis=1)
+    return out
 
-    return F.array_min(F.transform("pal", score)).bitwiseAND(F.lit(1023)).cast("int")
+
+def _nearest_pen():
+    """Column: index of the entry of ``pal`` nearest to (r, g, b), in Arrow batches."""
+
+    @F.arrow_udf("int")
+    def match(r: pa.Array, g: pa.Array, b: pa.Array, pal: pa.Array) -> pa.Array:
+        coded = pal.dictionary_encode()
+        found = [
+            np.frombuffer(p, dtype=np.uint8).reshape(-1, 3) for p in coded.dictionary.to_pylist()
+        ]
+        if not found:
+            return pa.array([], pa.int32())
+        most = max(map(len, found))
+        # a shorter palette repeats its last pen, which never wins over the original
+        tables = np.stack([np.pad(p, ((0, most - len(p)), (0, 0)), mode="edge") for p in found])
+        rgb = np.stack([c.to_numpy(zero_copy_only=False) for c in (r, g, b)], axis=1)
+        choice = coded.indices.to_numpy()
+        return pa.array(nearest_pens(rgb.astype(np.int32), choice, tables.astype(np.int32)))
+
+    return match("r", "g", "b", "pal")
 
 
 def map_to_palette(
@@ -197,12 +226,12 @@ def map_to_palette(
 ) -> DataFrame:
     """Add ``pen``: the palette entry nearest in squared RGB distance.
 
-    The palette travels as an array, so matching is a projection and no pairs
+    The palette travels as a few bytes, so matching is a projection and no pairs
     of rows are formed. With many pens the distinct colours are matched first
     and joined back; that join is dealt over slots, because one background
     colour may fill most of an image.
     """
-    arrays = palette_arrays(palettes)
+    arrays = palette_bytes(palettes)
     if pens <= DIRECT_PENS:
         return attach(df, arrays, rows=rows).withColumn("pen", _nearest_pen()).drop("pal")
     shades = df.select("image_id", *COLORS, F.pmod("y", F.lit(SALTS)).cast("int").alias("_slot"))

@@ -21,6 +21,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan with fewer splits than cores over all cores.
+
+    For tables about to be expanded into many more rows. A large table has
+    plenty of splits and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def missing_keys(df: DataFrame, key: str, block: int) -> DataFrame:
     """Keys that complete the last block of a dense key: fewer than ``block``."""
     last = df.agg(F.max(key).alias("last"))
@@ -60,10 +70,14 @@ def gray_from_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rgb_from_orders(
-    spark: SparkSession, folder: str, alpha: bool = False
+    spark: SparkSession, folder: str, alpha: bool = False, wide: bool = False
 ) -> DataFrame:
     """An order is a pixel; 1024 consecutive order keys make a 32 x 32 image."""
-    table = read_table(spark, folder, "orders")
+    table = read_table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice"
+    )
+    if wide:
+        table = widen(table, "o_orderkey")
     key = F.col("o_orderkey")
     real = table.select(
         key.alias("k"),
@@ -179,7 +193,7 @@ def bytes_from_documents(
     spark: SparkSession, folder: str, width: int = BYTE_WIDTH
 ) -> DataFrame:
     """Byte plot: the UTF-8 bytes of a document, ``width`` to a scan line."""
-    table = read_table(spark, folder, "documents")
+    table = widen(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return byte_plot(table, "doc_id", "text", width)
 
 

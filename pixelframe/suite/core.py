@@ -56,6 +56,15 @@ def rgb_images(spark: SparkSession, folder: str) -> int:
     return tables.image_bound(spark, folder, "orders", tables.RGB_CELLS)
 
 
+def wide_rgb(spark: SparkSession, folder: str) -> DataFrame:
+    """For operators that make many rows of one pixel."""
+    return tables.rgb_from_orders(spark, folder, wide=True)
+
+
+def plot_images(spark: SparkSession, folder: str) -> int:
+    return tables.image_bound(spark, folder, "documents", 1)
+
+
 def gray_images(spark: SparkSession, folder: str) -> int:
     return tables.image_bound(spark, folder, "embeddings", tables.GRAY_SIDE)
 

@@ -6,7 +6,7 @@ from ..functions import tone
 from ..functions.kernels import LIBRARY, PRESETS, Kernel, preset
 from ..operators import stencil
 from .core import (
-    ARGB_SQL, GRAY_SQL, RGB_SQL, argb, gray, query, rgb, shown, sql_then,
+    ARGB_SQL, GRAY_SQL, RGB_SQL, argb, gray, query, rgb, shown, sql_then, wide_rgb,
 )
 from .geometry import LINES_CUT_SQL
 from .points import BOX_SQL, box
@@ -53,13 +53,13 @@ LIBRARY_KERNELS = [Kernel.of(*e) for e in LIBRARY]
 
 @query("convolve_presets", convolve_sql(RGB_SQL, PRESET_KERNELS, keep="kernel, "))
 def _(spark, d):
-    out = stencil.convolve_each(rgb(spark, d), PRESET_KERNELS)
+    out = stencil.convolve_each(wide_rgb(spark, d), PRESET_KERNELS)
     return out.select("kernel", "image_id", "y", "x", "r", "g", "b")
 
 
 @query("convolve_library", convolve_sql(RGB_SQL, LIBRARY_KERNELS, keep="kernel, "))
 def _(spark, d):
-    out = stencil.convolve_each(rgb(spark, d), LIBRARY_KERNELS)
+    out = stencil.convolve_each(wide_rgb(spark, d), LIBRARY_KERNELS)
     return out.select("kernel", "image_id", "y", "x", "r", "g", "b")
 
 
