@@ -120,16 +120,23 @@ def equalisation_curve(hist: DataFrame) -> DataFrame:
 
 
 def curve_arrays(curve: DataFrame) -> DataFrame:
-    """One row per image with a 256-entry array per channel (absent values 0)."""
-    entries = curve.groupBy("image_id", "channel").agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "mapped"))).alias("m")
-    )
-    table = F.transform(
-        F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.element_at("m", v), F.lit(0))
-    )
-    tabled = entries.select("image_id", "channel", table.alias("lut"))
-    pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("lut")))
-    return tabled.groupBy("image_id").agg(*[pick(c).alias(f"lut_{c}") for c in COLORS])
+    """One row per image with a 256-entry array per channel.
+
+    A value that does not occur maps as the nearest lower one (0 before the
+    first): each row is repeated up to the next value and the runs are joined.
+    """
+    order = Window.partitionBy("image_id", "channel").orderBy("value")
+    run = F.array_repeat(F.col("mapped"), F.lead("value", 1, 256).over(order) - F.col("value"))
+    lead_in = F.array_repeat(
+        F.lit(0), F.when(F.lag("value").over(order).isNull(), F.col("value")).otherwise(0)
+    )
+    runs = curve.select("image_id", "channel", "value", F.concat(lead_in, run).alias("run"))
+    pick = lambda c: F.flatten(
+        F.sort_array(
+            F.collect_list(F.when(F.col("channel") == c, F.struct("value", "run")))
+        )["run"]
+    )
+    return runs.groupBy("image_id").agg(*[pick(c).alias(f"lut_{c}") for c in COLORS])
 
 
 def lut_apply_per_image(
