@@ -104,8 +104,9 @@ def attach(
     table row is copied to each, so an image that holds a large share of all
     pixels does not land in one task.
     """
+    columns = pixels.columns + [c for c in table.columns if c != "image_id"]
     if rows is not None and rows <= BROADCAST_ROWS:
-        return pixels.join(F.broadcast(table), "image_id", how)
+        return pixels.join(F.broadcast(table), "image_id", how).select(*columns)
     slotted = table.withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
@@ -114,7 +115,7 @@ def attach(
             "_slot", F.pmod(F.col("y") if slot is None else slot, F.lit(salts)).cast("int")
         )
         .join(slotted, ["image_id", "_slot"], how)
-        .drop("_slot")
+        .select(*columns)
     )
 
 

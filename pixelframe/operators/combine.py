@@ -92,7 +92,7 @@ def composite(
     A source with alpha is blended over the destination after the method.
     """
     joined = destination.join(placed, ["image_id", "y", "x"], "left")
-    return _combined(joined, method, ratio)
+    return _combined(joined, method, ratio).select(*destination.columns)
 
 
 def _combined(joined: DataFrame, method: str, ratio: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _combined(joined: DataFrame, method: str, ratio: int) -> DataFrame:
         mixed = F.shiftright((255 - F.col("s_a")) * value + F.col("s_a") * F.col(c), 8)
         value = F.when(F.col("s_a").isNull(), value).otherwise(mixed)
         new[c] = F.when(F.col("s_r").isNull(), F.col(c)).otherwise(value).cast("int")
-    return joined.withColumns(new).drop("s_a", "s_r", "s_g", "s_b")
+    return joined.withColumns(new)
 
 
 def tile(
@@ -179,7 +179,7 @@ def add_alpha(
     return (
         destination.join(new, ["image_id", "y", "x"], "left")
         .withColumn("a", F.coalesce("_alpha", "a"))
-        .drop("_alpha")
+        .select(*destination.columns)
     )
 
 
@@ -206,10 +206,10 @@ def stamp_mask(
         slots = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         slotted = marks.withColumn("_slot", slots)
         slot = F.pmod(F.col("image_id"), F.lit(SALTS)).cast("int")
-        joined = df.withColumn("_slot", slot).join(slotted, ["y", "x", "_slot"], "left").drop("_slot")
+        joined = df.withColumn("_slot", slot).join(slotted, ["y", "x", "_slot"], "left")
     return joined.withColumns(
         {
             c: F.when(F.col("_ink"), F.lit(v)).otherwise(F.col(c))
             for c, v in zip(COLORS, color)
         }
-    ).drop("_ink")
+    ).select(*df.columns)

@@ -244,7 +244,7 @@ def map_to_palette(
     keyed = df.withColumns(
         {"_rgb": packed_rgb(), "_slot": F.pmod("y", F.lit(SALTS)).cast("int")}
     )
-    return keyed.join(matched, ["image_id", "_rgb", "_slot"]).drop("_rgb", "_slot")
+    return keyed.join(matched, ["image_id", "_rgb", "_slot"]).select(*df.columns, "pen")
 
 
 def map_gray_to_palette(

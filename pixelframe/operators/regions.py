@@ -122,7 +122,7 @@ def in_region_table(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return (
         pixels.join(marks, ["image_id", "y", "x"], "left")
         .withColumn("selected", F.coalesce(F.col("_hit"), F.lit(False)))
-        .drop("_hit")
+        .select(*pixels.columns, "selected")
     )
 
 
@@ -133,7 +133,7 @@ def pick_pixels(pixels: DataFrame, points: DataFrame) -> DataFrame:
     often is no hot key; points outside their image have no row.
     """
     wanted = points.select("image_id", "y", "x").distinct()
-    return pixels.join(wanted, ["image_id", "y", "x"], "left_semi")
+    return pixels.join(wanted, ["image_id", "y", "x"], "left_semi").select(*pixels.columns)
 
 
 def rescale(regions: DataFrame, dst_width, dst_height) -> DataFrame:

@@ -163,7 +163,7 @@ def embed(
     }
     if channels == "gray":
         new["g"] = new["b"] = new["r"]
-    return joined.withColumns(new).drop(*[f"_m{c}" for c in names])
+    return joined.withColumns(new).select(*df.columns)
 
 
 def read_bytes(
