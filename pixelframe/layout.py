@@ -94,19 +94,20 @@ def attach(
     rows: int | None = None,
     slot: Column | None = None,
     salts: int = SALTS,
+    key: str = "image_id",
 ) -> DataFrame:
-    """Join a table with one row per image to the pixels.
+    """Join a table with one row per image (or other ``key``) to the pixels.
 
     ``rows`` is a proven upper bound of the table (for example a catalogue
     count); below BROADCAST_ROWS the table is broadcast. Otherwise it is a
-    shuffled equi join on (image_id, slot): the rows of one image are dealt over
+    shuffled equi join on (key, slot): the rows of one image are dealt over
     ``salts`` slots (by scan line unless ``slot`` gives another number) and the
     table row is copied to each, so an image that holds a large share of all
     pixels does not land in one task.
     """
-    columns = pixels.columns + [c for c in table.columns if c != "image_id"]
+    columns = pixels.columns + [c for c in table.columns if c != key]
     if rows is not None and rows <= BROADCAST_ROWS:
-        return pixels.join(F.broadcast(table), "image_id", how).select(*columns)
+        return pixels.join(F.broadcast(table), key, how).select(*columns)
     slotted = table.withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
@@ -114,7 +115,7 @@ def attach(
         pixels.withColumn(
             "_slot", F.pmod(F.col("y") if slot is None else slot, F.lit(salts)).cast("int")
         )
-        .join(slotted, ["image_id", "_slot"], how)
+        .join(slotted, [key, "_slot"], how)
         .select(*columns)
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import idiv, require
+from ..layout import SALTS, idiv, require
 
 # Bit of each colour space in an accepts-mask.
 COLORSPACE_BITS = {"GRAY": 1, "RGB": 2, "LUT": 4, "ARGB": 8}
@@ -71,8 +71,13 @@ def rename_frame(images: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def delete_frame(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Drop frames (from the catalogue or from the pixel table)."""
-    return df.join(ids.select("image_id"), "image_id", "left_anti")
+    """Drop frames from the catalogue, or from the pixel table by line slots."""
+    doomed = ids.select("image_id").distinct()
+    if "y" not in df.columns:
+        return df.join(doomed, "image_id", "left_anti")
+    slotted = doomed.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = df.withColumn("_slot", F.pmod(F.col("y"), F.lit(SALTS)).cast("int"))
+    return kept.join(slotted, ["image_id", "_slot"], "left_anti").select(*df.columns)
 
 
 def find_frame(images: DataFrame, name: str) -> DataFrame:

@@ -54,33 +54,64 @@ def _blend(method: str, ratio: int) -> dict[str, Column]:
 
 def attach_frames(pairs: DataFrame, images: DataFrame) -> DataFrame:
     """Chain rows (dst_id, src_id, seq) with the sizes of the attached frames."""
-    return pairs.join(
-        images.select(
-            F.col("image_id").alias("src_id"),
-            F.col("width").alias("src_width"),
-            F.col("height").alias("src_height"),
-        ),
-        "src_id",
+    sizes = images.select(
+        F.col("image_id").alias("src_id"),
+        F.col("width").alias("src_width"),
+        F.col("height").alias("src_height"),
     )
+    return attach(pairs, sizes, slot=F.col("dst_id"), key="src_id")
 
 
-def place(
-    source: DataFrame, pairs: DataFrame, rows: int | None = None
-) -> DataFrame:
+PAIRS_PER_PART = 1024
+
+
+def deal(source: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
+    """Source pixels beside each of their pairs (dst_id, src_id, ...).
+
+    Pairs proven few by ``rows`` are broadcast. Otherwise a source used by very
+    many destinations (a logo) is copied once per PAIRS_PER_PART of its pairs
+    and those are dealt over the copies, while scan lines are dealt over slots:
+    neither a popular nor a very large source ends up in one task.
+    """
+    keyed = pairs.withColumnRenamed("src_id", "image_id")
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return attach(source, keyed, rows=rows)
+    parts = keyed.groupBy("image_id").agg(
+        (idiv(F.count(F.lit(1)), PAIRS_PER_PART) + 1).alias("_parts")
+    )
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = (
+        attach(keyed, parts, slot=F.col("dst_id"))
+        .withColumn("_part", F.pmod(F.col("dst_id"), F.col("_parts")))
+        .withColumn("_slot", slots)
+        .drop("_parts")
+    )
+    copies = (
+        attach(source, parts)
+        .withColumn("_part", F.explode(span(F.lit(0).cast("bigint"), F.col("_parts"))))
+        .withColumn("_slot", F.pmod(F.col("y"), F.lit(SALTS)).cast("int"))
+        .drop("_parts")
+    )
+    return copies.join(dealt, ["image_id", "_part", "_slot"]).drop("_part", "_slot")
+
+
+def place(source: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """Source pixels in destination coordinates.
 
     ``pairs`` has (dst_id, src_id, top, left), at most one source per
-    destination; it is joined by image, salted unless ``rows`` proves it small.
+    destination.
     """
-    keyed = pairs.withColumnRenamed("src_id", "image_id")
-    placed = attach(source, keyed, rows=rows)
-    return placed.select(
-        F.col("dst_id").alias("image_id"),
-        (F.col("y") + F.col("top")).alias("y"),
-        (F.col("x") + F.col("left")).alias("x"),
-        F.col("a").alias("s_a"),
-        *[F.col(c).alias(f"s_{c}") for c in COLORS],
-    ).where((F.col("y") >= 0) & (F.col("x") >= 0))
+    return (
+        deal(source, pairs, rows)
+        .select(
+            F.col("dst_id").alias("image_id"),
+            (F.col("y") + F.col("top")).alias("y"),
+            (F.col("x") + F.col("left")).alias("x"),
+            F.col("a").alias("s_a"),
+            *[F.col(c).alias(f"s_{c}") for c in COLORS],
+        )
+        .where((F.col("y") >= 0) & (F.col("x") >= 0))
+    )
 
 
 def composite(
@@ -122,8 +153,7 @@ def tile(
         F.col("width").alias("dst_width"),
         F.col("height").alias("dst_height"),
     )
-    keyed = pairs.join(sizes, "dst_id").withColumnRenamed("src_id", "image_id")
-    spread = attach(source, keyed, rows=rows)
+    spread = deal(source, pairs.join(sizes, "dst_id"), rows)
 
     def repeats(at: str, offset: str, step: str, size: str) -> Column:
         first = F.pmod(F.col(at) + F.col(offset), F.col(step))

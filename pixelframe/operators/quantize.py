@@ -157,8 +157,16 @@ def palette_median_cut_gray(df: DataFrame, colors: int) -> DataFrame:
 
 
 def palette_force(images: DataFrame, palettes: DataFrame) -> DataFrame:
-    """Give each image (image_id, palette_id) the pens of a stored palette."""
-    return images.join(palettes, "palette_id").select("image_id", "pen", *COLORS)
+    """Give each image (image_id, palette_id) the pens of a stored palette.
+
+    A palette is gathered into one row first; a palette used by most images is
+    dealt over slots.
+    """
+    stored = palettes.groupBy("palette_id").agg(
+        F.sort_array(F.collect_list(F.struct("pen", *COLORS))).alias("pal")
+    )
+    joined = attach(images, stored, slot=F.col("image_id"), key="palette_id")
+    return joined.select("image_id", F.inline("pal"))
 
 
 def palette_halfbright(palettes: DataFrame) -> DataFrame:

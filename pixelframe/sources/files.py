@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..layout import COLORS, PIXEL_SCHEMA, require
+from ..layout import COLORS, PIXEL_SCHEMA, require, span
 
 # File name suffixes and leading bytes, tried in this order.
 SUFFIXES = [
@@ -64,8 +66,8 @@ def load_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> Da
     """Decode image files to pixels; image_id is a 63-bit hash of the path.
 
     The built-in source delivers interleaved B,G,R[,A] bytes. Its alpha is an
-    opacity, ours a transparency. Decoding to rows runs per file partition in
-    Arrow batches, a band of lines at a time.
+    opacity, ours a transparency. Images are cut into scan lines in the JVM, so
+    what travels to Python in one row is a line, never a whole image.
     """
     raw = (
         spark.read.format("image")
@@ -75,50 +77,62 @@ def load_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> Da
     )
     keyed = raw.select(
         F.xxhash64("origin").bitwiseAND(F.lit(2**63 - 1)).alias("image_id"),
-        "height",
         "width",
-        "nChannels",
+        "height",
+        F.col("nChannels").alias("n"),
         "data",
     )
-    return keyed.mapInArrow(_decode_batches, PIXEL_SCHEMA)
+    size = F.col("width") * F.col("n")
+    lines = keyed.withColumn("y", F.explode(span(F.lit(0), F.col("height")))).select(
+        "image_id",
+        "width",
+        "height",
+        "y",
+        "n",
+        F.substring(F.col("data"), F.col("y") * size + 1, size).alias("line"),
+    )
+    return lines.mapInArrow(_decode_lines, PIXEL_SCHEMA)
+
+
+PIXELS_PER_BATCH = 500_000
+
 
+def _decode_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan lines of interleaved bytes to pixel rows, a bounded batch at a time."""
+    names = [field.split()[0] for field in PIXEL_SCHEMA.split(", ")]
+    types = [pa.int64()] + [pa.int32()] * (len(names) - 1)
+    held: list[list] = []
+    size = 0
 
-def _decode_batches(batches: Iterator) -> Iterator:
-    import numpy as np
-    import pyarrow as pa
+    def emit() -> pa.RecordBatch:
+        columns = [pa.concat_arrays(parts) for parts in zip(*held)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = [f.split()[0] for f in PIXEL_SCHEMA.split(", ")]
-    types = [pa.int64()] + [pa.int32()] * 8
-    band = 256
     for batch in batches:
         for row in batch.to_pylist():
-            w, h, n = row["width"], row["height"], row["nChannels"]
-            cube = np.frombuffer(row["data"], dtype=np.uint8).reshape(h, w, n)
-            for y0 in range(0, h, band):
-                part = cube[y0 : y0 + band].astype(np.int32)
-                rows = part.shape[0]
-                size = rows * w
-                flat = part.reshape(size, n)
-                blue, green, red = (flat[:, min(i, n - 1)] for i in range(3))
-                if n == 1:
-                    blue = green = red = flat[:, 0]
-                alpha = (
-                    pa.array(255 - flat[:, 3]) if n == 4 else pa.nulls(size, pa.int32())
-                )
-                columns = [
-                    np.full(size, row["image_id"], dtype=np.int64),
-                    np.full(size, w, dtype=np.int32),
-                    np.full(size, h, dtype=np.int32),
-                    np.repeat(np.arange(y0, y0 + rows, dtype=np.int32), w),
-                    np.tile(np.arange(w, dtype=np.int32), rows),
-                    alpha,
-                    red,
-                    green,
-                    blue,
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)], names=names
-                )
+            w, n = row["width"], row["n"]
+            cell = np.frombuffer(row["line"], dtype=np.uint8).reshape(w, n).astype(np.int32)
+            blue, green, red = (cell[:, i if n >= 3 else 0] for i in range(3))
+            values = [
+                np.full(w, row["image_id"]),
+                np.full(w, w),
+                np.full(w, row["height"]),
+                np.full(w, row["y"]),
+                np.arange(w),
+                255 - cell[:, 3] if n == 4 else None,
+                red,
+                green,
+                blue,
+            ]
+            held.append(
+                [pa.nulls(w, t) if v is None else pa.array(v, t) for v, t in zip(values, types)]
+            )
+            size += w
+            if size >= PIXELS_PER_BATCH:
+                yield emit()
+                held, size = [], 0
+    if held:
+        yield emit()
 
 
 def to_strips(df: DataFrame) -> DataFrame:

@@ -142,33 +142,42 @@ def prefix_offsets(
     )
 
 
+# A prime modulus and one multiplier per ordering column.
+MIX_MODULUS = 2147483647
+MIX = {"l_orderkey": 7919, "l_linenumber": 104729, "l_partkey": 1299709}
+
+
+def _mixed(columns: dict[str, int]) -> Column:
+    """Evenly spread number below MIX_MODULUS; products stay below 2^62."""
+    total = F.lit(0).cast("bigint")
+    for name, k in columns.items():
+        total = total + F.col(name).cast("bigint") * k
+    first = F.pmod(total, F.lit(MIX_MODULUS))
+    inner = (first * 48271 + 11) % MIX_MODULUS
+    return (first * inner + inner) % MIX_MODULUS
+
+
 def rgb_from_lineitem(
-    spark: SparkSession, folder: str, orders_per_bucket: int = 1024
+    spark: SparkSession, folder: str, rows_per_bucket: int = 65_536
 ) -> DataFrame:
-    """A line item is a pixel of its supplier's rasters, in order of its key.
-
-    The rank of a line inside its supplier is (lines in earlier order-key
-    buckets) + (rank inside the bucket). The second window is bounded by the
-    lines of ``orders_per_bucket`` orders, so one supplier with a third of all
-    lines is still spread over many tasks. A supplier fills as many 32 x 32
-    images as it needs; image_id = supplier * 2^24 + page.
+    """A line item is a pixel of its supplier's rasters, in a scattered order.
+
+    The order is by a mixed number of the key columns, then by the columns. The
+    rank of a line inside its supplier is (lines in earlier buckets of that
+    number) + (rank inside the bucket). Buckets are so many that even a
+    supplier, or an order, with most of all lines has about ``rows_per_bucket``
+    in each; no window sees more. A supplier fills as many 32 x 32 images as it
+    needs; image_id = supplier * 2^32 + page.
     """
     table = read_table(spark, folder, "lineitem")
-    lines = table.select(
-        "l_suppkey",
-        idiv(F.col("l_orderkey"), orders_per_bucket).alias("bucket"),
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_shipdate",
-        "l_extendedprice",
-        "l_quantity",
+    buckets = table.count() // rows_per_bucket + 1  # from Parquet row counts
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    lines = table.select("l_suppkey", *keys, "l_quantity", _mixed(MIX).alias("mix")).withColumn(
+        "bucket", idiv(F.col("mix"), MIX_MODULUS // buckets + 1)
     )
     counts = lines.groupBy("l_suppkey", "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = prefix_offsets(counts, "l_suppkey", "bucket")
-    in_bucket = Window.partitionBy("l_suppkey", "bucket").orderBy(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"
-    )
+    in_bucket = Window.partitionBy("l_suppkey", "bucket").orderBy("mix", *keys)
     ranked = lines.withColumn("rn", F.row_number().over(in_bucket) - 1).join(
         offsets.select("l_suppkey", "bucket", "start"), ["l_suppkey", "bucket"]
     )
@@ -185,7 +194,7 @@ def rgb_from_lineitem(
     blank = totals.select(
         "l_suppkey", F.explode(span(F.col("n"), end)).alias("k")
     ).select("l_suppkey", "k", *[F.lit(0).alias(c) for c in "argb"])
-    image = F.shiftleft(F.col("l_suppkey"), 24) + idiv(F.col("k"), RGB_CELLS)
+    image = F.shiftleft(F.col("l_suppkey"), 32) + idiv(F.col("k"), RGB_CELLS)
     return as_pixels(_place_cells(real.unionByName(blank), image, F.col("k")))
 
 

@@ -163,14 +163,11 @@ def _(spark, d):
 
 
 @query("attach_frames", f"""WITH {IMAGES_SQL},
-pairs AS (SELECT o_custkey AS dst_id, o_orderkey % 700 AS src_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq
-          FROM orders)
-SELECT dst_id, src_id, CAST(seq AS INTEGER) AS seq, width AS src_width, height AS src_height FROM pairs JOIN images ON image_id = src_id""")
+pairs AS (SELECT o_custkey AS dst_id, o_orderkey % 700 AS src_id, o_orderkey AS seq FROM orders)
+SELECT dst_id, src_id, seq, width AS src_width, height AS src_height FROM pairs JOIN images ON image_id = src_id""")
 def _(spark, d):
-    from pyspark.sql import Window
-    chain = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     pairs = read_table(spark, d, "orders").select(
         F.col("o_custkey").alias("dst_id"), (F.col("o_orderkey") % 700).alias("src_id"),
-        (F.row_number().over(chain) - 1).alias("seq"))
+        F.col("o_orderkey").alias("seq"))
     return combine.attach_frames(pairs, images(spark, d)).select(
         "dst_id", "src_id", "seq", "src_width", "src_height")

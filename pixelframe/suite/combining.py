@@ -51,14 +51,14 @@ SELECT d.image_id, d.y, d.x, {', '.join(cols)}
 FROM px d JOIN pairs p ON p.dst_id = d.image_id LEFT JOIN px s ON {on}""")
 
 
-def composite(df, method):
-    return combine.composite(df, combine.place(df, pairs(df)), method, 90)
+def composite(df, method, rows=None):
+    return combine.composite(df, combine.place(df, pairs(df), rows), method, 90)
 
 
 def _register(method: str) -> None:
     @query(f"composite_{method}", composite_sql(method, False))
     def _(spark, d):
-        return shown(composite(rgb(spark, d), method))
+        return shown(composite(rgb(spark, d), method, rgb_images(spark, d)))
 
 
 for _method in combine.METHODS:

@@ -23,18 +23,19 @@ def _(spark, d):
 
 LINES_SQL = """
 ranked AS (
-  SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,
+  SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY
+           (first * ((first * 48271 + 11) % 2147483647) + (first * 48271 + 11) % 2147483647) % 2147483647, l_orderkey,
            l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS k,
          (l_linenumber * 36) % 256 AS a, CAST(floor(l_quantity * 5) AS BIGINT) % 256 AS r,
          CAST(floor(l_extendedprice) AS BIGINT) % 256 AS g, l_partkey % 256 AS b
-  FROM lineitem),
+  FROM (SELECT *, (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 1299709) % 2147483647 AS first FROM lineitem)),
 ends AS (SELECT s, count(*) AS n FROM ranked GROUP BY s),
 full_pages AS (
   SELECT * FROM ranked
   UNION ALL
   SELECT s, unnest(range(n, (n + 1023) // 1024 * 1024)), 0, 0, 0, 0 FROM ends),
 px AS (
-  SELECT s * 16777216 + k // 1024 AS image_id, 32 AS width, 32 AS height,
+  SELECT s * 4294967296 + k // 1024 AS image_id, 32 AS width, 32 AS height,
          CAST((k % 1024) // 32 AS INTEGER) AS y, CAST(k % 32 AS INTEGER) AS x,
          CAST(a AS INTEGER) AS a, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g,
          CAST(b AS INTEGER) AS b
