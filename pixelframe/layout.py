@@ -27,9 +27,10 @@ PIXEL_SCHEMA = (
     "image_id BIGINT, width INT, height INT, y INT, x INT, a INT, r INT, g INT, b INT"
 )
 
-# A table joined to pixels by image is broadcast only when the caller can prove
-# that it has at most this many rows (each row is a few KB at most).
-BROADCAST_ROWS = 20_000
+# A table is broadcast only when the caller can prove that rows times bytes per
+# row stay below this.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 4096  # upper bound of a table row, unless the caller states another
 SALTS = 32
 
 
@@ -87,6 +88,10 @@ def row_heads(df: DataFrame) -> DataFrame:
     return df.where(F.col("x") == 0)
 
 
+def is_small(rows: int | None, row_bytes: int = ROW_BYTES) -> bool:
+    return rows is not None and rows * row_bytes <= BROADCAST_BYTES
+
+
 def attach(
     pixels: DataFrame,
     table: DataFrame,
@@ -95,18 +100,19 @@ def attach(
     slot: Column | None = None,
     salts: int = SALTS,
     key: str = "image_id",
+    row_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """Join a table with one row per image (or other ``key``) to the pixels.
 
     ``rows`` is a proven upper bound of the table (for example a catalogue
-    count); below BROADCAST_ROWS the table is broadcast. Otherwise it is a
+    count) and ``row_bytes`` one of its rows; a small table is broadcast. Otherwise it is a
     shuffled equi join on (key, slot): the rows of one image are dealt over
     ``salts`` slots (by scan line unless ``slot`` gives another number) and the
     table row is copied to each, so an image that holds a large share of all
     pixels does not land in one task.
     """
     columns = pixels.columns + [c for c in table.columns if c != key]
-    if rows is not None and rows <= BROADCAST_ROWS:
+    if is_small(rows, row_bytes):
         return pixels.join(F.broadcast(table), key, how).select(*columns)
     slotted = table.withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import BROADCAST_ROWS, COLORS, SALTS, attach, heads, idiv, require, span
+from ..layout import COLORS, SALTS, attach, heads, idiv, is_small, require, span
 
 METHODS = (
     "direct",
@@ -74,7 +74,7 @@ def deal(source: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFr
     neither a popular nor a very large source ends up in one task.
     """
     keyed = pairs.withColumnRenamed("src_id", "image_id")
-    if rows is not None and rows <= BROADCAST_ROWS:
+    if is_small(rows):
         return attach(source, keyed, rows=rows)
     parts = keyed.groupBy("image_id").agg(
         (idiv(F.count(F.lit(1)), PAIRS_PER_PART) + 1).alias("_parts")
@@ -230,7 +230,7 @@ def stamp_mask(
     marks = mask.select(
         (F.col("dy") + top).alias("y"), (F.col("dx") + left).alias("x"), F.lit(True).alias("_ink")
     ).distinct()
-    if rows is not None and rows <= BROADCAST_ROWS:
+    if is_small(rows):
         joined = df.join(F.broadcast(marks), ["y", "x"], "left")
     else:
         slots = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

@@ -18,6 +18,7 @@ from .stats import bin_color, color_histogram_565, gray_histogram
 MAX_PENS = 256
 PALETTE_SCHEMA = "image_id bigint, pen int, r int, g int, b int"
 DIRECT_PENS = 64  # up to here each pixel is matched on its own
+ARRAY_BYTES = 16_384  # a palette of 256 pens as an array of structs
 COHORT = 64  # images dithered side by side in one task
 
 
@@ -369,7 +370,7 @@ def _error_diffusion(
     lines = df.groupBy("image_id", "width", "height", "y").agg(
         F.sort_array(F.collect_list(cell)).alias("cells")
     )
-    keyed = attach(lines, palette_arrays(palettes), rows=rows).select(
+    keyed = attach(lines, palette_arrays(palettes), rows=rows, row_bytes=ARRAY_BYTES).select(
         F.floor(F.col("image_id") / COHORT).alias("cohort"),
         "image_id",
         "width",
@@ -405,7 +406,7 @@ def dither_floyd_steinberg_gray(
 
 def expand_indexed(indexed: DataFrame, palettes: DataFrame, rows: int | None = None) -> DataFrame:
     """Pens back to colours, through the palette array of each image."""
-    joined = attach(indexed, palette_arrays(palettes), rows=rows)
+    joined = attach(indexed, palette_arrays(palettes), rows=rows, row_bytes=ARRAY_BYTES)
     entry = F.get("pal", F.col("pen"))
     return joined.withColumns({c: entry[c] for c in COLORS}).drop("pal")
 

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import attach, heads, idiv, require, span
+from ..layout import MAX_SIDE, attach, heads, idiv, require, span
 
 # The leading bytes of a stream.
 COOKIE = "4DA0"
 STATUS = "00"
 OVERHEAD_BYTES = 8
 BYTES_PER_CHUNK = 512
+HASH_BYTES = 4 * 4 * MAX_SIDE  # a hash per sample of the longest line
 
 
 def _samples(channels: str) -> list[str]:
@@ -140,7 +141,7 @@ def embed(
             )
         ).alias("chunk", "part"),
     )
-    keyed = attach(chunks, keys, rows=rows, slot=F.col("chunk"))
+    keyed = attach(chunks, keys, rows=rows, slot=F.col("chunk"), row_bytes=HASH_BYTES)
     bits = keyed.withColumn("i", F.explode(span(F.lit(0), F.octet_length("part") * 8)))
     byte = F.conv(F.hex(F.substring(F.col("part"), idiv(F.col("i"), 8).cast("int") + 1, F.lit(1))), 16, 10)
     shift = 7 - F.col("i") % 8
@@ -171,7 +172,7 @@ def read_bytes(
 ) -> DataFrame:
     """All whole bytes of the lowest bits in stream order: (image_id, pos, byte)."""
     names = _samples(channels)
-    keyed = attach(df, rotations(df, passphrase, channels), rows=rows)
+    keyed = attach(df, rotations(df, passphrase, channels), rows=rows, row_bytes=HASH_BYTES)
     samples = F.explode(
         F.array(
             *[F.struct(F.lit(i).alias("ch"), F.col(c).bitwiseAND(F.lit(1)).alias("bit")) for i, c in enumerate(names)]
