@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/pixelframe-{uuid.uuid4().hex}"

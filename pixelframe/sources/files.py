@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +62,16 @@ def sniff_files(spark: SparkSession, path: str, glob: str | None = None) -> Data
     )
 
 
-def load_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
-    """Decode image files to pixels; image_id is a 63-bit hash of the path.
+def load_images(
+    spark: SparkSession,
+    path: str,
+    image_id: Callable[[Column], Column] | None = None,
+    drop_invalid: bool = True,
+) -> DataFrame:
+    """Decode image files to pixels.
+
+    ``image_id`` makes the number of an image from its path; the default is a
+    63-bit hash.
 
     The built-in source delivers interleaved B,G,R[,A] bytes. Its alpha is an
     opacity, ours a transparency. Images are cut into scan lines in the JVM, so
@@ -75,8 +83,10 @@ def load_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> Da
         .load(path)
         .select("image.*")
     )
+    origin = F.col("origin")
+    number = image_id(origin) if image_id else F.xxhash64(origin).bitwiseAND(F.lit(2**63 - 1))
     keyed = raw.select(
-        F.xxhash64("origin").bitwiseAND(F.lit(2**63 - 1)).alias("image_id"),
+        number.cast("bigint").alias("image_id"),
         "width",
         "height",
         F.col("nChannels").alias("n"),

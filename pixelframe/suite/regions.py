@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import tone
 from ..layout import as_pixels
 from ..operators import catalog, quantize, regions
 from ..plans.registry import frame_recipe, process, recipe
-from ..session import checkpoint_dir
+from ..session import fresh_path
 from ..sources import files
 from ..sources.tables import read_table
 from .core import (
@@ -194,10 +192,6 @@ def _(spark, d):
     return shown(recipe(rgb(spark, d), steps))
 
 
-def fresh_path(spark) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/pixelframe-{uuid.uuid4().hex}"
-
-
 @query("save_truecolor", sql(ARGB_SQL, "SELECT image_id, width, height, y, x, a, r, g, b FROM px"))
 def _(spark, d):
     """Write, then read back."""
