@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..layout import COLORS, SALTS, attach, packed_rgb, require
+from ..layout import COLORS, SALTS, attach, idiv, packed_rgb, require
 from .stats import bin_color, color_histogram_565, gray_histogram
 
 MAX_PENS = 256
@@ -371,7 +371,7 @@ def _error_diffusion(
         F.sort_array(F.collect_list(cell)).alias("cells")
     )
     keyed = attach(lines, palette_arrays(palettes), rows=rows, row_bytes=ARRAY_BYTES).select(
-        F.floor(F.col("image_id") / COHORT).alias("cohort"),
+        idiv(F.col("image_id"), COHORT).alias("cohort"),
         "image_id",
         "width",
         "height",
