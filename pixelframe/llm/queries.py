@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing
+from . import bpe, packing, simhash, suffix
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,14 @@ def _bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_pack_documents")
 def _pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_simhash_golay")
+def _simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
+@query("op6_suffix_dedup")
+def _suffix(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix.removed(documents(spark, folder))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
