@@ -22,8 +22,8 @@ UNUSUAL = re.compile(
     " -  -₫₭-\U0010ffff]"
 )
 RUN_OF_SPACE = re.compile(r"\s\s")
-MAX_CHUNKS = 500_000  # a worker forgets its chunks beyond this number
-SLICE_CHARS = 4_000_000  # texts handled at once
+MAX_CHUNKS = 300_000  # a worker forgets its chunks beyond this number
+SLICE_CHARS = 1_000_000  # texts handled at once
 
 
 @lru_cache(maxsize=4)
