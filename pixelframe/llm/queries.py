@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, simhash, suffix
+from . import bpe, packing, simhash, sketch, suffix
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
 def _suffix(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix.removed(documents(spark, folder))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_bottom_k_sketch")
+def _sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.compare_with_edit(documents(spark, folder))
