@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, simhash, sketch, suffix
+from . import bpe, packing, pii, simhash, sketch, suffix
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def _suffix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_bottom_k_sketch")
 def _sketch(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.compare_with_edit(documents(spark, folder))
+
+
+@query("op5_boosted_pii")
+def _pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return pii.span_digests(docs, pii.train(docs))
