@@ -6,7 +6,8 @@ windows of one bucket need comparing. Consecutive windows with one name form a
 segment, whose hash is counted together with its name:
 
 * a segment that occurs more than once repeats as a whole, at every place;
-* a name with one segment that occurs once repeats nowhere;
+* a name with one segment that occurs once repeats at most inside that segment, if it
+  is periodic; that is settled where the text is read;
 * of names with several different segments, one copy of each segment is fetched and
   its windows are sorted as suffixes.
 
@@ -89,8 +90,9 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[width - 1:width - 1 + m])
 
 
-def segments(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Names, first and last window starts, and hashes of the segments of a text."""
+def segments(raw: bytes, length: int, gram: int) -> tuple:
+    """Names, first and last window starts and hashes of a text's segments, and the runs
+    of windows that repeat inside the segment they are in."""
     from xxhash import xxh3_64_intdigest
 
     width = length - gram + 1
@@ -99,51 +101,69 @@ def segments(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
     first = np.concatenate([[0], cuts])
     last = np.concatenate([cuts - 1, [len(names) - 1]])
-    # windows of one segment can only be equal if the naming piece occurs in it twice;
-    # such (periodic) segments are taken window by window
+    # windows of one segment can only be equal if the naming piece occurs in it twice
     spots = zip(first.tolist(), last.tolist(), names[first].tolist())
-    twice = np.fromiter((np.count_nonzero(grams[a:b + width] == v) > 1 for a, b, v in spots), bool, len(first))
-    most = np.where(twice, 1, RUN)
-    if (last - first >= most).any():
-        parts = (last - first) // most + 1
-        most = np.repeat(most, parts)
-        at = np.repeat(first, parts) + most * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        last = np.minimum(at + most - 1, np.repeat(last, parts))
+    twice = [i for i, (a, b, v) in enumerate(spots) if np.count_nonzero(grams[a:b + width] == v) > 1]
+    inner = [(first[i] + a, first[i] + b) for i in twice for a, b in equal_inside(raw[first[i]:last[i] + length], length)]
+    if (last - first >= RUN).any():
+        parts = (last - first) // RUN + 1
+        at = np.repeat(first, parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        last = np.minimum(at + RUN - 1, np.repeat(last, parts))
         first = at
     hashes = [xxh3_64_intdigest(raw[a:b + length]) for a, b in zip(first.tolist(), last.tolist())]
-    return names[first], first, last, hashes
+    return names[first], first, last, hashes, inner
 
 
-def signed(values) -> pa.Array:
-    return pa.array(np.asarray(values, np.uint64).view(np.int64))
+def equal_inside(raw: bytes, length: int) -> list[tuple[int, int]]:
+    """Runs of the windows of a periodic segment that occur in it again."""
+    hashes = gram_hashes(np.frombuffer(raw, np.uint8), length)
+    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    here = np.arange(len(hashes))
+    shift = here - where[back]
+    again = np.zeros(len(hashes), bool)
+    cuts = np.flatnonzero(np.diff(shift)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hashes)]):
+        s = int(shift[a])
+        if s and raw[a:b - 1 + length] == raw[a - s:b - 1 - s + length]:  # equal hashes are checked by their bytes
+            again[a:b] = again[a - s:b - s] = True
+    return runs(again)
 
 
 def segment_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(name, segment, key, first, last) of every text with a window; texts: key, text."""
+    """(name, segment, key, first, last) of every text with a window; texts: key, text.
+
+    Rows without a name are runs of windows that repeat inside a segment.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             size = 0
 
             def batch() -> pa.RecordBatch:
                 columns = [np.concatenate(c) for c in out]
                 return pa.RecordBatch.from_arrays(
-                    [signed(columns[0]), signed(columns[1]), *map(pa.array, columns[2:])],
+                    [pa.array(columns[0].view(np.int64), mask=columns[5]), *(pa.array(c) for c in (columns[1].view(np.int64), *columns[2:5]))],
                     ["name", "segment", "key", "first", "last"])
 
             for key, text in zip(part.column(0), part.column(1)):
                 raw = text.as_py().encode()
                 if len(raw) < length:
                     continue
-                names, first, last, hashes = segments(raw, length, gram)
-                for column, values in zip(out, (names, np.array(hashes, np.uint64), np.full(len(names), key.as_py(), np.int64),
-                                                first.astype(np.int32), last.astype(np.int32))):
+                names, first, last, hashes, inner = segments(raw, length, gram)
+                n, m = len(names), len(inner)
+                ends = np.array(inner, np.int32).reshape(-1, 2)
+                nothing = np.zeros(m, np.uint64)
+                for column, values in zip(out, (
+                    np.concatenate([names, nothing]), np.concatenate([np.array(hashes, np.uint64), nothing]),
+                    np.full(n + m, key.as_py(), np.int64), np.concatenate([first.astype(np.int32), ends[:, 0]]),
+                    np.concatenate([last.astype(np.int32), ends[:, 1]]), np.arange(n + m) >= n,
+                )):
                     column.append(values)
-                size += len(names)
+                size += n + m
                 if size > 100_000:
                     yield batch()
-                    out, size = [[], [], [], [], []], 0
+                    out, size = [[], [], [], [], [], []], 0
             if size:
                 yield batch()
 
@@ -328,6 +348,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     """
     gram = min(gram, length)
     table = written(segment_table(texts, length, gram))
+    inner = table.where("name is null").select("key", "first", "last").distinct()
+    table = table.where("name is not null")
     counts = table.groupBy("name", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("rep"))
     names = counts.groupBy("name").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
     judged = counts.join(names, "name").select("name", "segment", "n", "rep", "kinds")
@@ -351,7 +373,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     lone = found.where("window is not null")
     across = lone.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "window")
     late = lone.where("not known").join(across, ["name", "window"], "left_semi").select("key", "first", "last")
-    spans = whole.union(found.where("window is null").select("key", "first", "last")).union(late)
+    spans = whole.union(inner).union(found.where("window is null").select("key", "first", "last")).union(late)
     return spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
