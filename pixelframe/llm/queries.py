@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, pii, simhash, sketch, suffix
-from .common import documents
+from . import bpe, language, packing, pii, simhash, sketch, suffix, toxicity
+from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,17 @@ def _sketch(spark: SparkSession, folder: str) -> DataFrame:
 def _pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return pii.span_digests(docs, pii.train(docs))
+
+
+@query("op7_compression_toxicity")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    found = toxicity.score(docs, toxicity.learn(docs, labels))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op9_language_families")
+def _language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = language.predict(docs, language.learn(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
