@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, packing, pii, simhash, sketch, suffix, toxicity
+from . import bpe, language, neighbours, packing, pii, simhash, sketch, suffix, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def _language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     found = language.predict(docs, language.learn(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_nn_descent")
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
