@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, neighbours, packing, pii, simhash, sketch, suffix, toxicity
+from . import bpe, language, neighbours, packing, pii, preference, simhash, sketch, suffix, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,48 @@ def _language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_nn_descent")
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+PREFERENCE_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+last AS (
+  SELECT conv_id, turn, max(text) AS answer FROM t
+  WHERE role = 'assistant' AND (conv_id, turn) IN
+    (SELECT (conv_id, max(turn)) FROM t WHERE role = 'assistant' GROUP BY conv_id)
+  GROUP BY conv_id, turn),
+ring AS (
+  SELECT conv_id, turn, coalesce(lead(answer) OVER (ORDER BY conv_id), first(answer) OVER (ORDER BY conv_id)) AS answer
+  FROM last),
+other AS (
+  SELECT t.conv_id, t.turn, t.role, coalesce(r.answer, t.text) AS text
+  FROM t LEFT JOIN ring r ON t.conv_id = r.conv_id AND t.turn = r.turn AND t.role = 'assistant'),
+fork AS (
+  SELECT t.conv_id, min(CASE WHEN t.text <> o.text THEN t.turn END) AS fork
+  FROM t JOIN other o ON t.conv_id = o.conv_id AND t.turn = o.turn AND t.role = o.role GROUP BY t.conv_id),
+parts AS (
+  SELECT t.conv_id, t.turn, t.role, t.text, CASE WHEN f.fork IS NULL OR t.turn < f.fork THEN 'prompt' ELSE 'chosen' END AS part
+  FROM t JOIN fork f USING (conv_id)
+  UNION ALL
+  SELECT o.conv_id, o.turn, o.role, o.text, 'rejected' FROM other o JOIN fork f USING (conv_id) WHERE o.turn >= f.fork),
+pieces AS (
+  SELECT *, turn // 64 AS segment, '<|' || role || '|>' || chr(10) AS head,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece FROM parts),
+placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, segment, part ORDER BY turn, role, text) - length(piece) AS pos FROM pieces)
+SELECT conv_id, segment,
+  coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (part = 'chosen'), '') AS chosen,
+  coalesce(string_agg((pos + length(head))::BIGINT || ':' || (pos + length(piece) - 1)::BIGINT, ',' ORDER BY turn, role, text)
+    FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg((pos + length(head))::BIGINT || ':' || (pos + length(piece) - 1)::BIGINT, ',' ORDER BY turn, role, text)
+    FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_mask,
+  count(*) FILTER (part = 'prompt') AS n_prompt_turns
+FROM placed GROUP BY conv_id, segment
+"""
+
+
+@query("op10_preference_pairs", PREFERENCE_SQL)
+def _preference(spark: SparkSession, folder: str) -> DataFrame:
+    chosen, rejected = preference.against_next(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return preference.preferences(chosen, rejected, "conv_id")
