@@ -378,9 +378,11 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
-            length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+            length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """key, the kept columns, n_bytes, n_removed, n_spans and `kept` (the remaining bytes).
 
+    as_text: `kept` is a string; a character of which only a part is left is left out.
+
     Every byte covered by a string of `length` bytes that also starts at another place,
     in the same or another row, is removed. Null is the empty text; texts shorter than
     the length keep all; repeated rows count as copies of each other; a row with a null
@@ -393,7 +395,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tupl
     texts = base.select(F.col("_key").alias("key"), F.col("_text").alias("text")).where(F.octet_length("text") >= length)
     spans = written(repeats(texts, length, gram))
     fields = [*docs.select(*names).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-              T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
+              T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -403,7 +405,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tupl
                 for text, found in zip(some.column(len(names)), some.column(len(names) + 1)):
                     raw = text.as_py().encode()
                     if not found.is_valid:
-                        rows.append((len(raw), 0, 0, raw))
+                        rows.append((len(raw), 0, 0, text.as_py() if as_text else raw))
                         continue
                     cover = np.zeros(len(raw) + 1, np.int32)
                     for s in found.as_py():
@@ -411,9 +413,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tupl
                         cover[s["last"] + length] -= 1
                     gone = np.cumsum(cover[:-1]) > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    rows.append((len(raw), int(gone.sum()), len(runs(gone)), kept))
+                    rows.append((len(raw), int(gone.sum()), len(runs(gone)), kept.decode("utf-8", "ignore") if as_text else kept))
                 cols = list(zip(*rows))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns[:len(names)], *(pa.array(c, t) for c, t in zip(cols, types))],
                     [*names, "n_bytes", "n_removed", "n_spans", "kept"])
