@@ -37,7 +37,7 @@ LENGTH = 400
 GRAM = 100
 RUN = 256  # windows of a segment at most
 BLOCK_BYTES = 1_500_000  # of segments sorted at once
-SALT_ROWS = 1000  # segments of a name in one salt
+SALT_ROWS = 4000  # segments of a name in one salt, about as many as a block holds
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -234,20 +234,28 @@ def common_prefix_full(data: bytes, order: np.ndarray, length: int) -> np.ndarra
     return same
 
 
-def repeated(pieces: list[bytes], widths: list[int], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each piece which of its first `width` windows occur again; (order, same) too."""
+def repeated(pieces: list[bytes], widths: list[int], length: int, settled: list[bool] | None = None) -> list[np.ndarray]:
+    """For each piece which of its first `width` windows occur again.
+
+    Windows whose rolling hash is single can't repeat and aren't sorted; nor are those
+    that only pieces already settled share (their answers don't matter).
+    """
     data = b"".join(pieces)
     base = np.cumsum([0, *map(len, pieces)])[:-1]
     wide = np.array(widths)
     starts = np.repeat(base - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
-    tails = np.zeros(len(starts), bool)
-    tails[np.cumsum(wide) - 1] = True
-    order = sort_windows(data, starts, tails, length)
-    same = common_prefix_full(data, order, length)
+    hashes = gram_hashes(np.frombuffer(data, np.uint8), length)[starts]
+    _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    asked = np.repeat(~np.array(settled or [False] * len(pieces)), wide)
     hit = np.zeros(len(data), bool)
-    hit[order[:-1][same]] = True
-    hit[order[1:][same]] = True
-    return [hit[b:b + w] for b, w in zip(base, widths)], order, same
+    chosen = starts[((count > 1) & (np.bincount(back, asked) > 0))[back]]
+    if len(chosen):
+        tails = np.append(np.diff(chosen) != 1, True)
+        order = sort_windows(data, chosen, tails, length)
+        same = common_prefix_full(data, order, length)
+        hit[order[:-1][same]] = True
+        hit[order[1:][same]] = True
+    return [hit[b:b + w] for b, w in zip(base, widths)]
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -271,22 +279,17 @@ def compared(pieces: DataFrame, length: int) -> DataFrame:
         rows = list({(r[0], r[2]): r for r in rows}.values())
         if len(rows) < 2 and not any(r[5] for r in rows):
             return
-        flags, order, same = repeated([r[7] for r in rows], [len(r[7]) - length + 1 for r in rows], length)
-        out = []
-        for (group, name, segment, key, first, salted, whole, raw), flag in zip(rows, flags):
+        widths = [len(r[7]) - length + 1 for r in rows]
+        flags = repeated([r[7] for r in rows], widths, length, [r[6] for r in rows])
+        out, met = [], set()
+        for (group, name, segment, key, first, salted, whole, raw), flag, width in zip(rows, flags, widths):
             if not whole:
                 out += [(name, key, first + a, first + b, None, True) for a, b in runs(flag)]
-        if any(r[5] for r in rows):
-            base = np.cumsum([0, *(len(r[7]) for r in rows)])
-            new = np.concatenate([[True], ~same])
-            data = b"".join(r[7] for r in rows)
-            for p in order[new].tolist():
-                i = int(np.searchsorted(base, p, "right")) - 1
-                group, name, segment, key, first, salted, whole, raw = rows[i]
-                if salted:
-                    at = first + p - int(base[i])
-                    known = bool(whole or flags[i][p - base[i]])
-                    out.append((name, key, at, at, np.uint64(xxh3_64_intdigest(data[p:p + length])).astype(np.int64).item(), known))
+            for i in range(width if salted else 0):  # one row per different window, for the other salts
+                window = np.uint64(xxh3_64_intdigest(raw[i:i + length])).astype(np.int64).item()
+                if (name, window) not in met:
+                    met.add((name, window))
+                    out.append((name, key, first + i, first + i, window, bool(whole or flag[i])))
         for at in range(0, len(out), 50_000):
             cols = list(zip(*out[at:at + 50_000]))
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
@@ -313,31 +316,39 @@ def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted segments (key, list of struct), once per task."""
     schema = "group long, name long, segment long, key long, first int, salted boolean, whole boolean, bytes binary"
 
+    names = ["group", "name", "segment", "key", "first", "salted", "whole", "bytes"]
+    i64, i32, flag = pa.int64(), pa.int32(), pa.bool_()
+    types = [i64, i64, i64, i64, i32, flag, flag, pa.binary()]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
         for part in parts:
             out, size = [], 0
-            for key, text, list_ in zip(part.column(0), part.column(1), part.column(2)):
-                k = key.as_py()
-                todo = [w for w in list_.as_py() if (w["name"], w["segment"]) not in seen]
-                if not todo:
-                    continue
-                raw = text.as_py().encode()
-                for w in todo:
-                    seen.add((w["name"], w["segment"]))
-                    body = raw[w["first"]:w["last"] + length]
-                    if len(body) == w["last"] + length - w["first"]:
-                        out.append((w["group"], w["name"], w["segment"], k, w["first"], w["salted"], w["whole"], body))
+            ends = part.column(2).offsets.to_pylist()
+            inner = part.column(2).flatten()
+            lists_ = [inner.field(i).to_pylist() for i in range(7)]  # group, name, segment, first, last, salted, whole
+            for i, key in enumerate(part.column(0).to_pylist()):
+                raw = None
+                for j in range(ends[i] - ends[0], ends[i + 1] - ends[0]):
+                    group, name, segment, first, last, salted, whole = (c[j] for c in lists_)
+                    if (name, segment) in seen:
+                        continue
+                    seen.add((name, segment))
+                    raw = part.column(1)[i].as_py().encode() if raw is None else raw
+                    body = raw[first:last + length]
+                    if len(body) == last + length - first:
+                        out.append((group, name, segment, key, first, salted, whole, body))
                         size += len(body)
                 if size > BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
+                    yield batch(out)
                     out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
+                yield batch(out)
 
-    names = ["group", "name", "segment", "key", "first", "salted", "whole", "bytes"]
-    i64, i32, flag = pa.int64(), pa.int32(), pa.bool_()
-    arrow = pa.schema(list(zip(names, [i64, i64, i64, i64, i32, flag, flag, pa.binary()])))
     return texts.join(wanted, "key").select("key", "text", "wanted").mapInArrow(run, schema)
 
 
@@ -351,9 +362,11 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     inner = table.where("name is null").select("key", "first", "last").distinct()
     table = table.where("name is not null")
     counts = table.groupBy("name", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("rep"))
-    names = counts.groupBy("name").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
-    judged = counts.join(names, "name").select("name", "segment", "n", "rep", "kinds")
-    judged = written(table.join(judged, ["name", "segment"]).where("n > 1 or kinds > 1"))
+    # kinds: how many segments to compare; none if all of them repeat as a whole
+    kinds = F.when(F.min("n") == 1, F.count(F.lit(1))).otherwise(F.lit(1))
+    names = counts.groupBy("name").agg(F.sum("n").alias("all"), kinds.alias("kinds")).where("all > 1")
+    judged = counts.join(names, "name").where("n > 1 or kinds > 1").select("name", "segment", "n", "rep", "kinds")
+    judged = written(table.join(judged, ["name", "segment"]).where("n > 1 or key = rep"))
     whole = judged.where("n > 1").select("key", "first", "last").distinct()
     salts = F.expr(f"kinds div {SALT_ROWS} + 1")
     one = judged.where("kinds > 1 and key = rep").groupBy("key", "name", "segment", "kinds", "n").agg(

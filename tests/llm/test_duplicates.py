@@ -175,11 +175,13 @@ def test_suffix_order():
         letters = b"ab" if trial % 2 else b"abcdef"
         pieces = [bytes(rng.choice(letters) for _ in range(rng.randint(8, 40))) for _ in range(rng.randint(1, 6))]
         pieces.append(rng.choice(pieces)[:10])
-        flags, order, _ = suffix.repeated(pieces, [len(p) - 7 for p in pieces], 8)
+        flags = suffix.repeated(pieces, [len(p) - 7 for p in pieces], 8)
         seen = [p[i:i + 8] for p in pieces for i in range(len(p) - 7)]
         for p, f in zip(pieces, flags):
             assert f.tolist() == [seen.count(p[i:i + 8]) > 1 for i in range(len(p) - 7)]
-        data = b"".join(pieces)
+        data, base = b"".join(pieces), np.cumsum([0, *map(len, pieces)])
+        starts = np.concatenate([np.arange(b, b + len(p) - 7) for b, p in zip(base, pieces)])
+        order = suffix.sort_windows(data, starts, np.append(np.diff(starts) != 1, True), 8)
         assert [data[i:i + 8] for i in order] == sorted(seen)
 
 
