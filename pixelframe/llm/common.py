@@ -33,26 +33,28 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def with_next(df: DataFrame, key: str, tie: Column, cols: list[str], rows_per_bucket: int = 4096) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: Column, cols: list[str], rows_per_bucket: int = 4096,
+              keys: DataFrame | None = None) -> DataFrame:
     """Adds next_<col>: the values of the row that follows in ascending (key, tie).
 
     After the last row comes the first; null keys come first. The key range is dealt
     into at most 65 536 equal buckets; the rows with a bucket's smallest key are copied
     to the bucket before it, so no window spans the table. The driver sees one number
-    per bucket.
+    per bucket. keys: the key column of the same rows, where df is costly to make.
     """
     clash = [f"next_{c}" for c in cols if f"next_{c}" in df.columns]
     if clash:
         raise ValueError(f"columns {clash} exist already")
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    keys = df if keys is None else keys
+    low, high, n = keys.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     low, high = (int(low) - 1, int(high)) if low is not None else (0, 0)
     buckets = max(1, min(n // rows_per_bucket, 1 << 16), 64 if n >= 256 else 1)
     width = (high - low) // buckets + 1
+    bucket = F.expr(f"(_key - {low}L) div {width}L")
     place = F.coalesce(F.col(key).cast("long"), F.lit(low))
-    df = df.withColumns({"_key": place, "_tie": tie}).withColumn(
-        "_bucket", F.expr(f"(_key - {low}L) div {width}L")
-    )
-    heads = sorted(tuple(r) for r in df.groupBy("_bucket").agg(F.min("_key")).collect())
+    keys = keys.select(place.alias("_key")).withColumn("_bucket", bucket)
+    df = df.withColumns({"_key": place, "_tie": tie}).withColumn("_bucket", bucket)
+    heads = sorted(tuple(r) for r in keys.groupBy("_bucket").agg(F.min("_key")).collect())
     ring = [(b, k, heads[i - 1][0]) for i, (b, k) in enumerate(heads)]
     heads_df = df.sparkSession.createDataFrame(ring, "_bucket long, _head long, _before long")
     own = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("copy"))

@@ -86,7 +86,7 @@ def compare_with_edit(df: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     base = df.select(F.col(key), whole_text(text).alias("body")).withColumn("n_chars", F.length("body").cast("long"))
     base = sketches(base, "body", "print", k, width)
-    ring = with_next(base, key, F.xxhash64("body"), ["body", "print"])
+    ring = with_next(base, key, F.xxhash64("body"), ["body", "print"], keys=df.select(key))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(
         F.substring("body", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next_body", F.lit(1), quarter)
