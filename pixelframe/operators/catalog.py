@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import SALTS, idiv, require
+from ..layout import SALTS, idiv
 
 # Bit of each colour space in an accepts-mask.
 COLORSPACE_BITS = {"GRAY": 1, "RGB": 2, "LUT": 4, "ARGB": 8}
@@ -80,7 +80,10 @@ def delete_frame(df: DataFrame, ids: DataFrame) -> DataFrame:
     return kept.join(slotted, ["image_id", "_slot"], "left_anti").select(*df.columns)
 
 
-def find_frame(images: DataFrame, name: str) -> DataFrame:
+def find_frame(images: DataFrame, name: str | DataFrame) -> DataFrame:
+    """Frames of a name, or of any name in a table with a column ``name``."""
+    if isinstance(name, DataFrame):
+        return images.join(name.select("name").distinct(), "name", "left_semi").select(*images.columns)
     return images.where(F.col("name") == name)
 
 
@@ -146,8 +149,3 @@ def get_area(regions: DataFrame) -> DataFrame:
         (F.col("x1") - F.col("x0")).alias("width"),
         (F.col("y1") - F.col("y0")).alias("height"),
     )
-
-
-def checked_kind(kind: str) -> str:
-    require(kind in ATTR_KINDS, f"unknown attribute kind {kind}")
-    return kind

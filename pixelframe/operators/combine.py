@@ -59,7 +59,7 @@ def attach_frames(pairs: DataFrame, images: DataFrame) -> DataFrame:
         F.col("width").alias("src_width"),
         F.col("height").alias("src_height"),
     )
-    return attach(pairs, sizes, slot=F.col("dst_id"), key="src_id")
+    return attach(pairs, sizes, slot=F.xxhash64("dst_id"), key="src_id")
 
 
 PAIRS_PER_PART = 1024
@@ -81,8 +81,8 @@ def deal(source: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFr
     )
     slots = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     dealt = (
-        attach(keyed, parts, slot=F.col("dst_id"))
-        .withColumn("_part", F.pmod(F.col("dst_id"), F.col("_parts")))
+        attach(keyed, parts, slot=F.xxhash64("dst_id"))
+        .withColumn("_part", F.pmod(F.xxhash64("dst_id"), F.col("_parts")))
         .withColumn("_slot", slots)
         .drop("_parts")
     )
@@ -235,7 +235,7 @@ def stamp_mask(
     else:
         slots = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         slotted = marks.withColumn("_slot", slots)
-        slot = F.pmod(F.col("image_id"), F.lit(SALTS)).cast("int")
+        slot = F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).cast("int")
         joined = df.withColumn("_slot", slot).join(slotted, ["y", "x", "_slot"], "left")
     return joined.withColumns(
         {

@@ -40,7 +40,7 @@ def _colored(df: DataFrame, fill: dict[str, Column]) -> dict[str, Column]:
     return {c: fill[c] if c in fill else F.col(c) for c in CHANNELS}
 
 
-def black(df_alpha: bool = True) -> dict[str, Column]:
+def black() -> dict[str, Column]:
     """Zero in every component; a missing alpha stays missing."""
     zero = F.lit(0)
     return {"a": F.when(F.col("a").isNotNull(), zero), "r": zero, "g": zero, "b": zero}
@@ -456,10 +456,11 @@ def twirl_nn(df: DataFrame, angle: int, radius: int, cx: int, cy: int) -> DataFr
     """Rotate by angle * (1 - d / radius) inside the disc; outside unchanged."""
     cells, rest = _twirled(df, angle, radius, cx, cy)
     valid = _inside(F.col("_sx"), F.col("_sy"))
-    wanted = cells.withColumns(
+    zero = _moved(cells.where(~valid), **black())
+    wanted = cells.where(valid).withColumns(
         {
-            "_qx": F.when(valid, F.floor(F.col("_sx") + 0.5).cast("int")),
-            "_qy": F.when(valid, F.floor(F.col("_sy") + 0.5).cast("int")),
+            "_qx": F.floor(F.col("_sx") + 0.5).cast("int"),
+            "_qy": F.floor(F.col("_sy") + 0.5).cast("int"),
         }
     )
     read = wanted.join(
@@ -467,7 +468,7 @@ def twirl_nn(df: DataFrame, angle: int, radius: int, cx: int, cy: int) -> DataFr
     )
     new = {c: F.coalesce(F.col(f"q_{c}"), F.lit(0)) for c in COLORS}
     new["a"] = F.when(F.col("a").isNotNull(), F.coalesce(F.col("q_a"), F.lit(0)))
-    return _moved(read, **new).unionByName(as_pixels(rest))
+    return _moved(read, **new).unionByName(zero).unionByName(as_pixels(rest))
 
 
 def twirl_bilinear(df: DataFrame, angle: int, radius: int, cx: int, cy: int) -> DataFrame:
@@ -540,29 +541,32 @@ FIXED_ONE = 4096
 
 
 def _averaged(df: DataFrame, axis: str, size: str, new: int) -> DataFrame:
-    """One pass of area weighting along an axis, in 1/4096 steps.
+    """One pass of area weighting along an axis, in steps of 1/one.
 
-    Source line i covers [i*s, (i+1)*s) with s = new*4096 div old, destination
-    line j covers [j*4096, (j+1)*4096); the weight is the overlap, and what is
-    missing at the end goes to the last source line.
+    Source line i covers [i*s, (i+1)*s) with s = new*one div old, destination
+    line j covers [j*one, (j+1)*one); the weight is the overlap, and what is
+    missing at the end goes to the last source line. one is 4096; beyond 4096 old
+    lines to a new one, where s would be 0, it is 2^28.
     """
     other, other_size = ("x", "width") if axis == "y" else ("y", "height")
-    step = idiv(F.lit(new * FIXED_ONE), F.col(size))
+    one = F.when(F.col(size) > new * FIXED_ONE, F.lit(1 << 28)).otherwise(F.lit(FIXED_ONE)).cast("bigint")
+    step = idiv(one * new, F.col(size))
     lo = F.col(axis) * step
     last = F.col(axis) == F.col(size) - 1
-    hi = F.when(last, F.lit(new * FIXED_ONE).cast("bigint")).otherwise(lo + step)
-    ranged = df.withColumns({"_lo": lo, "_hi": hi})
+    hi = F.when(last, one * new).otherwise(lo + step)
+    ranged = df.withColumns({"_lo": lo, "_hi": hi, "_one": one})
+    one = F.col("_one")
     cells = ranged.withColumn(
         "_j",
         F.explode(
-            span(idiv(F.col("_lo"), FIXED_ONE), idiv(F.col("_hi") + FIXED_ONE - 1, FIXED_ONE))
+            span(idiv(F.col("_lo"), one), idiv(F.col("_hi") + one - 1, one))
         ),
     )
-    begin = F.greatest(F.col("_lo"), F.col("_j") * FIXED_ONE)
-    end = F.least(F.col("_hi"), (F.col("_j") + 1) * FIXED_ONE)
+    begin = F.greatest(F.col("_lo"), F.col("_j") * one)
+    end = F.least(F.col("_hi"), (F.col("_j") + 1) * one)
     weighed = cells.withColumn("_k", end - begin)
     value = lambda c: F.least(
-        F.lit(255), idiv(F.sum(F.col(c) * F.col("_k")) + FIXED_ONE // 2, FIXED_ONE)
+        F.lit(255), idiv(F.sum(F.col(c) * F.col("_k")) + F.expr("max(_one) div 2"), F.max(one))
     )
     summed = weighed.groupBy(
         "image_id", F.col("_j").cast("int").alias(axis), other, other_size

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..layout import COLORS, SALTS, attach, idiv, packed_rgb, require
@@ -19,7 +20,7 @@ MAX_PENS = 256
 PALETTE_SCHEMA = "image_id bigint, pen int, r int, g int, b int"
 DIRECT_PENS = 64  # up to here each pixel is matched on its own
 ARRAY_BYTES = 16_384  # a palette of 256 pens as an array of structs
-COHORT = 64  # images dithered side by side in one task
+COHORT_PIXELS = 1 << 16  # images dithered side by side in one task hold about as many
 
 
 def _check_pens(colors: int) -> None:
@@ -75,23 +76,16 @@ class _Box:
         return _Box(lo, size, total - self.hits)
 
 
-MAX_BOXES = 300
-
-
 def cut_boxes(weights: np.ndarray, colors: int) -> list[_Box]:
-    """Median cut: divide the box with most hits (the last of equals) until done."""
+    """Median cut: the occupied box with most hits (the last of equals) is divided until
+    there are as many as colours or nothing is left to divide; empty parts are dropped."""
     boxes = [_Box([0] * weights.ndim, list(weights.shape), int(weights.sum()))]
-    at, made = 0, 0
-    while made < colors:
-        box = boxes[at]
-        rest = box.divide(weights)
-        boxes.insert(at + 1, rest)
-        if box.hits and rest.hits:
-            made += 1
-        splittable = [(b.hits, i) for i, b in enumerate(boxes) if max(b.size) > 1]
-        best, at = max(splittable, default=(0, -1))
-        if best <= 1 or len(boxes) > MAX_BOXES:
+    while len(boxes) < colors:
+        hits, at = max(((b.hits, i) for i, b in enumerate(boxes) if max(b.size) > 1), default=(0, 0))
+        if hits <= 1:
             break
+        rest = boxes[at].divide(weights)
+        boxes[at : at + 1] = [b for b in (boxes[at], rest) if b.hits]
     return boxes
 
 
@@ -101,11 +95,10 @@ def _median_cut_image(hist: pd.DataFrame, colors: int) -> pd.DataFrame:
     cube = cube.reshape(32, 64, 32)
     pens = []
     for box in cut_boxes((cube > 0).astype(np.int64), colors):
-        if box.hits and len(pens) < colors:
-            cells = box.cells(cube)
-            best = np.unravel_index(int(np.argmax(cells)), cells.shape)
-            r, g, b = (int(o + i) for o, i in zip(box.lo, best))
-            pens.append((r << 3, g << 2, b << 3))
+        cells = box.cells(cube)
+        best = np.unravel_index(int(np.argmax(cells)), cells.shape)
+        r, g, b = (int(o + i) for o, i in zip(box.lo, best))
+        pens.append((r << 3 | r >> 2, g << 2 | g >> 4, b << 3 | b >> 2))
     out = pd.DataFrame(pens, columns=list(COLORS), dtype="int32")
     out.insert(0, "pen", np.arange(len(out), dtype="int32"))
     out.insert(0, "image_id", hist["image_id"].iloc[0])
@@ -130,11 +123,10 @@ def _median_cut_levels(hist: pd.DataFrame, colors: int) -> pd.DataFrame:
     levels = np.zeros(256, dtype=np.int64)
     levels[hist["value"].to_numpy()] = hist["n"].to_numpy()
     pens = []
-    for box in cut_boxes(levels, colors)[:colors]:
+    for box in cut_boxes(levels, colors):
         cells = box.cells(levels)
-        weight = int(cells.sum())
         at = np.arange(box.lo[0], box.lo[0] + box.size[0])
-        pens.append(int((cells * at).sum()) // weight if weight else 0)
+        pens.append(int((cells * at).sum()) // int(cells.sum()))
     shade = np.array(pens, dtype="int32")
     return pd.DataFrame(
         {
@@ -166,7 +158,7 @@ def palette_force(images: DataFrame, palettes: DataFrame) -> DataFrame:
     stored = palettes.groupBy("palette_id").agg(
         F.sort_array(F.collect_list(F.struct("pen", *COLORS))).alias("pal")
     )
-    joined = attach(images, stored, slot=F.col("image_id"), key="palette_id")
+    joined = attach(images, stored, slot=F.xxhash64("image_id"), key="palette_id")
     return joined.select("image_id", F.inline("pal"))
 
 
@@ -190,13 +182,12 @@ def palette_arrays(palettes: DataFrame) -> DataFrame:
 
 
 def palette_bytes(palettes: DataFrame) -> DataFrame:
-    """One row per image: ``pal``, three bytes per pen (768 bytes at most).
-
-    Pens are numbered from 0 without gaps.
-    """
+    """One row per image: ``pal``, three bytes per pen, and ``_pens``, their numbers."""
     code = lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in COLORS])
     text = F.array_join(F.transform("pal", code), "")
-    return palette_arrays(palettes).select("image_id", F.unhex(text).alias("pal"))
+    return palette_arrays(palettes).select(
+        "image_id", F.unhex(text).alias("pal"), F.col("pal.pen").alias("_pens")
+    )
 
 
 def nearest_pens(rgb: np.ndarray, choice: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -210,11 +201,11 @@ def nearest_pens(rgb: np.ndarray, choice: np.ndarray, tables: np.ndarray) -> np.
 
 
 def _nearest_pen():
-    """Column: index of the entry of ``pal`` nearest to (r, g, b), in Arrow batches."""
+    """Column: number of the pen nearest to (r, g, b), in Arrow batches; NULL without palette."""
 
     @F.arrow_udf("int")
     def match(r: pa.Array, g: pa.Array, b: pa.Array, pal: pa.Array) -> pa.Array:
-        coded = pal.dictionary_encode()
+        coded = pc.fill_null(pal, bytes(3)).dictionary_encode()
         found = [
             np.frombuffer(p, dtype=np.uint8).reshape(-1, 3) for p in coded.dictionary.to_pylist()
         ]
@@ -227,13 +218,15 @@ def _nearest_pen():
         choice = coded.indices.to_numpy()
         return pa.array(nearest_pens(rgb.astype(np.int32), choice, tables.astype(np.int32)))
 
-    return match("r", "g", "b", "pal")
+    return F.get("_pens", match("r", "g", "b", "pal"))
 
 
 def map_to_palette(
     df: DataFrame, palettes: DataFrame, pens: int = MAX_PENS, rows: int | None = None
 ) -> DataFrame:
-    """Add ``pen``: the palette entry nearest in squared RGB distance.
+    """Add ``pen``: the number of the palette entry nearest in squared RGB distance.
+
+    An image without a palette keeps its pixels, with a NULL pen.
 
     The palette travels as a few bytes, so matching is a projection and no pairs
     of rows are formed. With many pens the distinct colours are matched first
@@ -242,11 +235,11 @@ def map_to_palette(
     """
     arrays = palette_bytes(palettes)
     if pens <= DIRECT_PENS:
-        return attach(df, arrays, rows=rows).withColumn("pen", _nearest_pen()).drop("pal")
+        return attach(df, arrays, "left", rows=rows).withColumn("pen", _nearest_pen()).drop("pal", "_pens")
     shades = df.select("image_id", *COLORS, F.pmod("y", F.lit(SALTS)).cast("int").alias("_slot"))
     distinct = shades.groupBy("image_id", *COLORS).agg(F.collect_set("_slot").alias("_slots"))
     matched = (
-        attach(distinct, arrays, rows=rows, slot=packed_rgb())
+        attach(distinct, arrays, "left", rows=rows, slot=packed_rgb())
         .select("image_id", packed_rgb().alias("_rgb"), "_slots", _nearest_pen().alias("pen"))
         .select("image_id", "_rgb", "pen", F.explode("_slots").alias("_slot"))
     )
@@ -270,7 +263,7 @@ def map_gray_to_palette(
     )
     tables = palette_arrays(palettes).select("image_id", levels.alias("_pens"))
     return (
-        attach(df, tables, rows=rows)
+        attach(df, tables, "left", rows=rows)
         .withColumn("pen", F.get("_pens", F.col("r")))
         .drop("_pens")
     )
@@ -321,8 +314,14 @@ def _diffuse_lines(batches: Iterator[pd.DataFrame], channels: str) -> Iterator[p
     def flush() -> Iterator[pd.DataFrame]:
         groups: dict = {}
         for row in pending:
-            groups.setdefault((len(row.r), len(row.pal_r)), []).append(row)
-        for (width, _), rows in groups.items():
+            if row.pal_r is None:  # no palette: the line stays, without pens
+                groups.setdefault((len(row.r), 0), []).append(row)
+            else:
+                groups.setdefault((len(row.r), len(row.pal_r)), []).append(row)
+        for (width, size), rows in groups.items():
+            if not size:
+                yield lines_of(rows, [[None] * width for _ in rows])
+                continue
             stack = lambda prefix: np.stack(
                 [
                     np.stack([np.asarray(getattr(r, prefix + c), dtype=np.int64) for c in channels], 1)
@@ -335,15 +334,12 @@ def _diffuse_lines(batches: Iterator[pd.DataFrame], channels: str) -> Iterator[p
             chosen, below = _diffuse_line(line, carried, pens, rows[0].y % 2 == 1)
             for row, left in zip(rows, below):
                 errors[row.image_id] = left
-            yield pd.DataFrame(
-                {
-                    "image_id": [r.image_id for r in rows],
-                    "width": [r.width for r in rows],
-                    "height": [r.height for r in rows],
-                    "y": [r.y for r in rows],
-                    "pens": list(chosen),
-                }
-            )
+            numbers = np.stack([np.asarray(r.pal_pen, dtype=np.int32) for r in rows])
+            yield lines_of(rows, list(np.take_along_axis(numbers, chosen, axis=1)))
+
+    def lines_of(rows: list, pens: list) -> pd.DataFrame:
+        fixed = {c: [getattr(r, c) for r in rows] for c in ("image_id", "width", "height", "y")}
+        return pd.DataFrame({**fixed, "pens": pens})
 
     for batch in batches:
         for row in batch.itertuples(index=False):
@@ -363,21 +359,26 @@ def _error_diffusion(
     """Serpentine error diffusion; parallel over images, serial inside one.
 
     Each pixel depends on all earlier ones, so an image cannot be divided.
-    Tasks stream scan lines in order and keep one line of errors per image, at
-    most COHORT images at a time: memory does not grow with the image height.
+    Tasks stream scan lines in order and keep one line of errors per image. Small
+    images go side by side in cohorts of about COHORT_PIXELS, a large one alone:
+    memory does not grow with the image height, nor does a task hold many large ones.
     """
+    power = F.ceil(F.log2(F.col("width").cast("bigint") * F.col("height"))).cast("int")
+    together = F.greatest(F.lit(1), F.call_function("shiftright", F.lit(COHORT_PIXELS), F.least(F.lit(30), power)))
+    cohort = F.xxhash64(power, idiv(F.col("image_id"), together))
     cell = F.struct("x", *channels)
     lines = df.groupBy("image_id", "width", "height", "y").agg(
         F.sort_array(F.collect_list(cell)).alias("cells")
     )
-    keyed = attach(lines, palette_arrays(palettes), rows=rows, row_bytes=ARRAY_BYTES).select(
-        idiv(F.col("image_id"), COHORT).alias("cohort"),
+    keyed = attach(lines, palette_arrays(palettes), "left", rows=rows, row_bytes=ARRAY_BYTES).select(
+        cohort.alias("cohort"),
         "image_id",
         "width",
         "height",
         "y",
         *[F.col(f"cells.{c}").alias(c) for c in channels],
         *[F.col(f"pal.{c}").alias(f"pal_{c}") for c in channels],
+        F.col("pal.pen").alias("pal_pen"),
     )
     ordered = keyed.repartition("cohort").sortWithinPartitions("cohort", "y", "image_id")
 
@@ -405,9 +406,15 @@ def dither_floyd_steinberg_gray(
 
 
 def expand_indexed(indexed: DataFrame, palettes: DataFrame, rows: int | None = None) -> DataFrame:
-    """Pens back to colours, through the palette array of each image."""
-    joined = attach(indexed, palette_arrays(palettes), rows=rows, row_bytes=ARRAY_BYTES)
-    entry = F.get("pal", F.col("pen"))
+    """Pens back to colours, through the palette array of each image.
+
+    A pen that its palette lacks has NULL colours.
+    """
+    joined = attach(indexed, palette_arrays(palettes), "left", rows=rows, row_bytes=ARRAY_BYTES)
+    straight = F.get("pal", F.col("pen"))  # the usual case: pens 0, 1, 2, ...
+    entry = F.when(straight["pen"] == F.col("pen"), straight).otherwise(
+        F.get(F.filter("pal", lambda p: p["pen"] == F.col("pen")), F.lit(0))
+    )
     return joined.withColumns({c: entry[c] for c in COLORS}).drop("pal")
 
 

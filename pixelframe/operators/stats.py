@@ -19,12 +19,10 @@ def bin_565() -> Column:
 
 
 def bin_color(bin_col: Column) -> dict[str, Column]:
-    """The 8-bit colour of a bin: its lower edge in each channel."""
-    return {
-        "r": F.shiftleft(F.shiftright(bin_col, 11), 3).cast("int"),
-        "g": F.shiftleft(F.shiftright(bin_col, 5).bitwiseAND(F.lit(63)), 2).cast("int"),
-        "b": F.shiftleft(bin_col.bitwiseAND(F.lit(31)), 3).cast("int"),
-    }
+    """The 8-bit colour of a bin: its top bits repeat below, so white stays white."""
+    r, g, b = F.shiftright(bin_col, 11), F.shiftright(bin_col, 5).bitwiseAND(F.lit(63)), bin_col.bitwiseAND(F.lit(31))
+    wide = lambda v, up, down: F.shiftleft(v, up).bitwiseOR(F.shiftright(v, down)).cast("int")
+    return {"r": wide(r, 3, 2), "g": wide(g, 2, 4), "b": wide(b, 3, 2)}
 
 
 def channel_histogram(df: DataFrame, region: Column | None = None) -> DataFrame:
@@ -142,11 +140,14 @@ def curve_arrays(curve: DataFrame) -> DataFrame:
 def lut_apply_per_image(
     df: DataFrame, tables: DataFrame, region: Column | None = None, rows: int | None = None
 ) -> DataFrame:
-    """Map colours through tables (image_id, lut_r, lut_g, lut_b)."""
-    joined = attach(df, tables, rows=rows)
+    """Map colours through tables (image_id, lut_r, lut_g, lut_b).
+
+    An image without a table stays as it is.
+    """
+    joined = attach(df, tables, "left", rows=rows)
     new = {}
     for c in COLORS:
-        mapped = F.get(F.col(f"lut_{c}"), F.col(c))
+        mapped = F.coalesce(F.get(F.col(f"lut_{c}"), F.col(c)), F.col(c))
         new[c] = mapped if region is None else F.when(region, mapped).otherwise(F.col(c))
     return joined.withColumns(new).drop("lut_r", "lut_g", "lut_b")
 

@@ -117,19 +117,27 @@ def embed(
     passphrase: str,
     channels: str = "rgb",
     rows: int | None = None,
+    refused: str = "raise",
 ) -> DataFrame:
-    """Write (image_id, name, payload) into the frames; what does not fit is left out.
+    """Write (image_id, name, payload) into the frames.
+
+    A payload that does not fit is an error; with ``refused="skip"`` its frame
+    stays as it is, and ``fits`` tells which those are.
 
     Long payloads are cut into chunks that are dealt over tasks before bits are
     made; the bits meet the pixels in an equi join on their coordinates.
     """
+    require(refused in ("raise", "skip"), "refused is raise or skip")
     names = _samples(channels)
     keys = rotations(df, passphrase, channels)
-    streams = (
-        fits(df, payloads, channels)
-        .where("fits")
-        .select("image_id", byte_stream(F.col("name"), F.col("payload")).alias("stream"))
-    )
+    judged = fits(df, payloads, channels)
+    stream = byte_stream(F.col("name"), F.col("payload"))
+    if refused == "raise":
+        text = F.concat(F.lit("payload too long for image "), F.col("image_id").cast("string"))
+        stream = F.when(F.col("fits"), stream).otherwise(F.raise_error(text).cast("binary"))
+    else:
+        judged = judged.where("fits")
+    streams = judged.select("image_id", stream.alias("stream"))
     chunks = streams.select(
         "image_id",
         F.posexplode(

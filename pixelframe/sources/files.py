@@ -66,10 +66,13 @@ def load_images(
     spark: SparkSession,
     path: str,
     image_id: Callable[[Column], Column] | None = None,
-    drop_invalid: bool = True,
+    invalid: str = "raise",
 ) -> DataFrame:
     """Decode image files to pixels.
 
+    A file that cannot be decoded is an error; ``invalid="skip"`` leaves it to
+    ``rejected_images``.
+
     ``image_id`` makes the number of an image from its path; the default is a
     63-bit hash.
 
@@ -77,13 +80,12 @@ def load_images(
     opacity, ours a transparency. Images are cut into scan lines in the JVM, so
     what travels to Python in one row is a line, never a whole image.
     """
-    raw = (
-        spark.read.format("image")
-        .option("dropInvalid", str(drop_invalid).lower())
-        .load(path)
-        .select("image.*")
-    )
+    require(invalid in ("raise", "skip"), "invalid is raise or skip")
+    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
     origin = F.col("origin")
+    if invalid == "raise":
+        stop = F.raise_error(F.concat(F.lit("cannot decode "), origin))
+        raw = raw.withColumn("height", F.when(_decoded(), F.col("height")).otherwise(stop.cast("int")))
     number = image_id(origin) if image_id else F.xxhash64(origin).bitwiseAND(F.lit(2**63 - 1))
     keyed = raw.select(
         number.cast("bigint").alias("image_id"),
@@ -104,6 +106,16 @@ def load_images(
     return lines.mapInArrow(_decode_lines, PIXEL_SCHEMA)
 
 
+def _decoded() -> Column:
+    return (F.col("width") > 0) & (F.col("height") > 0)
+
+
+def rejected_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files under a folder that cannot be decoded."""
+    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    return raw.where(~_decoded()).select(F.col("origin").alias("path"))
+
+
 PIXELS_PER_BATCH = 500_000
 
 

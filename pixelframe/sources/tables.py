@@ -1,8 +1,8 @@
 """Rasters bound to ordinary tables.
 
 The bindings place a row by arithmetic on its dense key (no ranking, no
-shuffle); ``rgb_from_lineitem`` has no such key and ranks in two levels. The
-last image of a table is completed with black pixels, nothing is dropped.
+shuffle); ``rgb_from_lineitem`` has no such key and ranks in two levels. Keys
+that an image lacks, inside or at the end, become black pixels; nothing is dropped.
 """
 
 from __future__ import annotations
@@ -32,10 +32,16 @@ def widen(df: DataFrame, key: str) -> DataFrame:
 
 
 def missing_keys(df: DataFrame, key: str, block: int) -> DataFrame:
-    """Keys that complete the last block of a dense key: fewer than ``block``."""
-    last = df.agg(F.max(key).alias("last"))
-    end = (idiv(F.col("last"), block) + 1) * block
-    return last.select(F.explode(span(F.col("last") + 1, end)).alias("k"))
+    """Keys that complete each block of ``block`` keys of which the table has some.
+
+    A block's keys are gathered as places inside it, at most ``block`` small numbers.
+    """
+    place = (F.col(key) % block).cast("int")
+    blocks = df.where(F.col(key) >= 0).groupBy(idiv(F.col(key), block).alias("_block")).agg(F.collect_set(place).alias("_held"))
+    free = F.array_except(F.sequence(F.lit(0), F.lit(block - 1)), "_held")
+    return blocks.where(F.size("_held") < block).select(
+        F.explode(F.transform(free, lambda p: F.col("_block") * block + p)).alias("k")
+    )
 
 
 def gray_from_embeddings(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,5 +245,10 @@ def byte_plot(df: DataFrame, key: str, text: str, width: int = BYTE_WIDTH) -> Da
 
 
 def image_bound(spark: SparkSession, folder: str, table: str, per_image: int) -> int:
-    """Proven number of images of a dense-key binding, from Parquet row counts."""
-    return read_table(spark, folder, table).count() // per_image + 1
+    """Bound on the images of a binding: as many as rows, or as its keys span.
+
+    The span comes from the extremes of the key, so gaps cannot hide images.
+    """
+    key = {"orders": "o_orderkey", "embeddings": "vec_id", "documents": "doc_id"}[table]
+    rows, low, high = read_table(spark, folder, table).agg(F.count(key), F.min(key), F.max(key)).first()
+    return min(rows, high // per_image - low // per_image + 1) if rows else 0

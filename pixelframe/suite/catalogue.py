@@ -158,8 +158,7 @@ def _(spark, d):
 SELECT image_id, name, width, height FROM images WHERE name = (SELECT c_name FROM customer WHERE c_custkey = 17)""")
 def _(spark, d):
     df = images(spark, d)
-    name = df.where("image_id = 17").select(F.col("name").alias("wanted"))
-    return df.join(name, df.name == name.wanted, "left_semi").select("image_id", "name", "width", "height")
+    return catalog.find_frame(df, df.where("image_id = 17")).select("image_id", "name", "width", "height")
 
 
 @query("attach_frames", f"""WITH {IMAGES_SQL},

@@ -104,15 +104,22 @@ def _(spark, d):
 
 
 @query("remove_isolated", sql_then(GRAY_SQL, LINES_CUT_SQL + """,
+coded AS (SELECT image_id, y, x, r * 65536 + g * 256 + b AS v FROM cut),
+sides AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS e FROM coded WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+threes AS (
+  SELECT *, CASE WHEN l IS NULL OR e IS NULL THEN NULL ELSE least(l, v, e) END AS least3,
+         CASE WHEN l IS NULL OR e IS NULL THEN NULL ELSE greatest(l, v, e) END AS most3 FROM sides),
 around AS (
-  SELECT p.image_id, p.y, p.x, count(*) AS n, min(q.r * 65536 + q.g * 256 + q.b) AS lo,
-         max(q.r * 65536 + q.g * 256 + q.b) AS hi
-  FROM cut p JOIN cut q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1
-       AND NOT (q.y = p.y AND q.x = p.x)
-  GROUP BY p.image_id, p.y, p.x)""", """
+  SELECT image_id, y, x, l, e, lag(least3) OVER w AS lo_up, lag(most3) OVER w AS hi_up,
+         lead(least3) OVER w AS lo_down, lead(most3) OVER w AS hi_down
+  FROM threes WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
+judged AS (
+  SELECT image_id, y, x,
+         CASE WHEN l IS NULL OR e IS NULL OR lo_up IS NULL OR lo_down IS NULL THEN 0 ELSE 8 END AS n,
+         least(l, e, lo_up, lo_down) AS lo, greatest(l, e, hi_up, hi_down) AS hi FROM around)""", """
 SELECT p.image_id, p.y, p.x, CAST(CASE WHEN n = 8 AND lo = hi THEN lo // 65536 ELSE r END AS INTEGER) AS r,
        CAST(CASE WHEN n = 8 AND lo = hi THEN lo // 256 % 256 ELSE g END AS INTEGER) AS g,
        CAST(CASE WHEN n = 8 AND lo = hi THEN lo % 256 ELSE b END AS INTEGER) AS b
-FROM cut p JOIN around a ON a.image_id = p.image_id AND a.y = p.y AND a.x = p.x"""))
+FROM cut p JOIN judged a ON a.image_id = p.image_id AND a.y = p.y AND a.x = p.x"""))
 def _(spark, d):
     return shown(stencil.remove_isolated(tone.threshold_channel(gray(spark, d), 200)))

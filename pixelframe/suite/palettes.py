@@ -16,8 +16,9 @@ POPULAR_SQL = """
 bins AS (SELECT image_id, (r >> 3) * 2048 + (g >> 2) * 32 + (b >> 3) AS bin, count(*) AS n
          FROM px GROUP BY image_id, bin),
 palette AS (
-  SELECT image_id, pen, CAST((bin // 2048) * 8 AS INTEGER) AS r,
-         CAST((bin // 32) % 64 * 4 AS INTEGER) AS g, CAST(bin % 32 * 8 AS INTEGER) AS b
+  SELECT image_id, pen, CAST((bin // 2048) * 8 + (bin // 2048) // 4 AS INTEGER) AS r,
+         CAST((bin // 32) % 64 * 4 + (bin // 32) % 64 // 16 AS INTEGER) AS g,
+         CAST(bin % 32 * 8 + bin % 32 // 4 AS INTEGER) AS b
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY n DESC, bin) - 1 AS INTEGER) AS pen
         FROM bins) WHERE pen < {n})"""
 POPULAR_GRAY_SQL = """

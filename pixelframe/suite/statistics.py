@@ -58,9 +58,15 @@ def _(spark, d):
     return stats.color_count(plot(spark, d))
 
 
-@query("color_count_estimate")
+@query("color_count_estimate", sql(RGB_SQL, """
+SELECT image_id, count(DISTINCT r * 65536 + g * 256 + b) AS exact, true AS within FROM px GROUP BY image_id"""))
 def _(spark, d):
-    return stats.color_count_estimate(rgb(spark, d))
+    """The estimate beside the exact count: within three standard errors (and one colour)."""
+    df = rgb(spark, d)
+    both = stats.color_count_estimate(df, 0.02).join(
+        stats.color_count(df).withColumnRenamed("colors", "exact"), "image_id")
+    near = F.abs(F.col("colors") - F.col("exact")) <= 0.06 * F.col("exact") + 1
+    return both.select("image_id", "exact", near.alias("within"))
 
 
 @query("color_histogram_565", sql(RGB_SQL, f"""

@@ -150,7 +150,9 @@ def test_watermark_positions_are_a_bijection(rgb):
 def test_watermark_too_long_is_refused(spark, rgb):
     loads = spark.createDataFrame([(0, "big", bytes(600))], "image_id long, name string, payload binary")
     assert [r["fits"] for r in watermark.fits(rgb, loads, "argb").collect()] == [False]
-    assert same(watermark.embed(rgb, loads, "k", "argb"), rgb)
+    assert same(watermark.embed(rgb, loads, "k", "argb", refused="skip"), rgb)
+    with pytest.raises(Exception, match="too long"):
+        watermark.embed(rgb, loads, "k", "argb").collect()
 
 
 def test_salted_attach_equals_broadcast(rgb):
