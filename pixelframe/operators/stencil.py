@@ -1,11 +1,9 @@
 """Neighbourhood operators.
 
-* ``convolve`` and ``remove_isolated`` scatter each pixel to the cells that read
-  it and aggregate. Rows of an image are stored together, so the map-side part
-  of the aggregation collapses most of the copies before the shuffle.
+* ``convolve``, ``remove_isolated``, ``median`` and ``hist_eq_local`` cut images into
+  tiles with a halo; each tile is one bounded Arrow group. About 1.03 rows per pixel
+  are shuffled, whatever the number of taps or kernels.
 * ``box_blur_separable`` runs two bounded windows (a line, then a column).
-* ``median`` and ``hist_eq_local`` need a whole neighbourhood at once: images
-  are cut into tiles with a halo and each tile is one small Arrow group.
 """
 
 from __future__ import annotations
@@ -17,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import Kernel
-from ..layout import COLORS, as_pixels, clamp8, idiv, require, span
+from ..layout import COLORS, PIXEL_SCHEMA, as_pixels, idiv, require, span
 
-# Three channel sums share one BIGINT, 21 bits each: the sum of |weights| times
-# 255 has to stay below 2^20.
+# Three channel sums share one BIGINT, 21 bits each.
 FIELD = 21
-FIELD_LIMIT = (1 << (FIELD - 1)) // 255
 CELL = ("image_id", "width", "height", "y", "x")
 
 
@@ -42,84 +38,45 @@ def _fields(packed: Column) -> list[Column]:
     return out
 
 
-def _pixel_word() -> Column:
-    """Alpha (plus one, 0 if missing) and colours in one BIGINT."""
-    word = F.shiftleft(F.coalesce(F.col("a") + 1, F.lit(0)).cast("bigint"), 24)
-    for c, shift in zip(COLORS, (16, 8, 0)):
-        word = word.bitwiseOR(F.shiftleft(F.col(c).cast("bigint"), shift))
-    return word
-
-
-def _word_channels(word: Column) -> dict[str, Column]:
-    alpha = F.shiftright(word, 24)
-    out = {"a": F.when(alpha > 0, (alpha - 1).cast("int"))}
-    for c, shift in zip(COLORS, (16, 8, 0)):
-        out[c] = F.shiftright(word, shift).bitwiseAND(F.lit(255)).cast("int")
+def convolve_tile(
+    view: np.ndarray, inset: tuple[int, int], shape: tuple[int, int], kernels: list[Kernel], radius: int
+) -> np.ndarray:
+    """Kernels x rows x columns x channels: weighted sums, div, bias, clamped."""
+    (top, left), (rows, cols) = inset, shape
+    wide = np.pad(view.astype(np.int64), ((radius, radius), (radius, radius), (0, 0)))
+    out = np.empty((len(kernels), rows, cols, view.shape[2]), dtype=np.uint8)
+    for n, kernel in enumerate(kernels):
+        total = np.zeros((rows, cols, view.shape[2]), dtype=np.int64)
+        for dy, dx, w in kernel.taps():
+            y, x = top + radius + dy, left + radius + dx
+            total += w * wide[y : y + rows, x : x + cols]
+        # division truncates toward zero
+        share = np.abs(total) // abs(kernel.divisor) * np.sign(total) * np.sign(kernel.divisor)
+        out[n] = np.clip(share + kernel.bias, 0, 255)
     return out
 
 
-def _scatter(df: DataFrame, taps: Column) -> DataFrame:
-    """Copies of each pixel at the cells whose tap reads it (fields of ``t``)."""
-    spread = df.select(
-        "image_id",
-        "width",
-        "height",
-        F.col("y").alias("_y"),
-        F.col("x").alias("_x"),
-        _packed_fields().alias("fields"),
-        _pixel_word().alias("word"),
-        F.inline(taps),
-    )
-    return spread.select(
-        "*", (F.col("_y") - F.col("dy")).alias("y"), (F.col("_x") - F.col("dx")).alias("x")
-    ).where("y >= 0 AND y < height AND x >= 0 AND x < width")
-
-
 def convolve(df: DataFrame, kernel: Kernel, region: Column | None = None) -> DataFrame:
     """Integer convolution; taps outside the image are skipped, alpha is kept."""
     return convolve_each(df, [kernel], region).drop("kernel")
 
 
 def convolve_each(
-    df: DataFrame, kernels: list[Kernel], region: Column | None = None
+    df: DataFrame, kernels: list[Kernel], region: Column | None = None, tile: int | None = None
 ) -> DataFrame:
-    """Several kernels in one pass; adds ``kernel``.
+    """Several kernels in one pass over the tiles; adds ``kernel``."""
+    require(all(k.divisor for k in kernels), "a divisor is not zero")
+    radius = max([max(abs(dy), abs(dx)) for k in kernels for dy, dx, _ in k.taps()], default=0)
 
-    The taps are a literal array, so there is no join. The centre is always
-    sent, with weight 0 if need be, because it carries alpha and the pixel
-    itself.
-    """
-    literal = []
-    for n, kernel in enumerate(kernels):
-        taps = kernel.taps()
-        total = sum(abs(w) for _, _, w in taps)
-        require(total <= FIELD_LIMIT, f"weights of {kernel.name} are too large")
-        if not any(dy == dx == 0 for dy, dx, _ in taps):
-            taps = taps + [(0, 0, 0)]
-        literal += [(n, dy, dx, w) for dy, dx, w in taps]
-    array = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(c) for c, v in zip(("k", "dy", "dx", "w"), tap)])
-            for tap in literal
-        ]
-    )
-    cells = _scatter(df, array)
-    centre = (F.col("dy") == 0) & (F.col("dx") == 0)
-    summed = cells.groupBy("k", *CELL).agg(
-        F.sum(F.col("fields") * F.col("w")).alias("total"),
-        F.max(F.when(centre, F.col("word"))).alias("word"),
-    )
-    pick = lambda values: F.lit(list(values))[F.col("k")]
-    old = _word_channels(F.col("word"))
-    new = {"a": old["a"]}
-    for c, total in zip(COLORS, _fields(F.col("total"))):
-        value = clamp8(
-            idiv(total, pick(k.divisor for k in kernels)) + pick(k.bias for k in kernels)
-        )
-        new[c] = value if region is None else F.when(region, value).otherwise(old[c])
-    return summed.select(
-        pick(k.name for k in kernels).alias("kernel"), *CELL, *[v.alias(c) for c, v in new.items()]
-    )
+    def run(view, inset, shape):
+        return convolve_tile(view, inset, shape, kernels, radius)
+
+    names = [k.name for k in kernels]
+    new = tiled(df, radius, run, tile or TILE, names)
+    if region is None:
+        return new
+    outside = as_pixels(df.where(~region)).withColumn("kernel", F.explode(F.lit(names)))
+    return new.where(region).unionByName(outside)
 
 
 def box_blur_separable(df: DataFrame, radius: int) -> DataFrame:
@@ -138,33 +95,29 @@ def box_blur_separable(df: DataFrame, radius: int) -> DataFrame:
     )
 
 
-def remove_isolated(df: DataFrame, region: Column | None = None) -> DataFrame:
-    """Replace a pixel whose eight neighbours share one colour by that colour."""
-    taps = F.array(
-        *[
-            F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-            for dy in (-1, 0, 1)
-            for dx in (-1, 0, 1)
+def isolated_tile(
+    view: np.ndarray, inset: tuple[int, int], shape: tuple[int, int]
+) -> np.ndarray:
+    """The colour of eight equal neighbours, else the pixel's own."""
+    (top, left), (rows, cols) = inset, shape
+    code = view.astype(np.int64) @ np.array([65536, 256, 1])
+    wide = np.pad(code, 1, constant_values=-1)
+    around = np.stack(
+        [
+            wide[top + dy : top + dy + rows, left + dx : left + dx + cols]
+            for dy in range(3)
+            for dx in range(3)
+            if (dy, dx) != (1, 1)
         ]
     )
-    cells = _scatter(df, taps)
-    centre = (F.col("dy") == 0) & (F.col("dx") == 0)
-    around = F.when(~centre, F.col("word").bitwiseAND(F.lit(0xFFFFFF).cast("bigint")))
-    seen = cells.groupBy(*CELL).agg(
-        F.count(around).alias("n"),
-        F.min(around).alias("least"),
-        F.max(around).alias("most"),
-        F.max(F.when(centre, F.col("word"))).alias("word"),
-    )
-    lone = (F.col("n") == 8) & (F.col("least") == F.col("most"))
-    if region is not None:
-        lone = lone & region
-    old, new = _word_channels(F.col("word")), _word_channels(F.col("least"))
-    return seen.select(
-        *CELL,
-        old["a"].alias("a"),
-        *[F.when(lone, new[c]).otherwise(old[c]).alias(c) for c in COLORS],
-    )
+    lone = (around.min(axis=0) == around.max(axis=0)) & (around[0] >= 0)
+    new = np.where(lone, around[0], code[top : top + rows, left : left + cols])
+    return np.stack([new >> 16, new >> 8 & 255, new & 255], axis=-1)
+
+
+def remove_isolated(df: DataFrame, region: Column | None = None) -> DataFrame:
+    """Replace a pixel whose eight neighbours share one colour by that colour."""
+    return _within(df, tiled(df, 1, isolated_tile), region)
 
 
 TILE = 128
@@ -174,11 +127,14 @@ TILE = 128
 TileFunction = Callable[[np.ndarray, tuple[int, int], tuple[int, int]], np.ndarray]
 
 
-def tiled(df: DataFrame, radius: int, fn: TileFunction, tile: int = TILE) -> DataFrame:
+def tiled(
+    df: DataFrame, radius: int, fn: TileFunction, tile: int = TILE, names: list[str] | None = None
+) -> DataFrame:
     """Run a NumPy neighbourhood function over tiles with a halo of ``radius``.
 
     A pixel goes to its own tile and to those whose halo holds it, so a group
-    has at most (tile + 2 * radius)^2 rows whatever the size of the image.
+    has at most (tile + 2 * radius)^2 rows whatever the size of the image. With
+    ``names`` the function gives one result per name, told apart by ``kernel``.
     """
 
     def tiles(at: str, size: str) -> Column:
@@ -201,14 +157,16 @@ def tiled(df: DataFrame, radius: int, fn: TileFunction, tile: int = TILE) -> Dat
         top, left = int(cy.min()), int(cx.min())
         shape = (int(cy.max()) - top + 1, int(cx.max()) - left + 1)
         out = fn(view, (top - y0, left - x0), shape)
-        new = out[cy - top, cx - left].astype(np.int32)
-        columns = {c: core[c] for c in (*CELL, "a")}
-        columns.update({c: pa.array(new[:, i]) for i, c in enumerate(COLORS)})
-        return pa.table(columns)
-
-    schema = (
-        "image_id bigint, width int, height int, y int, x int, a int, r int, g int, b int"
-    )
+        found = []
+        for name, plane in zip(names or [None], out if names else [out]):
+            new = plane[cy - top, cx - left].astype(np.int32)
+            columns = {} if name is None else {"kernel": pa.array([name] * len(new))}
+            columns.update({c: core[c] for c in (*CELL, "a")})
+            columns.update({c: pa.array(new[:, i]) for i, c in enumerate(COLORS)})
+            found.append(pa.table(columns))
+        return pa.concat_tables(found)
+
+    schema = PIXEL_SCHEMA if names is None else "kernel string, " + PIXEL_SCHEMA
     return (
         spread.select("image_id", "ty", "tx", "width", "height", "y", "x", "a", *COLORS)
         .groupBy("image_id", "ty", "tx")
