@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import CHANNELS, COLORS, clamp8, idiv, require
+from ..layout import CHANNELS, COLORS, attach, clamp8, idiv, require
 from .tone import apply_in_region
 
 Rgb = tuple[int, int, int]
@@ -119,10 +119,24 @@ def transparency(
     tolerance: int = 0,
     everything: bool = False,
     region: Column | None = None,
+    background: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Set alpha on pixels near a colour (or on all); others keep theirs or get 0."""
+    """Set alpha on pixels near a colour (or on all); others keep theirs or get 0.
+
+    ``background`` takes the background colour of each image; ``rows`` bounds the
+    number of images.
+    """
     require(0 <= alpha <= 255, "alpha lies in 0..255")
-    require(everything or color is not None, "give a colour or everything=True")
+    given = everything + background + (color is not None)
+    require(given == 1, "give a colour, background=True or everything=True")
+    if background:
+        from ..operators.stats import background_color
+
+        back = background_color(df).toDF("image_id", "_br", "_bg", "_bb")
+        joined = attach(df, back, "left", rows=rows)
+        near = [F.col(c) for c in ("_br", "_bg", "_bb")]
+        return transparency(joined, alpha, near, tolerance, region=region).select(*df.columns)
     hit = F.lit(True) if everything else distance2(color) <= tolerance * tolerance
     if region is not None:
         hit = hit & region

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..layout import COLORS, SALTS, attach, idiv, packed_rgb, require
 from .stats import bin_color, color_histogram_565, gray_histogram
@@ -277,13 +277,14 @@ def error_limit(error: np.ndarray) -> np.ndarray:
 
 
 def _diffuse_line(
-    line: np.ndarray, carried: np.ndarray, pens: np.ndarray, backward: bool
+    line: np.ndarray, carried: np.ndarray, pens: np.ndarray, backward: bool, opaque: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Dither one scan line of several images at once.
 
     line: images x width x channels; carried: errors from the line above, in
-    sixteenths; pens: images x pens x channels. Returns pen numbers and the
-    errors for the line below.
+    sixteenths; pens: images x pens x channels; opaque: images x width, by how much
+    of 256 a colour shows over black when its pen is chosen. Returns positions of pens
+    and the errors for the line below.
     """
     images, width, channels = line.shape
     below = np.zeros((images, width + 2, channels), dtype=np.int64)
@@ -294,7 +295,7 @@ def _diffuse_line(
     for x in range(width - 1, -1, -1) if backward else range(width):
         error = error_limit((ahead + carried[:, x] + 8) >> 4)
         wanted = np.clip(line[:, x] + error, 0, 255)
-        gap = wanted[:, None, :] - pens
+        gap = (wanted * opaque[:, x, None] >> 8)[:, None, :] - pens
         pen = np.argmin((gap * gap).sum(axis=2), axis=1)
         chosen[:, x] = pen
         left = wanted - pens[every, pen]
@@ -331,7 +332,8 @@ def _diffuse_lines(batches: Iterator[pd.DataFrame], channels: str) -> Iterator[p
             line, pens = stack(""), stack("pal_")
             blank = np.zeros((width, len(channels)), dtype=np.int64)
             carried = np.stack([errors.get(r.image_id, blank) for r in rows])
-            chosen, below = _diffuse_line(line, carried, pens, rows[0].y % 2 == 1)
+            opaque = np.stack([np.asarray(r.opaque, dtype=np.int64) for r in rows])
+            chosen, below = _diffuse_line(line, carried, pens, rows[0].y % 2 == 1, opaque)
             for row, left in zip(rows, below):
                 errors[row.image_id] = left
             numbers = np.stack([np.asarray(r.pal_pen, dtype=np.int32) for r in rows])
@@ -354,7 +356,7 @@ def _diffuse_lines(batches: Iterator[pd.DataFrame], channels: str) -> Iterator[p
 
 
 def _error_diffusion(
-    df: DataFrame, palettes: DataFrame, channels: str, rows: int | None
+    df: DataFrame, palettes: DataFrame, channels: str, rows: int | None, alpha: bool = False
 ) -> DataFrame:
     """Serpentine error diffusion; parallel over images, serial inside one.
 
@@ -366,7 +368,8 @@ def _error_diffusion(
     power = F.ceil(F.log2(F.col("width").cast("bigint") * F.col("height"))).cast("int")
     together = F.greatest(F.lit(1), F.call_function("shiftright", F.lit(COHORT_PIXELS), F.least(F.lit(30), power)))
     cohort = F.xxhash64(power, idiv(F.col("image_id"), together))
-    cell = F.struct("x", *channels)
+    opaque = 255 - F.col("a") if alpha else F.lit(None).cast("int")
+    cell = F.struct("x", *channels, F.coalesce(opaque, F.lit(256)).alias("opaque"))
     lines = df.groupBy("image_id", "width", "height", "y").agg(
         F.sort_array(F.collect_list(cell)).alias("cells")
     )
@@ -376,7 +379,7 @@ def _error_diffusion(
         "width",
         "height",
         "y",
-        *[F.col(f"cells.{c}").alias(c) for c in channels],
+        *[F.col(f"cells.{c}").alias(c) for c in (*channels, "opaque")],
         *[F.col(f"pal.{c}").alias(f"pal_{c}") for c in channels],
         F.col("pal.pen").alias("pal_pen"),
     )
@@ -392,10 +395,13 @@ def _error_diffusion(
 
 
 def dither_floyd_steinberg(
-    df: DataFrame, palettes: DataFrame, rows: int | None = None
+    df: DataFrame, palettes: DataFrame, rows: int | None = None, alpha: bool = False
 ) -> DataFrame:
-    """(image_id, width, height, y, x, pen) by 7/3/5/1 error diffusion."""
-    return _error_diffusion(df, palettes, "rgb", rows)
+    """(image_id, width, height, y, x, pen) by 7/3/5/1 error diffusion.
+
+    With ``alpha`` a pen is chosen for the colour as it shows over black.
+    """
+    return _error_diffusion(df, palettes, "rgb", rows, alpha)
 
 
 def dither_floyd_steinberg_gray(
@@ -418,7 +424,39 @@ def expand_indexed(indexed: DataFrame, palettes: DataFrame, rows: int | None = N
     return joined.withColumns({c: entry[c] for c in COLORS}).drop("pal")
 
 
+def palette_black_white(palettes: DataFrame) -> DataFrame:
+    """Pen 0 black and pen 1 white: the nearest pens change places with them first.
+
+    White is placed before black; pens are numbered 0, 1, 2, ... anew. A palette of
+    one pen gets black only.
+    """
+    gap = lambda p, v: sum((p[c] - v) * (p[c] - v) for c in COLORS)
+
+    def swapped(pal: Column, to: int, shade: int) -> Column:
+        ranks = F.transform(pal, lambda p, i: gap(p, shade).cast("bigint") * 1024 + i)
+        best = F.array_min(ranks) % 1024
+        forced = F.struct(F.lit(to).alias("pen"), *[F.lit(shade).alias(c) for c in COLORS])
+
+        def entry(p: Column, i: Column) -> Column:
+            other = F.when(i == best, F.get(pal, F.lit(to))).otherwise(p)
+            return F.when(i == to, forced).otherwise(
+                F.struct(i.cast("int").alias("pen"), *[other[c].alias(c) for c in COLORS])
+            )
+
+        return F.when(F.size(pal) > to, F.transform(pal, entry)).otherwise(pal)
+
+    arrays = palette_arrays(palettes).withColumn("pal", swapped(F.col("pal"), 1, 255))
+    return arrays.withColumn("pal", swapped(F.col("pal"), 0, 0)).select("image_id", F.inline("pal"))
+
+
+def blend_over_black(df: DataFrame) -> DataFrame:
+    """Colours as they show over black: c * (255 - a) >> 8 where there is alpha."""
+    opaque = F.coalesce(255 - F.col("a"), F.lit(256))
+    return df.withColumns({c: F.shiftright(F.col(c) * opaque, 8) for c in COLORS})
+
+
 PALETTE_METHODS = {"popularity": palette_popularity, "median_cut": palette_median_cut}
+GRAY_METHODS = {"popularity": palette_popularity_gray, "median_cut": palette_median_cut_gray}
 
 
 def render_indexed(
@@ -427,23 +465,41 @@ def render_indexed(
     dither: str = "none",
     palette: str | DataFrame = "popularity",
     rows: int | None = None,
+    gray: bool = False,
+    alpha: bool = False,
+    halfbright: bool = False,
+    force_bw: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Quantise rasters: returns (pens per pixel, palettes).
 
     dither: none, ordered or floyd; palette: popularity, median_cut or a table.
+    gray: rasters of one channel, with gray palettes and lookups. alpha: pens are
+    chosen for the colours as they show over black. halfbright: every pen again at
+    half brightness. force_bw: pen 0 black, pen 1 white.
     """
     require(dither in ("none", "ordered", "floyd"), f"unknown dither {dither}")
+    require(not (gray and alpha), "gray rasters have no alpha")
     if isinstance(palette, DataFrame):
         palettes = palette
     else:
-        require(palette in PALETTE_METHODS, f"unknown palette method {palette}")
-        palettes = PALETTE_METHODS[palette](df, colors)
-    if dither == "floyd":
-        indexed = dither_floyd_steinberg(df, palettes, rows)
+        methods = GRAY_METHODS if gray else PALETTE_METHODS
+        require(palette in methods, f"unknown palette method {palette}")
+        palettes = methods[palette](df, colors)
+    if force_bw:
+        palettes = palette_black_white(palettes)
+    if halfbright:
+        palettes, colors = palette_halfbright(palettes), 2 * colors
+    if dither == "floyd" and gray:
+        indexed = dither_floyd_steinberg_gray(df, palettes, rows)
+    elif dither == "floyd":
+        indexed = dither_floyd_steinberg(df, palettes, rows, alpha)
     else:
         from ..functions.ordered import ordered_dither
 
-        indexed = map_to_palette(
-            ordered_dither(df) if dither == "ordered" else df, palettes, colors, rows
-        )
+        lifted = ordered_dither(df) if dither == "ordered" else df
+        lifted = blend_over_black(lifted) if alpha else lifted
+        if gray:
+            indexed = map_gray_to_palette(lifted, palettes, rows)
+        else:
+            indexed = map_to_palette(lifted, palettes, colors, rows)
     return indexed.select("image_id", "y", "x", "pen"), palettes

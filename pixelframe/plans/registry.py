@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from ..functions import color, noise, ordered, tone
 from ..functions.kernels import preset
 from ..layout import RasterArgumentError
-from ..operators import geometry, stats, stencil
+from ..operators import combine, geometry, quantize, stats, stencil, watermark
 
 Operator = Callable[..., DataFrame]
 Step = tuple[str, Mapping[str, Any]]
@@ -28,6 +28,18 @@ def _resize(df: DataFrame, width, height, fill: str = "black") -> DataFrame:
     return geometry.resize_canvas(df, width, height, fill)
 
 
+def _composite(df: DataFrame, source: DataFrame, pairs: DataFrame, method: str = "direct", ratio: int = 128,
+               rows: int | None = None) -> DataFrame:
+    return combine.composite(df, combine.place(source, pairs, rows), method, ratio)
+
+
+def _render(df: DataFrame, **arguments: Any) -> DataFrame:
+    """Rendered pixels in the colours of their pens."""
+    indexed, palettes = quantize.render_indexed(df, **arguments)
+    sized = df.select("image_id", "width", "height", "y", "x", "a").join(indexed, ["image_id", "y", "x"])
+    return quantize.expand_indexed(sized, palettes, arguments.get("rows")).select(*df.columns)
+
+
 # Stateless projections and filters: these also run on a streaming DataFrame.
 POINT_OPERATORS: dict[str, Operator] = {
     "ADDCONSTANT": tone.add_constant,
@@ -57,13 +69,21 @@ POINT_OPERATORS: dict[str, Operator] = {
 
 OPERATORS: dict[str, Operator] = {
     **POINT_OPERATORS,
+    "ADDALPHA": combine.add_alpha,
     "AUTOCROP": geometry.autocrop,
     "BLUR": stencil.box_blur_separable,
+    "COLORCOUNT": stats.color_count,
+    "COMPOSITE": _composite,
+    "COMPOSITE_TILE": combine.composite_tile,
     "CONVOLUTE": _convolve,
+    "EMBEDFILE": watermark.embed,
+    "EXTRACTFILE": watermark.extract,
     "HISTEQ": stats.hist_eq_global,
     "HISTEQ_LOCAL": stencil.hist_eq_local,
     "MEDIAN": stencil.median,
     "REMOVEISOLATED": stencil.remove_isolated,
+    "RENDER": _render,
+    "TEXT": combine.stamp_mask,
     "RESIZE": _resize,
     "ROTATE": geometry.rotate_nn,
     "ROTATE_BILINEAR": geometry.rotate_bilinear,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..layout import heads
+from ..plans.registry import process
 from ..operators import combine, cutpaste, watermark
 from ..sources.tables import read_table
 from .core import (
@@ -70,6 +71,12 @@ def _(spark, d):
     return shown(composite(argb(spark, d), "mix"))
 
 
+@query("process_composite", composite_sql("mix", False))
+def _(spark, d):
+    df = rgb(spark, d)
+    return shown(process(df, "composite", source=df, pairs=pairs(df), method="mix", ratio=90, rows=rgb_images(spark, d)))
+
+
 TILE_ON_SQL = """s.image_id = p.src_id AND s.y = ((d.y - p.top) % 32 + 32) % 32
   AND s.x = ((d.x - p."left") % 32 + 32) % 32 AND d.x >= 4 AND d.x < 28 AND d.y >= 6 AND d.y < 27"""
 

@@ -8,7 +8,7 @@ from ..layout import heads
 from ..operators import quantize
 from ..sources.tables import read_table
 from .core import (
-    GRAY_SQL, RGB_SQL, gray, gray_images, query, rgb, rgb_images, sql, sql_then,
+    ARGB_SQL, GRAY_SQL, RGB_SQL, argb, gray, gray_images, query, rgb, rgb_images, sql, sql_then,
 )
 from .points import BAYER4_SQL
 
@@ -154,3 +154,64 @@ def _(spark, d):
     indexed, _ = quantize.render_indexed(
         rgb(spark, d), 16, "floyd", "median_cut", rgb_images(spark, d))
     return indexed
+
+
+LIFTED_GRAY_SQL = f"""
+lifted AS (
+  SELECT image_id, y, x, ((r + m) * 16 - r) >> 4 AS r, ((r + m) * 16 - r) >> 4 AS g, ((r + m) * 16 - r) >> 4 AS b
+  FROM (SELECT *, ({BAYER4_SQL})[(y % 4) * 4 + x % 4 + 1] AS m FROM px))"""
+
+
+@query("render_indexed_gray", sql_then(GRAY_SQL, POPULAR_GRAY_SQL.format(n=12) + "," + LIFTED_GRAY_SQL, nearest_sql("lifted")))
+def _(spark, d):
+    indexed, _ = quantize.render_indexed(
+        gray(spark, d), 12, "ordered", "popularity", gray_images(spark, d), gray=True)
+    return indexed
+
+
+@query("render_indexed_alpha", sql_then(ARGB_SQL, POPULAR_SQL.format(n=16) + """,
+lifted AS (SELECT image_id, y, x, (r * (255 - a)) >> 8 AS r, (g * (255 - a)) >> 8 AS g, (b * (255 - a)) >> 8 AS b FROM px)""",
+    nearest_sql("lifted")))
+def _(spark, d):
+    indexed, _ = quantize.render_indexed(
+        argb(spark, d), 16, "none", "popularity", rgb_images(spark, d), alpha=True)
+    return indexed
+
+
+@query("render_halfbright", sql_then(RGB_SQL, POPULAR_SQL.format(n=16).replace("palette AS", "full_pens AS") + """,
+palette AS (
+  SELECT * FROM full_pens
+  UNION ALL
+  SELECT image_id, CAST(pen + max(pen) OVER (PARTITION BY image_id) + 1 AS INTEGER), r // 2, g // 2, b // 2
+  FROM full_pens)""", nearest_sql("px")))
+def _(spark, d):
+    indexed, _ = quantize.render_indexed(
+        rgb(spark, d), 16, "none", "popularity", rgb_images(spark, d), halfbright=True)
+    return indexed
+
+
+def near_pen_sql(source: str, shade: int) -> str:
+    gap = " + ".join(f"({c} - {shade}) * ({c} - {shade})" for c in "rgb")
+    return f"SELECT image_id, arg_min(pen, ({gap}) * 1024 + pen) AS best FROM {source} GROUP BY image_id"
+
+
+BLACK_WHITE_SQL = POPULAR_SQL.format(n=16).replace("palette AS", "found AS") + f""",
+light AS ({near_pen_sql('found', 255)}),
+lit AS (
+  SELECT f.image_id, CASE WHEN pen = 1 THEN best WHEN pen = best THEN 1 ELSE pen END AS pen, r, g, b
+  FROM found f JOIN light USING (image_id)),
+white AS (SELECT image_id, pen, CASE WHEN pen = 1 THEN 255 ELSE r END AS r, CASE WHEN pen = 1 THEN 255 ELSE g END AS g,
+                 CASE WHEN pen = 1 THEN 255 ELSE b END AS b FROM lit),
+dark AS ({near_pen_sql('white', 0)}),
+palette AS (
+  SELECT image_id, pen, CASE WHEN pen = 0 THEN 0 ELSE r END AS r, CASE WHEN pen = 0 THEN 0 ELSE g END AS g,
+         CASE WHEN pen = 0 THEN 0 ELSE b END AS b
+  FROM (SELECT w.image_id, CASE WHEN pen = 0 THEN best WHEN pen = best THEN 0 ELSE pen END AS pen, r, g, b
+        FROM white w JOIN dark USING (image_id)))"""
+
+
+@query("render_force_bw", sql_then(RGB_SQL, BLACK_WHITE_SQL, nearest_sql("px")))
+def _(spark, d):
+    indexed, _ = quantize.render_indexed(
+        rgb(spark, d), 16, "none", "popularity", rgb_images(spark, d), force_bw=True)
+    return indexed

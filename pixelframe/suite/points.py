@@ -227,10 +227,7 @@ SELECT p.image_id, y, x, CASE WHEN (r - br) * (r - br) + (g - bgr) * (g - bgr) +
        <= 8100 THEN 255 ELSE 0 END AS a, r, g, b FROM px p JOIN bg USING (image_id)"""))
 def _(spark, d):
     df = rgb(spark, d)
-    back = stats.background_color(df).toDF("image_id", "_br", "_bg", "_bb")
-    joined = attach(df, back, rows=rgb_images(spark, d))
-    near = [F.col("_br"), F.col("_bg"), F.col("_bb")]
-    return shown(color.transparency(joined, 255, near, 90), "a")
+    return shown(color.transparency(df, 255, tolerance=90, background=True, rows=rgb_images(spark, d)), "a")
 
 
 @query("flatten_alpha", each_sql(ARGB_SQL, "({c} * (255 - a)) >> 8"))
