@@ -164,6 +164,7 @@ def tile(
 
     placed = (
         spread.withColumn("ty", repeats("y", "top", "src_height", "dst_height"))
+        .repartition("dst_id", "ty")  # lines first: a tiny tile must not fill an image in one task
         .withColumn("tx", repeats("x", "left", "src_width", "dst_width"))
         .select(
             F.col("dst_id").alias("image_id"),

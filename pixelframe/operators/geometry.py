@@ -93,7 +93,7 @@ def autocrop(
     # margin cells come from the image head: two side strips on every line, and
     # whole lines where the source has none
     first = heads(df).select("image_id", "height", "a").join(box, "image_id")
-    lines = first.select("*", F.explode(span(F.lit(0), new_h)).alias("line"))
+    lines = first.select("*", F.explode(span(F.lit(0), new_h)).alias("line")).repartition("image_id", "line")
     outside = (F.col("line") + top < 0) | (F.col("line") + top >= F.col("height"))
     inner = F.when(outside, span(F.lit(x_margin), new_w - x_margin))
     cells = F.flatten(
@@ -168,7 +168,10 @@ def _outside_cells(
     inner_h: Column,
     paint: dict[str, Column],
 ) -> DataFrame:
-    """Cells of a w x h canvas not covered by the inner box at (left, top)."""
+    """Cells of a w x h canvas not covered by the inner box at (left, top).
+
+    Lines are dealt over the tasks before their cells are made.
+    """
     lines = first.select(
         "image_id",
         w.alias("_w"),
@@ -178,7 +181,7 @@ def _outside_cells(
         inner_w.alias("_iw"),
         inner_h.alias("_ih"),
         *[paint[c].alias(c) for c in CHANNELS],
-    ).withColumn("y", F.explode(span(F.lit(0), F.col("_h"))))
+    ).withColumn("y", F.explode(span(F.lit(0), F.col("_h")))).repartition("image_id", "y")
     in_rows = (F.col("y") >= F.col("_t")) & (F.col("y") < F.col("_t") + F.col("_ih"))
     sides = F.flatten(
         F.array_compact(
@@ -368,6 +371,7 @@ def _rotated_blank(df: DataFrame, turn: Rotation) -> DataFrame:
         heads(df)
         .withColumns({**black(), "_nw": new_w, "_nh": new_h})
         .withColumn("_dy", F.explode(span(F.lit(0), F.col("_nh"))))
+        .repartition("image_id", "_dy")
         .withColumn("_dx", F.explode(span(F.lit(0), F.col("_nw"))))
     )
     sx, sy = turn.inverse(F.col("_dx"), F.col("_dy"), old, new)
