@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..layout import require
 
 MAX_SIDE = 7
+MOST_KERNELS = 1024  # of one table
 
 
 @dataclass(frozen=True)
@@ -127,9 +128,11 @@ def load_kernels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def collect_kernels(table: DataFrame) -> list[Kernel]:
-    """Kernel rows to objects; at most 49 rows per kernel."""
+    """Kernel rows to objects: at most MOST_KERNELS of up to 49 rows each."""
+    rows = table.limit(MOST_KERNELS * MAX_SIDE**2 + 1).collect()
+    require(len(rows) <= MOST_KERNELS * MAX_SIDE**2, "too many kernels")
     grouped: dict[str, list] = {}
-    for row in table.toLocalIterator():
+    for row in rows:
         grouped.setdefault(row["name"], []).append(row)
     kernels = []
     for name, rows in sorted(grouped.items()):

@@ -255,9 +255,14 @@ def extract(
 
 def assemble(found: DataFrame) -> DataFrame:
     """Whole payloads as BINARY; one value per frame, an eighth of its samples at most."""
-    piece = F.struct("i", F.lpad(F.hex("byte"), 2, "0").alias("h"))
-    gathered = found.groupBy("image_id", "name", "length").agg(
-        F.sort_array(F.collect_list(piece)).alias("pieces")
+    # bytes become pieces of BYTES_PER_CHUNK first: few long values are gathered, not many short
+    letter = F.struct("i", F.lpad(F.hex("byte"), 2, "0").alias("h"))
+    text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda e: e["h"]), "")
+    parts = found.groupBy("image_id", "name", "length", idiv(F.col("i"), BYTES_PER_CHUNK).alias("part")).agg(
+        text(letter).alias("h")
+    )
+    gathered = parts.groupBy("image_id", "name", "length").agg(
+        F.sort_array(F.collect_list(F.struct("part", "h"))).alias("pieces")
     )
     return gathered.select(
         "image_id",

@@ -8,7 +8,7 @@ from ..layout import heads
 from ..operators import quantize
 from ..sources.tables import read_table
 from .core import (
-    ARGB_SQL, GRAY_SQL, RGB_SQL, argb, gray, gray_images, query, rgb, rgb_images, sql, sql_then,
+    ARGB_SQL, GRAY_SQL, RGB_SQL, argb, dither_sql, gray, gray_images, median_cut_gray_sql, median_cut_sql, query, rgb, rgb_images, sql, sql_then,
 )
 from .points import BAYER4_SQL
 
@@ -74,12 +74,12 @@ def _(spark, d):
     return quantize.palette_popularity_gray(gray(spark, d), 12)
 
 
-@query("palette_median_cut")
+@query("palette_median_cut", median_cut_sql(RGB_SQL, 32))
 def _(spark, d):
     return quantize.palette_median_cut(rgb(spark, d), 32)
 
 
-@query("palette_median_cut_gray")
+@query("palette_median_cut_gray", median_cut_gray_sql(GRAY_SQL, 16))
 def _(spark, d):
     return quantize.palette_median_cut_gray(gray(spark, d), 16)
 
@@ -118,14 +118,14 @@ def _(spark, d):
     return pens(quantize.map_gray_to_palette(df, palette, gray_images(spark, d)))
 
 
-@query("dither_floyd_steinberg")
+@query("dither_floyd_steinberg", dither_sql(RGB_SQL, POPULAR_SQL.format(n=16), "rgb"))
 def _(spark, d):
     df = rgb(spark, d)
     palette = quantize.palette_popularity(df, 16)
     return pens(quantize.dither_floyd_steinberg(df, palette, rgb_images(spark, d)))
 
 
-@query("dither_floyd_steinberg_gray")
+@query("dither_floyd_steinberg_gray", dither_sql(GRAY_SQL, POPULAR_GRAY_SQL.format(n=8), "r"))
 def _(spark, d):
     df = gray(spark, d)
     palette = quantize.palette_popularity_gray(df, 8)
@@ -149,7 +149,7 @@ def _(spark, d):
     return indexed
 
 
-@query("render_indexed_floyd")
+@query("render_indexed_floyd", dither_sql(RGB_SQL, f"palette AS ({median_cut_sql(RGB_SQL, 16)})", "rgb"))
 def _(spark, d):
     indexed, _ = quantize.render_indexed(
         rgb(spark, d), 16, "floyd", "median_cut", rgb_images(spark, d))
