@@ -17,7 +17,6 @@ none; without labelled rows of both classes every score is the share of toxic la
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,29 +48,43 @@ def windows(text: str) -> list[bytes]:
     return out
 
 
-def words_of(text: str) -> list[bytes]:
-    return [b" " + w + b" " for w in text.lower().encode().split()]
-
-
-def grams_of(text: str) -> set[bytes]:
-    return {w[i:i + GRAM] for w in set(words_of(text)) for i in range(len(w) - GRAM + 1)}
-
-
-def overshoot(toxic: list[set], ordinary: list[set]) -> set[bytes]:
+def grams_of(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words in a row with single blanks around, and the byte pieces inside one word
+    (its blanks included) as numbers, with their places."""
+    raw = b" " + b" ".join(text.lower().encode().split()) + b" "
+    a = np.frombuffer(raw, np.uint8).astype(np.int64)
+    n = len(a) - GRAM + 1
+    if n < 1:
+        return raw, np.empty(0, np.int64), np.empty(0, np.int64)
+    value, broken = a[:n].copy(), np.zeros(n, bool)
+    for i in range(1, GRAM):
+        value = value << 8 | a[i:n + i]
+        if i < GRAM - 1:
+            broken |= a[i:n + i] == 32
+    place = np.flatnonzero(~broken)
+    return raw, value[place], place
+
+
+def overshoot(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> np.ndarray:
     """Byte pieces far more frequent in toxic than in ordinary documents."""
-    a, b = Counter(), Counter()
-    for g in toxic:
-        a.update(g)
-    for g in ordinary:
-        b.update(g)
     m, n = len(toxic), len(ordinary)
+    grams, a = np.unique(np.concatenate(toxic), return_counts=True)
+    other, count = np.unique(np.concatenate(ordinary), return_counts=True)
+    grams, a = grams[a >= 3], a[a >= 3]
+    at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
+    b = np.where(other[at] == grams, count[at], 0) if len(other) else np.zeros(len(grams))
+    pool = (a + b) / (m + n)
+    z = (a / m - b / n) / np.maximum(1e-9, np.sqrt(pool * (1 - pool) * (1 / m + 1 / n)))
     bar = min(OVERSHOOT, max(2.0, 0.6 * (m * n / (m + n)) ** 0.5))  # what small samples can show
-    found = set()
-    for g, c in a.items():
-        p, q, pool = c / m, b[g] / n, (c + b[g]) / (m + n)
-        if c >= 3 and (p - q) / max(1e-9, (pool * (1 - pool) * (1 / m + 1 / n)) ** 0.5) >= bar:
-            found.add(g)
-    return found
+    return grams[z >= bar]
+
+
+def loud_words(text: str, marks: np.ndarray) -> list[bytes]:
+    """The words, blanks around them included, that hold one of the pieces."""
+    raw, values, places = grams_of(text)
+    blanks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    words = np.unique(np.searchsorted(blanks, places[np.isin(values, marks)], "right") - 1)
+    return [raw[blanks[k]:blanks[k + 1] + 1] for k in words.tolist()]
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -131,9 +144,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def toxic_dictionary(toxic: list[str], grams: list[set], ordinary: list[set]) -> bytes:
+def toxic_dictionary(toxic: list[str], grams: list[np.ndarray], ordinary: list[np.ndarray]) -> bytes:
     marks = overshoot(grams, ordinary)
-    loud = [w for t in toxic for w in words_of(t) if any(w[i:i + GRAM] in marks for i in range(len(w) - GRAM + 1))]
+    loud = [w for t in toxic for w in loud_words(t, marks)]
     loud = loud or [w for t in toxic for w in windows(t)] or [b" "]
     return dictionary(loud * max(1, 4000 // len(loud)), TOXIC_BYTES)
 
@@ -146,7 +159,7 @@ def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Mod
     if len(toxic) < FOLDS or len(ordinary) < FOLDS:
         n = len(toxic) + len(ordinary)
         return Model(prior=len(toxic) / n if n else 0.0)
-    loud, calm = [grams_of(t) for t in toxic], [grams_of(t) for t in ordinary]
+    loud, calm = ([np.unique(grams_of(t)[1]) for t in texts] for texts in (toxic, ordinary))
     common = dictionary([w for t in ordinary for w in windows(t)][:200_000] or [b" "], ORDINARY_BYTES)
     xs, ys = [], []
     for k in range(FOLDS):
