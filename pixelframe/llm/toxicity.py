@@ -87,12 +87,12 @@ def loud_words(text: str, marks: np.ndarray) -> list[bytes]:
     return [raw[blanks[k]:blanks[k + 1] + 1] for k in words.tolist()]
 
 
-def dictionary(samples: list[bytes], size: int) -> bytes:
+def dictionary(samples: list[bytes], size: int, **cover: int) -> bytes:
     """Content of a trained dictionary; of too few samples the different ones in a row."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, **cover).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -112,7 +112,7 @@ class Model:
         import zstandard as z
 
         params = z.ZstdCompressionParameters(
-            window_log=17, chain_log=15, hash_log=16, search_log=5, min_match=5, target_length=64,
+            window_log=17, chain_log=17, hash_log=17, search_log=6, min_match=5, target_length=64,
             strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         sides = []
         for content in (self.ordinary, self.toxic + self.ordinary):
@@ -148,7 +148,8 @@ def toxic_dictionary(toxic: list[str], grams: list[np.ndarray], ordinary: list[n
     marks = overshoot(grams, ordinary)
     loud = [w for t in toxic for w in loud_words(t, marks)]
     loud = loud or [w for t in toxic for w in windows(t)] or [b" "]
-    return dictionary(loud * max(1, 4000 // len(loud)), TOXIC_BYTES)
+    # pieces of 6 bytes, so that short words count, in stretches of 32
+    return dictionary(loud * max(1, 4000 // len(loud)), TOXIC_BYTES, d=GRAM, k=32)
 
 
 def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model:
