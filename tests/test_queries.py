@@ -51,7 +51,7 @@ def test_entry(spark):
 def test_no_cross_joins(spark, folder):
     """No plan contains a cartesian product; nested loops appear nowhere."""
     for name, build in BUILDS.items():
-        if name.startswith("save_"):
+        if name.startswith(("save_", "op", "pipeline")):  # these run jobs while they are built
             continue
         plan = build(spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
