@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.kernels import Kernel
 from ..layout import COLORS, PIXEL_SCHEMA, as_pixels, idiv, require, span
 
-# Three channel sums share one BIGINT, 21 bits each.
+# Three channel sums share one BIGINT, 21 bits each; weights times 255 stay below 2^20.
 FIELD = 21
+WEIGHT_LIMIT = (1 << (FIELD - 1)) // 255
 CELL = ("image_id", "width", "height", "y", "x")
 
 
@@ -65,7 +66,10 @@ def convolve_each(
     df: DataFrame, kernels: list[Kernel], region: Column | None = None, tile: int | None = None
 ) -> DataFrame:
     """Several kernels in one pass over the tiles; adds ``kernel``."""
-    require(all(k.divisor for k in kernels), "a divisor is not zero")
+    for kernel in kernels:
+        require(kernel.divisor != 0, f"the divisor of {kernel.name} is zero")
+        total = sum(abs(w) for _, _, w in kernel.taps())
+        require(total <= WEIGHT_LIMIT, f"weights of {kernel.name} are too large")
     radius = max([max(abs(dy), abs(dx)) for k in kernels for dy, dx, _ in k.taps()], default=0)
 
     def run(view, inset, shape):
