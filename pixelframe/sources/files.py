@@ -66,12 +66,12 @@ def load_images(
     spark: SparkSession,
     path: str,
     image_id: Callable[[Column], Column] | None = None,
-    invalid: str = "raise",
+    invalid: str = "skip",
 ) -> DataFrame:
     """Decode image files to pixels.
 
-    A file that cannot be decoded is an error; ``invalid="skip"`` leaves it to
-    ``rejected_images``.
+    Files that cannot be decoded have no pixels; ``rejected_images`` lists them, and
+    with ``invalid="raise"`` the first one is an error.
 
     ``image_id`` makes the number of an image from its path; the default is a
     63-bit hash.

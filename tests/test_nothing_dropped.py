@@ -81,8 +81,8 @@ def test_files_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"not an image")
     assert [r.path.endswith("a.png") for r in files.rejected_images(spark, str(tmp_path)).collect()] == [True]
     with pytest.raises(Exception, match="cannot decode"):
-        files.load_images(spark, str(tmp_path)).collect()
-    assert files.load_images(spark, str(tmp_path), invalid="skip").count() == 0
+        files.load_images(spark, str(tmp_path), invalid="raise").collect()
+    assert files.load_images(spark, str(tmp_path)).count() == 0
 
 
 def test_gaps_in_keys_are_filled(spark):
