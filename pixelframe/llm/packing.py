@@ -184,16 +184,18 @@ def assignment(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[t
     return rows, window
 
 
-def pack(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, slots: int = 64,
+def pack(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, slots: int | None = None,
          text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document ends with end_id, so an empty or null text is one piece of one
     token; repeated rows are packed as documents of their own; an empty table gives
     no pieces. Windows of remainders come first in the numbering, full ones after.
+    slots: over how many parts equal lengths are dealt; 64 to 1024 by the row count.
     """
-    cut = written(pieces(df, path, capacity, end_id, text, key)).withColumn(
-        "slot", F.pmod(F.xxhash64(F.col(key), "doc_tokens", "crcs"), F.lit(slots))
+    cut = written(pieces(df, path, capacity, end_id, text, key))
+    slots = slots or max(64, min(1024, cut.count() // 200_000))
+    cut = cut.withColumn(        "slot", F.pmod(F.xxhash64(F.col(key), "doc_tokens", "crcs"), F.lit(slots))
     )
     spark = df.sparkSession
     tail = F.when(F.col("doc_tokens") % capacity == 0, 0).otherwise(F.col("doc_tokens") % capacity)
