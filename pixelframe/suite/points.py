@@ -103,7 +103,7 @@ def _(spark, d):
     return shown(stats.lut_apply_per_image(df, stats.stretch_tables(df)))
 
 
-@query("brightness", lut_sql(RGB_SQL, tone.brightness_table(0.35)))
+@query("brightness", each_sql(RGB_SQL, "least(255, {c} * (1000 + 350) // 1000)"))
 def _(spark, d):
     return shown(tone.brightness(rgb(spark, d), 0.35))
 
@@ -113,7 +113,7 @@ def _(spark, d):
     return shown(tone.brightness(gray(spark, d), -0.4))
 
 
-@query("contrast", lut_sql(RGB_SQL, tone.contrast_table(0.4)))
+@query("contrast", each_sql(RGB_SQL, "trunc(least(255e0, greatest(0e0, 256e0 * {c} / 153.6e0 + (128e0 - 32768e0 / 153.6e0))))"))
 def _(spark, d):
     return shown(tone.contrast(rgb(spark, d), 0.4))
 
@@ -124,7 +124,7 @@ def _(spark, d):
     return shown(tone.contrast(gray(spark, d), -0.3))
 
 
-@query("gamma", lut_sql(RGB_SQL, tone.gamma_table(1.8)))
+@query("gamma", each_sql(RGB_SQL, "floor(pow({c} / 255e0, 1e0 / 1.8e0) * 255e0 + 0.5e0)"))
 def _(spark, d):
     return shown(tone.gamma(rgb(spark, d), 1.8))
 

@@ -16,7 +16,7 @@ from .core import (
 )
 from .geometry import GRID_SQL
 from .palettes import POPULAR_SQL, nearest_sql
-from .points import BOX_SQL, box, lut_sql
+from .points import BOX_SQL, box
 
 FIELDS = "image_id, y, x, r, g, b"
 # Half-open circle of radius 12 and a concave polygon.
@@ -161,7 +161,7 @@ def _(spark, d):
     return shown(tone.negative(rgb(spark, d), regions.circle(15, 14, 12)))
 
 
-@query("process", lut_sql(RGB_SQL, tone.brightness_table(0.1), BOX_SQL))
+@query("process", each_sql(RGB_SQL, "least(255, {c} * (1000 + 100) // 1000)", where=BOX_SQL))
 def _(spark, d):
     return shown(process(rgb(spark, d), "brightness", amount=0.1, region=box()))
 

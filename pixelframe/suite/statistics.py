@@ -10,7 +10,7 @@ from .core import (
     ARGB_SQL, GRAY_SQL, PLOT_SQL, RGB_SQL, argb, gray, gray_images, plot, query, rgb, rgb_images,
     shown, sql, sql_then,
 )
-from .points import BOX_SQL, CORNERS_SQL, box, listed
+from .points import BOX_SQL, CORNERS_SQL, box
 
 BIN_SQL = "(r >> 3) * 2048 + (g >> 2) * 32 + (b >> 3)"
 
@@ -28,12 +28,9 @@ def _(spark, d):
     return stats.channel_histogram(rgb(spark, d))
 
 
-LIT = tone.brightness_table(0.2)
-
-
-@query("region_histogram", histogram_sql(GRAY_SQL, f"""
-lit AS (SELECT image_id, y, x, ({listed(LIT)})[r + 1] AS r, ({listed(LIT)})[g + 1] AS g,
-               ({listed(LIT)})[b + 1] AS b FROM px)""", "lit", "x >= 8 AND x < 56 AND y >= 10 AND y < 60"))
+@query("region_histogram", histogram_sql(GRAY_SQL, """
+lit AS (SELECT image_id, y, x, least(255, r * (1000 + 200) // 1000) AS r, least(255, g * (1000 + 200) // 1000) AS g,
+               least(255, b * (1000 + 200) // 1000) AS b FROM px)""", "lit", "x >= 8 AND x < 56 AND y >= 10 AND y < 60"))
 def _(spark, d):
     """The flagship: source, filter, projection, aggregation."""
     area = regions.rect(8, 10, 56, 60)
