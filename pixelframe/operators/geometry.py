@@ -22,7 +22,6 @@ from ..layout import (
     as_col,
     as_pixels,
     attach,
-    clamp8,
     heads,
     idiv,
     require,

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import color, noise, ordered, tone
 from ..functions.samples import pack_argb, rescale_samples, unpack_argb, yuv_to_rgb
-from ..layout import attach
 from ..operators import combine, regions, stats
 from .core import (
     ARGB_SQL, GRAY_SQL, PLOT_SQL, RGB_SQL, argb, clamp_sql, each_sql, gray, plot,

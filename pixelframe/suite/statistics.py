@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tone
 from ..operators import regions, stats
 from .core import (
-    ARGB_SQL, GRAY_SQL, PLOT_SQL, RGB_SQL, argb, gray, gray_images, plot, query, rgb, rgb_images,
+    ARGB_SQL, GRAY_SQL, PLOT_SQL, RGB_SQL, argb, gray, gray_images, plot, query, rgb,
     shown, sql, sql_then,
 )
 from .points import BOX_SQL, CORNERS_SQL, box
