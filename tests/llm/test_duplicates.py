@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pixelframe.llm import graph, neighbours, queries, simhash, sketch, suffix
+from pixelframe.llm import graph, neighbours, queries, resemblance, simhash, sketch, suffix
 
 SCHEMA = "doc_id long, text string, component_id string, n_bytes string, print string, spans string"
 
@@ -281,3 +281,49 @@ def test_vector_query_recall(spark, folder):
     got = queries.QUERIES["op3_nn_descent"](spark, folder).collect()
     assert len(got) == len(rows)
     assert sum(r.n_links for r in got) >= 0.9 * (near.sum() - len(rows))
+
+
+# --- shingle similarity ------------------------------------------------------------
+
+
+def edited(rng, words, rate):
+    return [f"w{rng.random()}" if rng.random() < rate else w for w in words]
+
+
+def linked(texts):
+    sets = [shingles(t or "") for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(k) for k in range(len(texts))}
+
+
+def test_stage_links_by_shingle_similarity(spark, texts):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    made = list(texts)
+    for i in range(80):
+        base = [f"{rng.randrange(10**6)}" for _ in range(rng.randint(100, 400))]
+        made += [" ".join(base), " ".join(edited(rng, base, rng.uniform(0, 0.03)))]
+    base = [f"{rng.randrange(10**6)}" for _ in range(300)]
+    made += [" ".join(edited(rng, base, 0.012)) for _ in range(90)]  # a large group, pairs around 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(made)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, None).collect()}
+    assert kept == linked(made)
+
+
+def test_stage_null_keys_and_repeats(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, None), (3, " ")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in resemblance.one_of_each(df).collect()) == [(3, " "), (7, "a b c d")]
+    assert resemblance.one_of_each(df.limit(0)).count() == 0
