@@ -121,11 +121,12 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def learn(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from at most `sample` rows of each language that are not held out."""
     known = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}") & (F.length(text) <= SAMPLE_CHARS))
-    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(lang).limit(MOST_LANGUAGES + 1).collect()
+    order = F.xxhash64(text, lang)
+    # different texts, so that copies don't thin out the others of their language
+    counts = known.groupBy(lang).agg(F.approx_count_distinct(order).alias("n")).orderBy(lang).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # a hash share of each language, a little above the sample, then exactly the sample
-    order = F.xxhash64(text, lang)
     near = F.lit(False)
     for r in counts:
         near = near | ((F.col(lang) == r[0]) & (F.pmod(order, F.lit(max(1, r["n"] // (2 * sample)))) == 0))

@@ -125,6 +125,15 @@ def test_language(spark, folder):
     assert {r.lang_pred for r in language.predict(docs.limit(5), language.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_of_many_copies_is_learnt(spark, monkeypatch):
+    names = [x + y for x in "abcdefghij" for y in "klmnopqrst"]
+    rows = [(i, "det samme igen og igen", "da") for i in range(6000)]
+    rows += [(30_000 + i, f"en anden tekst {n}", "da") for i, n in enumerate(names)]
+    monkeypatch.setattr(language, "fit", lambda texts, langs: (texts, langs))
+    texts, langs = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=10)
+    assert langs == ["da"] * 10 and len(set(texts)) == 10
+
+
 def test_preferences(spark):
     turns = "pair_id long, turn int, role string, text string, prompt string"
     chosen = [(1, 0, "system", "s", ""), (1, 1, "user", "hi", ""), (1, 2, "assistant", "good", ""), (1, 3, "user", None, ""), (2, 0, None, "x", ""),
