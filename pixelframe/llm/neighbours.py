@@ -5,7 +5,8 @@ next to it in several random orders (signs of random projections, then one proje
 NN-descent then refines it: the lists of a vector and of those that list it are brought
 together, every two of its neighbours are compared, and what improves a list is merged
 into it, until hardly anything changes. An audit compares some vectors with all rows; as
-long as too few of the true links were found, new random orders join the graph.
+long as too few of the true links of a vector were found, new random orders join the
+graph. The signs that lead an order grow with the logarithm of the number of vectors.
 
 A list that is full of links (cosine at or above the threshold) is saturated: its vector
 may have more links than the list holds. Its list is enlarged to the whole group it is
@@ -31,10 +32,12 @@ from .graph import components
 
 LIST = 12  # neighbours of a vector
 TABLES = 10  # random orders of the start graph
-BITS = 6  # signs that lead an order
+BITS = 6  # signs that lead an order, at least
 REACH = 6  # places before and after in an order
 ROUNDS = 4
-AUDIT = 256  # vectors compared with all rows
+AUDIT = 256  # vectors compared with all rows, at first
+AUDIT_MOST = 16_384
+LINKS = 300  # true links outside groups that an audit should see
 RECALL = 0.98
 BLOCK = 256  # vectors of a block when a group is compared as a whole
 
@@ -156,34 +159,64 @@ def lists_of_centre(back: DataFrame, size: int) -> DataFrame:
     return best(best(back.withColumn("slot", slot), "centre", "slot"), "centre").select("centre", "id")
 
 
-def audit(vectors: DataFrame, links: DataFrame, dense: DataFrame, dims: int, threshold: float, sample: int) -> float:
-    """Share of the true links of some vectors that are known (1 if there are none).
+def audit(vectors: DataFrame, links: DataFrame, dense: DataFrame, dims: int, threshold: float, sample: int) -> tuple[float, int]:
+    """Recall of the true links, and how many audited links it rests on outside groups.
 
-    Known are the pairs in `links` and those inside a group that is counted as a whole.
+    Recall is the mean over vectors of the share of their links that is known, so a vector
+    of one link counts like one of a million. Vectors of groups that are counted as a whole
+    are audited apart; the smaller of both means is given. The sample of the others grows
+    until LINKS links are seen, AUDIT_MOST vectors at most.
     """
-    some = vectors.orderBy(F.xxhash64("id")).limit(sample).select("id", "unit").collect()
-    if not some:
-        return 1.0
-    ids = np.array([r[0] for r in some])
-    x = np.array([r[1] for r in some], float)
+    inside = vectors.join(dense.select("id"), "id", "left_semi")
+    outside = vectors.join(dense.select("id"), "id", "left_anti")
+    low, _, _ = audited(vectors, inside, links, dense, dims, threshold, sample)
+    while True:
+        share, seen, size = audited(vectors, outside, links, dense, dims, threshold, sample)
+        if seen >= LINKS or size < sample or sample >= AUDIT_MOST:
+            # a sample of the whole pool is no estimate
+            return min(low, share), LINKS if size < sample else seen
+        sample = min(AUDIT_MOST, sample * 8)
+
+
+def audited(vectors: DataFrame, pool: DataFrame, links: DataFrame, dense: DataFrame, dims: int, threshold: float,
+            sample: int) -> tuple[float, int, int]:
+    """(mean known share, true links, audited vectors) of some vectors of a pool."""
+    some = pool.orderBy(F.xxhash64("id")).limit(sample).select("id", "unit").toArrow().combine_chunks()
+    if not some.num_rows:
+        return 1.0, 0, 0
+    ids = some.column(0).to_numpy()
+    x = some.column(1).combine_chunks().flatten().to_numpy().reshape(-1, dims)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 4096):
-                rows = part.slice(at, 4096)
+            for at in range(0, part.num_rows, 512):
+                rows = part.slice(at, 512)
                 own = rows.column(0).to_numpy()
                 i, j = np.nonzero(matrix(rows.column(1), dims) @ x.T >= threshold)
                 keep = own[i] != ids[j]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j][keep]), pa.array(own[i][keep])], ["a", "b"])
 
     true = vectors.select("id", "unit").mapInArrow(run, "a long, b long")
+    # known are the pairs in links and those inside a group that is counted as a whole
     known = links.select("a", "b", F.lit(1).alias("hit"))
     whole = dense.select(F.col("id").alias("a"), F.col("group").alias("ga"))
     other = dense.select(F.col("id").alias("b"), F.col("group").alias("gb"))
     judged = true.join(known, ["a", "b"], "left").join(whole, "a", "left").join(other, "b", "left")
     found = F.coalesce("hit", (F.col("ga") == F.col("gb")).cast("int"), F.lit(0))
-    total, hit = judged.agg(F.count(F.lit(1)), F.sum(found)).first()
-    return (hit or 0) / total if total else 1.0
+    each = judged.groupBy("a").agg(F.avg(found).alias("share"), F.count(F.lit(1)).alias("n"))
+    share, seen = each.agg(F.avg("share"), F.sum("n")).first()
+    return (1.0 if share is None else share), seen or 0, some.num_rows
+
+
+def leading_bits(n: int) -> int:
+    """Signs that leave about 16 vectors in a cell of an order."""
+    return min(30, max(BITS, int(np.ceil(np.log2(max(1, n) / 16)))))
+
+
+def orders_needed(bits: int, threshold: float, recall: float) -> int:
+    """Orders in one of which a pair at the threshold shares all signs, with probability recall."""
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return 1 if same >= recall else int(np.ceil(np.log(max(1e-9, 1 - recall)) / np.log1p(-same)))
 
 
 def group_counts(members: DataFrame, dims: int, threshold: float, block: int) -> DataFrame:
@@ -232,9 +265,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     vectors = written(rows.where("id is not null").groupBy("id").agg(
         F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("least")))
 
+    bits = leading_bits(vectors.count())
+    enough = orders_needed(bits, threshold, recall)
     graph, seen, done = None, None, 0
     for _ in range(6):
-        fresh = cut(adjacent(ordered(vectors, range(done, done + tables), dims, BITS), dims, REACH))
+        fresh = cut(adjacent(ordered(vectors, range(done, done + tables), dims, bits), dims, REACH))
         done += tables
         graph = cut(lists(fresh if graph is None else fresh.union(flat(graph)), size))
         state = None
@@ -254,7 +289,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
         dense = group.join(full, group["node"] == full["id"]).select("component").distinct()
         sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         members = inside.join(dense.join(sizes, "component"), "component").select(F.col("component").alias("group"), "id", "unit", "copies", "size")
-        if audit(vectors, links, members, dims, threshold, AUDIT) >= recall:
+        share, judged = audit(vectors, links, members, dims, threshold, AUDIT)
+        # where hardly any link is seen, the orders must be as many as a pair at the threshold needs
+        if share >= recall and (judged >= LINKS or done >= enough):
             break
     exact = group_counts(members, dims, threshold, BLOCK)
     other = vectors.select(F.col("id").alias("b"), "copies")

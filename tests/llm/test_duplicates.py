@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pixelframe.llm import graph, neighbours, queries, resemblance, simhash, sketch, suffix
 
@@ -268,6 +269,29 @@ def test_vectors(spark):
         assert (r.n_links, r.component_id, r.kept) == (0, 400 + i, True)
 
 
+def test_isolated_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((3000, 64)))
+    pairs = unit(x[2000:] + 0.29 / 8 * rng.standard_normal((1000, 64)))  # cosines around 0.96
+    hot = unit(x[:1] + 0.1 / 8 * rng.standard_normal((1500, 64)))
+    every = np.concatenate([x, pairs, hot])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "id long, unit array<double>").cache()
+    links = spark.createDataFrame([(0, 1)], "a long, b long").limit(0)
+    group = df.where("id = 0 or id >= 4000").withColumn("group", F.lit(0))
+    share, seen = neighbours.audit(df, links, group, 64, 0.95, 256)
+    assert share < 0.1 and seen >= 300  # no pair is known
+    every_pair = [(2000 + i, 3000 + i) for i in range(1000)]
+    links = spark.createDataFrame(every_pair + [(b, a) for a, b in every_pair], "a long, b long")
+    assert neighbours.audit(df, links, group, 64, 0.95, 256)[0] == 1.0
+
+
+def test_signs_and_orders_grow():
+    assert neighbours.leading_bits(300) == 6 and neighbours.leading_bits(1_000_000) == 16
+    sizes = [neighbours.orders_needed(neighbours.leading_bits(10**k), 0.95, 0.98) for k in (2, 4, 6, 8)]
+    assert sizes == sorted(sizes) and 1 < sizes[0] < sizes[-1]
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.near_duplicates(df).count() == 0
