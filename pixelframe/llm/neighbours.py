@@ -32,6 +32,7 @@ from .graph import components
 
 LIST = 12  # neighbours of a vector
 TABLES = 10  # random orders of the start graph
+ORDERS = 200  # or three times those a pair at the threshold needs: then too low a recall is an error
 BITS = 6  # signs that lead an order, at least
 REACH = 6  # places before and after in an order
 ROUNDS = 4
@@ -268,7 +269,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     bits = leading_bits(vectors.count())
     enough = orders_needed(bits, threshold, recall)
     graph, seen, done = None, None, 0
-    for _ in range(6):
+    while True:
         fresh = cut(adjacent(ordered(vectors, range(done, done + tables), dims, bits), dims, REACH))
         done += tables
         graph = cut(lists(fresh if graph is None else fresh.union(flat(graph)), size))
@@ -293,6 +294,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
         # where hardly any link is seen, the orders must be as many as a pair at the threshold needs
         if share >= recall and (judged >= LINKS or done >= enough):
             break
+        if done >= max(ORDERS, 3 * enough):
+            raise RuntimeError(f"{share:.4f} of the links of audited vectors are known after {done} orders, not {recall}")
     exact = group_counts(members, dims, threshold, BLOCK)
     other = vectors.select(F.col("id").alias("b"), "copies")
     sparse = links.join(members.select(F.col("id").alias("a")), "a", "left_anti").join(other, "b").groupBy("a").agg(F.sum("copies").alias("n"))

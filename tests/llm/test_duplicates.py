@@ -292,6 +292,13 @@ def test_signs_and_orders_grow():
     assert sizes == sorted(sizes) and 1 < sizes[0] < sizes[-1]
 
 
+def test_recall_not_reached_is_an_error(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 8)))], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="of the links"):
+        neighbours.near_duplicates(df, tables=200, recall=1.01)
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.near_duplicates(df).count() == 0
