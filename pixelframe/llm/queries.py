@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, neighbours, packing, pii, preference, simhash, sketch, suffix, toxicity
+from . import bpe, language, merkle, neighbours, packing, pii, preference, simhash, sketch, suffix, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ FROM placed GROUP BY conv_id, segment
 def _preference(spark: SparkSession, folder: str) -> DataFrame:
     chosen, rejected = preference.against_next(spark.read.parquet(f"{folder}/conversations.parquet"))
     return preference.preferences(chosen, rejected, "conv_id")
+
+
+@query("op11_merkle_witnesses", merkle.sql())
+def _merkle(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.manifest(documents(spark, folder), merkle.without_line_ends())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
