@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, merkle, neighbours, packing, pii, preference, simhash, sketch, suffix, toxicity
+from . import bpe, language, lexical, merkle, neighbours, packing, pii, preference, simhash, sketch, suffix, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def _preference(spark: SparkSession, folder: str) -> DataFrame:
 def _merkle(spark: SparkSession, folder: str) -> DataFrame:
     found = merkle.manifest(documents(spark, folder), merkle.without_line_ends())
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_max_sketch_search", lexical.SQL)
+def _search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
