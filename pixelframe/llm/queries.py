@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, lexical, merkle, neighbours, packing, pii, preference, simhash, sketch, suffix, toxicity
+from . import automaton, bpe, language, lexical, merkle, neighbours, packing, pii, preference, simhash, sketch, suffix, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def _merkle(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_max_sketch_search", lexical.SQL)
 def _search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op13_suffix_automata", automaton.SQL)
+def _automata(spark: SparkSession, folder: str) -> DataFrame:
+    return automaton.removed(documents(spark, folder))
