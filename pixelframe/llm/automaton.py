@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import whole_text, written
-from .words import slices
 
 WINDOW = 13
 PIECE = 4
 CROWD = 512
 LAST = (1 << 63) - 1  # the number of a null key, and of no document
-MAX_WORDS, MAX_WORD_BYTES = 300_000, 30_000_000  # a task forgets its words beyond these
+LONG = 64  # bytes; longer words are hashed one by one
+SLICE_BYTES = 2_000_000  # texts handled at once
 
 
 def words_of(text: str) -> list[bytes]:
@@ -58,19 +58,16 @@ class Automaton:
         self.next: list[dict] = [{}]
         self.link, self.length, self.first = [-1], [0], [LAST]
 
-    def state(self, length: int, link: int, steps: dict, document: int) -> int:
-        self.next.append(steps)
-        self.link.append(link)
-        self.length.append(length)
-        self.first.append(document)
-        return len(self.next) - 1
-
     def split(self, p: int, word) -> int:
         """The state after p and word, cut off from longer strings if it has some."""
         q = self.next[p][word]
         if self.length[q] == self.length[p] + 1:
             return q
-        short = self.state(self.length[p] + 1, self.link[q], dict(self.next[q]), self.first[q])
+        short = len(self.next)
+        self.next.append(dict(self.next[q]))
+        self.link.append(self.link[q])
+        self.length.append(self.length[p] + 1)
+        self.first.append(self.first[q])
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = short
             p = self.link[p]
@@ -79,19 +76,25 @@ class Automaton:
 
     def add(self, words: list, document: int) -> None:
         """A reference sequence of a document."""
+        step, link, length, first = self.next, self.link, self.length, self.first
         last = 0
         for word in words:
-            if word in self.next[last]:
+            if word in step[last]:
                 last = self.split(last, word)
-                self.first[last] = min(self.first[last], document)
+                if document < first[last]:
+                    first[last] = document
                 continue
-            new = self.state(self.length[last] + 1, 0, {}, document)
+            new = len(step)
+            step.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            first.append(document)
             p = last
-            while p >= 0 and word not in self.next[p]:
-                self.next[p][word] = new
-                p = self.link[p]
+            while p >= 0 and word not in step[p]:
+                step[p][word] = new
+                p = link[p]
             if p >= 0:
-                self.link[new] = self.split(p, word)
+                link[new] = self.split(p, word)
             last = new
 
     def finish(self) -> None:
@@ -128,63 +131,85 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Namer:
-    """Passages of a few texts; remembers the hashes of words."""
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LETTER = np.where(SPACE, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64)))
+PLACE = np.append(mixed(np.arange(1000, 1000 + LONG, dtype=np.uint64)) | np.uint64(1), np.uint64(0))
 
-    def __init__(self):
-        self.numbers: dict[bytes, int] = {}
-        self.hashes, self.held = np.empty(0, np.uint64), 0
 
-    def hashed(self, words: list[bytes]) -> np.ndarray:
+def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words given by their borders in bytes: sums of letter times place, spread."""
+    out = np.empty(len(starts), np.uint64)
+    for low in range(0, len(starts), 1 << 17):
+        s, e = starts[low:low + (1 << 17)], ends[low:low + (1 << 17)]
+        value = LETTER[raw[s[0]:e[-1]]]
+        inside = np.arange(len(value)) - np.repeat(s - s[0], np.diff(np.append(s, e[-1])))
+        value *= PLACE[np.minimum(inside, LONG)]
+        out[low:low + len(s)] = np.add.reduceat(value, s - s[0])
+    size = ends - starts
+    out = mixed(out + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    if size.size and size.max() > LONG:
         from xxhash import xxh64_intdigest
 
-        if len(self.numbers) > MAX_WORDS or self.held > MAX_WORD_BYTES:
-            self.__init__()
-        numbers = self.numbers
-        fresh = [w for w in dict.fromkeys(words) if w not in numbers]
-        if fresh:
-            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
-            self.held += sum(map(len, fresh))
-            self.hashes = np.append(self.hashes, np.array([xxh64_intdigest(w) for w in fresh], np.uint64))
-        return self.hashes[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
-
-    def passages(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """(text, name, digest, first window, number of windows) of every passage."""
-        found = [words_of(t) for t in texts]
-        sizes = np.array([len(f) for f in found], np.int64)
-        n = int(sizes.sum())
-        if n < WINDOW:
-            return (np.empty(0, np.int64),) * 5
-        h = self.hashed([w for f in found for w in f])
-        text = np.repeat(np.arange(len(texts)), sizes)
-        at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        factor = np.uint64(0xD6E8FEB86659FD93)
-        piece = h[:n - PIECE + 1].copy()
-        for j in range(1, PIECE):
-            piece = mixed(piece * factor + h[j:n - PIECE + 1 + j])
-        windows = n - WINDOW + 1
-        whole = piece[:windows].copy()
-        for j in range(PIECE, WINDOW - PIECE + 1, PIECE):
-            whole = mixed(whole * factor + piece[j:j + windows])
-        for j in range(WINDOW - WINDOW % PIECE, WINDOW):
-            whole = mixed(whole * factor + h[j:j + windows])
-        least, place = piece[:windows].copy(), np.arange(windows)
-        for j in range(1, WINDOW - PIECE + 1):
-            other = piece[j:j + windows]
-            less = other < least
-            least[less] = other[less]
-            place[less] = np.flatnonzero(less) + j
-        inside = np.flatnonzero(text[:windows] == text[WINDOW - 1:])
-        if not len(inside):
-            return (np.empty(0, np.int64),) * 5
-        new = np.ones(len(inside), bool)
-        new[1:] = (place[inside[1:]] != place[inside[:-1]]) | (np.diff(inside) != 1)
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(inside)))
-        low, high = inside[start], inside[start + count - 1]
-        # first and last window cover a passage whole
-        digest = mixed(mixed(whole[low] * factor + whole[high]) + count.astype(np.uint64))
-        return text[low], least[low].view(np.int64), digest.view(np.int64), at[low], count
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxh64_intdigest(raw[starts[i]:ends[i]].tobytes())
+    return out
+
+
+def passages(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, name, digest, first window, number of windows) of every passage.
+
+    raw: the bytes of some texts in a row; borders: where each begins, and the end.
+    """
+    none = (np.empty(0, np.int64),) * 5
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[borders] = True
+    gap = np.append(SPACE[raw], True)
+    starts = np.flatnonzero(~gap[:-1] & (edge[:-1] | np.append(True, gap[:-2])))
+    ends = np.flatnonzero(~gap[:-1] & (edge[1:] | gap[1:])) + 1
+    windows = len(starts) - WINDOW + 1
+    if windows < 1:
+        return none
+    h = hashed(raw, starts, ends)
+    text = np.searchsorted(borders, starts, "right") - 1
+    factor = np.uint64(0xD6E8FEB86659FD93)
+    piece = h[:len(h) - PIECE + 1].copy()
+    for j in range(1, PIECE):
+        piece = mixed(piece * factor + h[j:len(piece) + j])
+    whole = piece[:windows].copy()
+    for j in range(PIECE, WINDOW - PIECE + 1, PIECE):
+        whole = mixed(whole * factor + piece[j:j + windows])
+    for j in range(WINDOW - WINDOW % PIECE, WINDOW):
+        whole = mixed(whole * factor + h[j:j + windows])
+    least, place = piece[:windows].copy(), np.arange(windows)
+    for j in range(1, WINDOW - PIECE + 1):
+        less = np.flatnonzero(piece[j:j + windows] < least)
+        least[less] = piece[less + j]
+        place[less] = less + j
+    inside = np.flatnonzero(text[:windows] == text[WINDOW - 1:])
+    if not len(inside):
+        return none
+    new = np.ones(len(inside), bool)
+    new[1:] = (place[inside[1:]] != place[inside[:-1]]) | (np.diff(inside) != 1)
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(inside)))
+    low, high = inside[start], inside[start + count - 1]
+    # first and last window cover a passage whole
+    digest = mixed(mixed(whole[low] * factor + whole[high]) + count.astype(np.uint64))
+    at = low - np.searchsorted(text, text[low])
+    return text[low], least[low].view(np.int64), digest.view(np.int64), at, count
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, borders) of a column of texts without nulls, a few MB at a time."""
+    wide = column.cast(pa.large_string())
+    ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset:wide.offset + len(wide) + 1]
+    data = wide.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+        yield at, raw[ends[at]:ends[to]], ends[at:to + 1] - ends[at]
+        at = to
 
 
 def base(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -198,11 +223,10 @@ def occurrences(docs: DataFrame, names_only: bool) -> DataFrame:
     """(name, doc), or (name, digest, doc, tag, pos, n): every passage of every text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = Namer()
         for part in parts:
             doc, tag = part.column(0).to_numpy(), part.column(1).to_numpy()
-            for start, texts in slices(part.column(2)):
-                text, name, digest, pos, n = namer.passages(texts)
+            for start, raw, borders in slices(part.column(2)):
+                text, name, digest, pos, n = passages(raw, borders)
                 columns = [name, doc[start + text]]
                 names = ["name", "doc"]
                 if not names_only:
@@ -222,18 +246,20 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # equal rows need be read once
         for part in parts:
-            for doc, tag, text, passages in zip(*(c for c in part.columns)):
-                own = (doc.as_py(), tag.as_py())
-                if own in seen:
+            kept, documents, found = [], [], []
+            for doc, tag, text, at in zip(*(c.to_pylist() for c in part.columns[:3]), part.column(3)):
+                if (doc, tag) in seen:
                     continue
-                seen.add(own)
-                words = words_of(text.as_py())
-                name, digest, crowded, pos, n = passages.values.flatten()
-                low = pos.to_pylist()
-                found = [b" ".join(words[p:p + k + WINDOW - 1]) for p, k in zip(low, n.to_pylist())]
-                first = pa.array(np.full(len(low), own[0], np.int64))
+                seen.add((doc, tag))
+                words, own = words_of(text), at.values
+                kept.append(own)
+                documents += [doc] * len(own)
+                found += [b" ".join(words[p:p + k + WINDOW - 1]) for p, k in zip(own.field("pos").to_pylist(), own.field("n").to_pylist())]
+            if found:
+                name, digest, crowded, *_ = pa.concat_arrays(kept).flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [name, digest, crowded, first, pa.array(found, pa.binary())], ["name", "digest", "crowded", "first", "words"])
+                    [name, digest, crowded, pa.array(documents, pa.int64()), pa.array(found, pa.binary())],
+                    ["name", "digest", "crowded", "first", "words"])
 
     return docs.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "list").mapInArrow(
         run, "name long, digest long, crowded boolean, first long, words binary")
@@ -309,7 +335,8 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
     """key, n_words, n_removed, n_spans (maximal removed runs) and kept_sha256, or the kept words as text."""
     docs = base(df, key, text)
     names = occurrences(docs, names_only=True).groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = written(occurrences(docs, names_only=False).join(names.where("low < high").select("name"), "name", "left_semi"))
+    names = written(names.where("low < high").select("name"))  # the join can deal hot names anew only if nothing is grouped in it
+    shared = written(occurrences(docs, names_only=False).join(names, "name", "left_semi"))
     kinds = shared.groupBy("name", "digest").agg(F.min(F.struct("doc", "tag", "pos", "n")).alias("at"))
     crowds = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > crowd)
     wanted = kinds.join(crowds, "name", "left").withColumn("crowded", F.col("kinds").isNotNull())
@@ -352,11 +379,16 @@ wins AS (
   FROM (SELECT doc_id, words, unnest(range(0, len(words) - 12)) AS i FROM w)),
 least AS (SELECT win, min(doc_id) AS low FROM wins GROUP BY win),
 gone AS (
-  SELECT doc_id, list_sort(list_distinct(flatten(list(range(i + 1, i + 14))))) AS at
-  FROM wins JOIN least USING (win) WHERE low < doc_id GROUP BY doc_id)
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-  coalesce(len(list_filter(at, lambda p: NOT list_contains(at, p - 1))), 0)::BIGINT AS n_spans,
-  sha256(CASE WHEN at IS NULL THEN array_to_string(words, ' ')
-    ELSE array_to_string(list_filter(words, lambda x, p: NOT list_contains(at, p)), ' ') END) AS kept_sha256
-FROM w LEFT JOIN gone USING (doc_id)
+  SELECT DISTINCT doc_id, unnest(range(i + 1, i + 14)) AS p FROM wins JOIN least USING (win) WHERE low < doc_id),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+told AS (
+  SELECT doc_id, e.p, word, g.p IS NOT NULL AS cut, coalesce(lag(g.p) OVER (PARTITION BY doc_id ORDER BY e.p) IS NULL, true) AS fresh
+  FROM each e LEFT JOIN gone g USING (doc_id, p)),
+sums AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (cut) AS n_removed, count(*) FILTER (cut AND fresh) AS n_spans,
+    string_agg(word, ' ' ORDER BY p) FILTER (NOT cut) AS kept
+  FROM told GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id
 """

@@ -105,7 +105,18 @@ def test_statistics_against_scanning():
 def test_passages_hold_every_window_once():
     rng = np.random.default_rng(4)
     texts = [" ".join(map(str, rng.integers(0, 9, n))) for n in (0, 5, 13, 14, 200, 12, 77)]
-    text, name, digest, pos, n = automaton.Namer().passages(texts)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    text, name, digest, pos, n = automaton.passages(raw, np.cumsum([0, *map(len, texts)]))
     covered = sorted((t, p + i) for t, p, k in zip(text, pos, n) for i in range(k))
     assert covered == [(t, i) for t, s in enumerate(texts) for i in range(len(s.split()) - 12)]
     assert n.max() <= 10
+
+
+def test_hashes_depend_on_the_word_alone():
+    own = ["a", "b", "ab", "ba", "é", "x" * 64, "x" * 65, "x" * 66, "y" * 300, "a"]
+    raw = np.frombuffer(" ".join(own).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) + 1 for w in own]) - 1
+    found = automaton.hashed(raw, np.append(0, ends[:-1] + 1), ends)
+    assert found[0] == found[-1] and len(set(found.tolist())) == len(own) - 1
+    again = automaton.hashed(raw, ends[4:6] + 1, ends[5:7])
+    assert (again == found[5:7]).all()
