@@ -17,7 +17,7 @@ repeated grows with the corpus and has no place on the driver or whole in a task
 
 A name with more than CROWD different passages (a line in ever other surroundings) is
 taken apart: its windows are passages of their own, named by themselves and counted
-before the shuffle, so a shard holds at most 2 * CROWD passages and no task depends
+before the shuffle, so a shard holds at most SHARD + CROWD passages and no task depends
 on how often a passage or a name occurs.
 
 Passages and words are recognised by 64-bit hashes; the automaton compares words.
@@ -41,7 +41,8 @@ from .common import whole_text, written
 
 WINDOW = 13
 PIECE = 4
-CROWD = 512
+CROWD = 64  # different passages of a name, beyond which its windows are passages of their own
+SHARD = 512  # passages of a shard, besides those of its last name
 LAST = (1 << 63) - 1  # the number of a null key, and of no document
 LONG = 64  # bytes; longer words are hashed one by one
 SLICE_BYTES = 2_000_000  # texts handled at once
@@ -265,10 +266,10 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         run, "name long, digest long, crowded boolean, first long, words binary")
 
 
-def matched(passages: DataFrame, crowd: int = CROWD) -> DataFrame:
+def matched(passages: DataFrame, size: int = SHARD) -> DataFrame:
     """(name, digest, firsts): for every window of a passage the smallest document that has it.
 
-    passages: name, digest, first, words; all that share a name, at most `crowd` of them.
+    passages: name, digest, first, words; a shard takes names until it has `size` passages.
     """
     dealt = passages.select("name", "digest", "first", "words").repartition("name").sortWithinPartitions("name")
 
@@ -287,7 +288,7 @@ def matched(passages: DataFrame, crowd: int = CROWD) -> DataFrame:
         shard, last = {}, None
         for part in parts:
             for name, digest, first, words in zip(*(c.to_pylist() for c in part.columns)):
-                if name != last and len(shard) >= crowd:
+                if name != last and len(shard) >= size:
                     yield answers(shard)
                     shard = {}
                 last = name
@@ -320,15 +321,15 @@ def windows_of(passages: DataFrame) -> DataFrame:
         run, "name long, digest long, i int, window long, first long, words binary")
 
 
-def answered(passages: DataFrame, crowd: int = CROWD) -> DataFrame:
+def answered(passages: DataFrame) -> DataFrame:
     """(name, digest, firsts) of all reference passages, crowded names window by window."""
     parts = windows_of(passages.where("crowded"))
     alone = parts.groupBy("window").agg(F.min("first").alias("first"), F.min("words").alias("words"))
-    single = matched(alone.select(F.col("window").alias("name"), F.col("window").alias("digest"), "first", "words"), crowd)
+    single = matched(alone.select(F.col("window").alias("name"), F.col("window").alias("digest"), "first", "words"))
     of = parts.select("name", "digest", "i", "window").join(
         single.select(F.col("name").alias("window"), F.element_at("firsts", 1).alias("least")), "window")
     again = of.groupBy("name", "digest").agg(F.array_sort(F.collect_set(F.struct("i", "least"))).alias("all"))
-    return matched(passages.where("NOT crowded"), crowd).union(again.select("name", "digest", F.col("all.least")))
+    return matched(passages.where("NOT crowded")).union(again.select("name", "digest", F.col("all.least")))
 
 
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD, as_text: bool = False) -> DataFrame:
@@ -340,7 +341,7 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
     kinds = shared.groupBy("name", "digest").agg(F.min(F.struct("doc", "tag", "pos", "n")).alias("at"))
     crowds = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > crowd)
     wanted = kinds.join(crowds, "name", "left").withColumn("crowded", F.col("kinds").isNotNull())
-    firsts = answered(written(cut_out(docs, wanted)), crowd)
+    firsts = answered(written(cut_out(docs, wanted)))
     gone = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.col("pos") + i)), lambda p: p.isNotNull())
     marks = shared.join(firsts, ["name", "digest"]).select("doc", "tag", gone.alias("gone")).where(F.size("gone") > 0)
     marks = marks.groupBy("doc", "tag").agg(F.flatten(F.collect_set("gone")).alias("gone"))
