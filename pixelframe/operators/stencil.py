@@ -1,21 +1,19 @@
 """Neighbourhood operators.
 
-* ``convolve``, ``remove_isolated``, ``median`` and ``hist_eq_local`` cut images into
-  tiles with a halo; each tile is one bounded Arrow group. About 1.03 rows per pixel
-  are shuffled, whatever the number of taps or kernels.
+* ``convolve``, ``remove_isolated``, ``median`` and ``hist_eq_local`` pack scan lines
+  into bytes and run on bands of lines with a halo (``lines.banded``). About one row a
+  line is shuffled, whatever the number of taps or kernels.
 * ``box_blur_separable`` runs two bounded windows (a line, then a column).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import Kernel
-from ..layout import COLORS, PIXEL_SCHEMA, as_pixels, idiv, require, span
+from ..layout import COLORS, as_pixels, idiv, require
+from .lines import banded
 
 # Three channel sums share one BIGINT, 21 bits each; weights times 255 stay below 2^20.
 FIELD = 21
@@ -39,20 +37,22 @@ def _fields(packed: Column) -> list[Column]:
     return out
 
 
-def convolve_tile(
-    view: np.ndarray, inset: tuple[int, int], shape: tuple[int, int], kernels: list[Kernel], radius: int
+def convolve_band(
+    view: np.ndarray, top: int, rows: int, kernels: list[Kernel], radius: int
 ) -> np.ndarray:
     """Kernels x rows x columns x channels: weighted sums, div, bias, clamped."""
-    (top, left), (rows, cols) = inset, shape
-    wide = np.pad(view.astype(np.int64), ((radius, radius), (radius, radius), (0, 0)))
+    cols = view.shape[1]
+    wide = np.pad(view.astype(np.int32), ((radius, radius), (radius, radius), (0, 0)))
     out = np.empty((len(kernels), rows, cols, view.shape[2]), dtype=np.uint8)
     for n, kernel in enumerate(kernels):
-        total = np.zeros((rows, cols, view.shape[2]), dtype=np.int64)
+        total = np.zeros((rows, cols, view.shape[2]), dtype=np.int32)
         for dy, dx, w in kernel.taps():
-            y, x = top + radius + dy, left + radius + dx
+            y, x = top + radius + dy, radius + dx
             total += w * wide[y : y + rows, x : x + cols]
         # division truncates toward zero
-        share = np.abs(total) // abs(kernel.divisor) * np.sign(total) * np.sign(kernel.divisor)
+        share = np.abs(total) // abs(kernel.divisor)
+        if (total < 0).any() or kernel.divisor < 0:
+            share *= np.sign(total) * np.sign(kernel.divisor)
         out[n] = np.clip(share + kernel.bias, 0, 255)
     return out
 
@@ -63,20 +63,20 @@ def convolve(df: DataFrame, kernel: Kernel, region: Column | None = None) -> Dat
 
 
 def convolve_each(
-    df: DataFrame, kernels: list[Kernel], region: Column | None = None, tile: int | None = None
+    df: DataFrame, kernels: list[Kernel], region: Column | None = None, rows: int | None = None
 ) -> DataFrame:
-    """Several kernels in one pass over the tiles; adds ``kernel``."""
+    """Several kernels in one pass over the bands; adds ``kernel``."""
     for kernel in kernels:
         require(kernel.divisor != 0, f"the divisor of {kernel.name} is zero")
         total = sum(abs(w) for _, _, w in kernel.taps())
         require(total <= WEIGHT_LIMIT, f"weights of {kernel.name} are too large")
     radius = max([max(abs(dy), abs(dx)) for k in kernels for dy, dx, _ in k.taps()], default=0)
 
-    def run(view, inset, shape):
-        return convolve_tile(view, inset, shape, kernels, radius)
+    def run(view, top, rows):
+        return convolve_band(view, top, rows, kernels, radius)
 
     names = [k.name for k in kernels]
-    new = tiled(df, radius, run, tile or TILE, names)
+    new = banded(df, radius, run, rows, names)
     if region is None:
         return new
     outside = as_pixels(df.where(~region)).withColumn("kernel", F.explode(F.lit(names)))
@@ -99,155 +99,119 @@ def box_blur_separable(df: DataFrame, radius: int) -> DataFrame:
     )
 
 
-def isolated_tile(
-    view: np.ndarray, inset: tuple[int, int], shape: tuple[int, int]
-) -> np.ndarray:
+def isolated_band(view: np.ndarray, top: int, rows: int) -> np.ndarray:
     """The colour of eight equal neighbours, else the pixel's own."""
-    (top, left), (rows, cols) = inset, shape
-    code = view.astype(np.int64) @ np.array([65536, 256, 1])
+    cols = view.shape[1]
+    code = view.astype(np.int32) @ np.array([65536, 256, 1], np.int32)
     wide = np.pad(code, 1, constant_values=-1)
-    around = np.stack(
-        [
-            wide[top + dy : top + dy + rows, left + dx : left + dx + cols]
-            for dy in range(3)
-            for dx in range(3)
-            if (dy, dx) != (1, 1)
-        ]
-    )
-    lone = (around.min(axis=0) == around.max(axis=0)) & (around[0] >= 0)
-    new = np.where(lone, around[0], code[top : top + rows, left : left + cols])
+    around = [
+        wide[top + dy : top + dy + rows, dx : dx + cols]
+        for dy in range(3)
+        for dx in range(3)
+        if (dy, dx) != (1, 1)
+    ]
+    lone = around[0] >= 0
+    for other in around[1:]:
+        lone &= other == around[0]
+    new = np.where(lone, around[0], code[top : top + rows])
     return np.stack([new >> 16, new >> 8 & 255, new & 255], axis=-1)
 
 
 def remove_isolated(df: DataFrame, region: Column | None = None) -> DataFrame:
     """Replace a pixel whose eight neighbours share one colour by that colour."""
-    return _within(df, tiled(df, 1, isolated_tile), region)
-
+    return _within(df, banded(df, 1, isolated_band, separate=False), region)
 
-TILE = 128
 
-# core: rows x columns x channels of the tile; view: the same with its halo;
-# inset: how far the core's corner lies inside the view.
-TileFunction = Callable[[np.ndarray, tuple[int, int], tuple[int, int]], np.ndarray]
+class ColumnHistograms:
+    """For every column, how many of its pixels inside the window's lines are at most a level.
 
-
-def tiled(
-    df: DataFrame, radius: int, fn: TileFunction, tile: int = TILE, names: list[str] | None = None
-) -> DataFrame:
-    """Run a NumPy neighbourhood function over tiles with a halo of ``radius``.
-
-    A pixel goes to its own tile and to those whose halo holds it, so a group
-    has at most (tile + 2 * radius)^2 rows whatever the size of the image. With
-    ``names`` the function gives one result per name, told apart by ``kernel``.
+    The window moves down a line at a time: the line that enters is counted in its
+    columns and the one that leaves is taken out. Sums over neighbouring columns then
+    come from one running sum along the line, so a pixel costs the same at any radius.
+    Counts are taken modulo 2^16: a window has fewer than 2^16 pixels.
     """
 
-    def tiles(at: str, size: str) -> Column:
-        lo = F.greatest(F.lit(0), F.floor((F.col(at) - radius) / tile))
-        hi = F.least(F.floor((F.col(size) - 1) / tile), F.floor((F.col(at) + radius) / tile))
-        return F.explode(span(lo.cast("int"), hi.cast("int") + 1))
-
-    spread = df.withColumn("ty", tiles("y", "height")).withColumn("tx", tiles("x", "width"))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        image, ty, tx = (k.as_py() for k in key)
-        ys, xs = table["y"].to_numpy(), table["x"].to_numpy()
-        y0, x0 = int(ys.min()), int(xs.min())
-        view = np.zeros((int(ys.max()) - y0 + 1, int(xs.max()) - x0 + 1, 3), dtype=np.uint8)
-        for i, c in enumerate(COLORS):
-            view[ys - y0, xs - x0, i] = table[c].to_numpy()
-        in_core = (ys // tile == ty) & (xs // tile == tx)
-        core = table.filter(pa.array(in_core))
-        cy, cx = core["y"].to_numpy(), core["x"].to_numpy()
-        top, left = int(cy.min()), int(cx.min())
-        shape = (int(cy.max()) - top + 1, int(cx.max()) - left + 1)
-        out = fn(view, (top - y0, left - x0), shape)
-        found = []
-        for name, plane in zip(names or [None], out if names else [out]):
-            new = plane[cy - top, cx - left].astype(np.int32)
-            columns = {} if name is None else {"kernel": pa.array([name] * len(new))}
-            columns.update({c: core[c] for c in (*CELL, "a")})
-            columns.update({c: pa.array(new[:, i]) for i, c in enumerate(COLORS)})
-            found.append(pa.table(columns))
-        return pa.concat_tables(found)
-
-    schema = PIXEL_SCHEMA if names is None else "kernel string, " + PIXEL_SCHEMA
-    return (
-        spread.select("image_id", "ty", "tx", "width", "height", "y", "x", "a", *COLORS)
-        .groupBy("image_id", "ty", "tx")
-        .applyInArrow(run, schema)
-    )
-
-
-def median_tile(
-    view: np.ndarray, inset: tuple[int, int], shape: tuple[int, int], radius: int
-) -> np.ndarray:
+    def __init__(self, plane: np.ndarray, radius: int):
+        self.levels, self.plane = np.unique(plane, return_inverse=True)
+        self.plane = self.plane.reshape(plane.shape)
+        self.radius, self.low, self.high = radius, 0, 0
+        self.grid = np.arange(len(self.levels))
+        self.columns = np.zeros((plane.shape[1], len(self.levels)), np.uint16)
+        self.sums = np.zeros((plane.shape[1] + 1, len(self.levels)), np.uint16)
+
+    def move(self, y: int) -> np.ndarray:
+        """Running sums over the columns for the window around line y, clipped to the view."""
+        while self.high < min(len(self.plane), y + self.radius + 1):
+            self.columns += self.grid >= self.plane[self.high][:, None]
+            self.high += 1
+        while self.low < y - self.radius:
+            self.columns -= self.grid >= self.plane[self.low][:, None]
+            self.low += 1
+        np.cumsum(self.columns, axis=0, dtype=np.uint16, out=self.sums[1:])
+        return self.sums
+
+
+def median_band(view: np.ndarray, top: int, rows: int, radius: int) -> np.ndarray:
     """Median per channel; beyond the image its edge pixels repeat."""
-    (top, left), (rows, cols) = inset, shape
-    pad = (
-        (radius - min(radius, top), radius - min(radius, view.shape[0] - top - rows)),
-        (radius - min(radius, left), radius - min(radius, view.shape[1] - left - cols)),
-        (0, 0),
-    )
-    wide = np.pad(view, pad, mode="edge")
-    side = 2 * radius + 1
-    y0, x0 = top + pad[0][0] - radius, left + pad[1][0] - radius
-    wide = wide[y0 : y0 + rows + 2 * radius, x0 : x0 + cols + 2 * radius]
-    patches = np.lib.stride_tricks.sliding_window_view(wide, (side, side), axis=(0, 1))
-    flat = patches.reshape(rows, cols, view.shape[2], side * side)
+    above, below = radius - min(radius, top), radius - min(radius, len(view) - top - rows)
+    wide = np.pad(view, ((above, below), (radius, radius), (0, 0)), mode="edge")
+    side, first = 2 * radius + 1, top + above
     middle = side * side // 2
-    return np.partition(flat, middle, axis=3)[..., middle]
+    if radius <= 2:
+        near = wide[first - radius : first + rows + radius]
+        patches = np.lib.stride_tricks.sliding_window_view(near, (side, side), axis=(0, 1))
+        flat = patches.reshape(rows, view.shape[1], view.shape[2], side * side)
+        return np.partition(flat, middle, axis=3)[..., middle]
+    out = np.empty((rows, *view.shape[1:]), np.uint8)
+    for channel in range(view.shape[2]):
+        moving = ColumnHistograms(wide[first - radius : first + rows + radius, :, channel], radius)
+        for y in range(rows):
+            sums = moving.move(y + radius)
+            upto = sums[side:] - sums[:-side]
+            out[y, :, channel] = moving.levels[(upto <= middle).sum(axis=1)]
+    return out
 
 
 def median(
-    df: DataFrame, radius: int, region: Column | None = None, tile: int = TILE
+    df: DataFrame, radius: int, region: Column | None = None, rows: int | None = None
 ) -> DataFrame:
     """Median of the (2R+1)^2 neighbourhood per channel, R in 1..5; alpha kept."""
     require(1 <= radius <= 5, "median radius lies in 1..5")
 
-    def run(view, inset, shape):
-        return median_tile(view, inset, shape, radius)
+    def run(view, top, rows):
+        return median_band(view, top, rows, radius)
 
-    return _within(df, tiled(df, radius, run, tile), region)
+    return _within(df, banded(df, radius, run, rows), region)
 
 
-def local_equalise_tile(
-    view: np.ndarray, inset: tuple[int, int], shape: tuple[int, int], radius: int
-) -> np.ndarray:
+def local_equalise_band(view: np.ndarray, top: int, rows: int, radius: int) -> np.ndarray:
     """255 * (neighbours <= v) div (neighbours), window clipped to the image."""
-    (top, left), (rows, cols) = inset, shape
-    y = np.arange(top, top + rows)
-    x = np.arange(left, left + cols)
-    y_lo, y_hi = np.maximum(0, y - radius), np.minimum(view.shape[0], y + radius + 1)
-    x_lo, x_hi = np.maximum(0, x - radius), np.minimum(view.shape[1], x + radius + 1)
-    count = (y_hi - y_lo)[:, None] * (x_hi - x_lo)[None, :]
-    core = view[top : top + rows, left : left + cols]
-    out = np.zeros(core.shape, dtype=np.int64)
+    cols = view.shape[1]
+    x, y = np.arange(cols), np.arange(top, top + rows)
+    x_lo, x_hi = np.maximum(0, x - radius), np.minimum(cols, x + radius + 1)
+    tall = np.minimum(len(view), y + radius + 1) - np.maximum(0, y - radius)
+    out = np.empty((rows, cols, view.shape[2]), np.uint8)
     for channel in range(view.shape[2]):
-        plane, wanted = view[:, :, channel], core[:, :, channel]
-        for level in np.unique(wanted):
-            upto = np.zeros((view.shape[0] + 1, view.shape[1] + 1), dtype=np.int32)
-            upto[1:, 1:] = (plane <= level).cumsum(0, dtype=np.int32).cumsum(1)
-            r, c = np.nonzero(wanted == level)
-            below = (
-                upto[y_hi[r], x_hi[c]]
-                - upto[y_lo[r], x_hi[c]]
-                - upto[y_hi[r], x_lo[c]]
-                + upto[y_lo[r], x_lo[c]]
-            )
-            out[r, c, channel] = below.astype(np.int64) * 255 // count[r, c]
+        near = max(0, top - radius)
+        moving = ColumnHistograms(view[near : top + rows + radius, :, channel], radius)
+        for i in range(rows):
+            sums = moving.move(top - near + i)
+            v = moving.plane[top - near + i]
+            below = (sums[x_hi, v] - sums[x_lo, v]).astype(np.int32)
+            out[i, :, channel] = below * 255 // (tall[i] * (x_hi - x_lo))
     return out
 
 
 def hist_eq_local(
-    df: DataFrame, radius: int, region: Column | None = None, tile: int = TILE
+    df: DataFrame, radius: int, region: Column | None = None, rows: int | None = None
 ) -> DataFrame:
     """Local histogram equalisation in a (2R+1)^2 window, R in 1..64."""
     require(1 <= radius <= 64, "local radius lies in 1..64")
 
-    def run(view, inset, shape):
-        return local_equalise_tile(view, inset, shape, radius)
+    def run(view, top, rows):
+        return local_equalise_band(view, top, rows, radius)
 
-    return _within(df, tiled(df, radius, run, tile), region)
+    return _within(df, banded(df, radius, run, rows), region)
 
 
 def _within(df: DataFrame, new: DataFrame, region: Column | None) -> DataFrame:

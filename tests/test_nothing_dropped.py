@@ -119,7 +119,7 @@ def test_tiles_do_not_show(raster):
     df = raster([[tuple(int(v) for v in rng.integers(0, 256, 3)) for _ in range(40)] for _ in range(30)])
     kernels = [Kernel.of(*e) for e in PRESETS]
     rows = lambda d: sorted(map(tuple, d.collect()), key=str)
-    assert rows(stencil.convolve_each(df, kernels, tile=7)) == rows(stencil.convolve_each(df, kernels))
+    assert rows(stencil.convolve_each(df, kernels, rows=7)) == rows(stencil.convolve_each(df, kernels))
 
 
 def test_background_transparency(raster, cells):

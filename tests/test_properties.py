@@ -61,8 +61,8 @@ REMAPS = {
     "twirl": lambda df: geometry.twirl_bilinear(df, 90, 4, 2, 2),
     "quick": lambda df: geometry.scale_quick(df, 7, 4),
     "average": lambda df: geometry.scale_average(df, 3, 8),
-    "median": lambda df: stencil.median(df, 2, tile=2),
-    "local": lambda df: stencil.hist_eq_local(df, 3, tile=2),
+    "median": lambda df: stencil.median(df, 2, rows=2),
+    "local": lambda df: stencil.hist_eq_local(df, 3, rows=2),
     "convolve": lambda df: stencil.convolve(df, preset("average5")),
     "blur": lambda df: stencil.box_blur_separable(df, 2),
     "autocrop": lambda df: geometry.autocrop(df, 1, 2),
@@ -86,8 +86,8 @@ def test_histogram_counts_every_pixel(rgb):
 def test_tiles_do_not_show(uneven, rgb, tile):
     """Tile size, and with it the halo exchange, leaves no trace."""
     for df in (uneven, rgb):
-        assert same(stencil.median(df, 2, tile=tile), stencil.median(df, 2, tile=128))
-        assert same(stencil.hist_eq_local(df, 5, tile=tile), stencil.hist_eq_local(df, 5, tile=128))
+        assert same(stencil.median(df, 2, rows=tile), stencil.median(df, 2, rows=128))
+        assert same(stencil.hist_eq_local(df, 5, rows=tile), stencil.hist_eq_local(df, 5, rows=128))
 
 
 def test_blur_equals_average_kernel(uneven):

@@ -121,7 +121,7 @@ def test_gray_median_cut_levels(raster):
 @pytest.mark.parametrize("radius", [1, 4, 40])
 def test_local_equalisation(raster, cells, radius):
     rows = picture(radius, 12, 17)
-    got = cells(stencil.hist_eq_local(raster(rows), radius, tile=5))
+    got = cells(stencil.hist_eq_local(raster(rows), radius, rows=5))
     data = np.array(rows)
     for y in range(12):
         for x in range(17):
@@ -135,7 +135,7 @@ def test_local_equalisation(raster, cells, radius):
 @pytest.mark.parametrize("radius", [1, 5])
 def test_median_loop(raster, cells, radius):
     rows = picture(radius, 9, 13)
-    got = cells(stencil.median(raster(rows), radius, tile=4))
+    got = cells(stencil.median(raster(rows), radius, rows=4))
     data = np.array(rows)
     for y in range(9):
         for x in range(13):
