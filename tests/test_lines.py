@@ -19,10 +19,6 @@ def picture(seed, height, width, alpha):
     return out
 
 
-def copy(view, top, rows):
-    return view[top : top + rows]
-
-
 @pytest.fixture(scope="module")
 def pixels():
     out = picture(1, 9, 13, "none") + picture(2, 5, 7, "all") + picture(-3, 30, 3, "some") + picture(4, 1, 1, "none")
@@ -35,7 +31,7 @@ def pixels():
 @pytest.mark.parametrize("rows", [None, 1, 4])
 def test_round_trip(spark, pixels, rows):
     df = spark.createDataFrame(pixels, PIXEL_SCHEMA).repartition(7, "r")
-    found = lines.banded(df, 2, copy, rows)
+    found = lines.banded(df, 2, lambda view, top, n: view[top : top + n], rows)
     assert found.columns == df.columns
     assert sorted(map(tuple, found.collect()), key=str) == sorted(pixels, key=str)
 
