@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..session import cut_lineage, fresh_path
 
 
+ROW_GROUP_BYTES = 16 << 20  # what a writing task holds; whole texts are wide rows
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -24,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back."""
     path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -46,8 +46,9 @@ class ByteEncoder:
     """Whole texts to ids; a chunk is a blank and what follows it up to the next."""
 
     def __init__(self, path: str):
-        self.tool, self.ranks = library(path), rank_encoder(path)
+        self.path, self.ranks = path, rank_encoder(path)  # the library itself is loaded for texts that need it
         self.cutter, self.special = specials(path)
+        spec.cache_clear()  # the parsed file, several times the tables made of it
         self.pool = Pool(self.encode_new)
 
     def encode_new(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ class ByteEncoder:
             elif c[1]:
                 ids.append(plain(c[0]))
             else:
-                ids.append(self.tool.encode(c[0], add_special_tokens=False).ids)
+                ids.append(library(self.path).encode(c[0], add_special_tokens=False).ids)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum())), lengths
 
@@ -195,7 +196,8 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, sl
     """
     cut = written(pieces(df, path, capacity, end_id, text, key))
     slots = slots or max(64, min(1024, cut.count() // 200_000))
-    cut = cut.withColumn(        "slot", F.pmod(F.xxhash64(F.col(key), "doc_tokens", "crcs"), F.lit(slots))
+    cut = cut.withColumn(
+        "slot", F.pmod(F.xxhash64(F.col(key), "doc_tokens", "crcs"), F.lit(slots))
     )
     spark = df.sparkSession
     tail = F.when(F.col("doc_tokens") % capacity == 0, 0).otherwise(F.col("doc_tokens") % capacity)

@@ -22,7 +22,7 @@ UNUSUAL = re.compile(
     " -  -₫₭-\U0010ffff]"
 )
 RUN_OF_SPACE = re.compile(r"\s\s")
-MAX_CHUNKS = 300_000  # a worker forgets its chunks beyond this number
+MAX_CHUNKS, MAX_CHUNK_CHARS = 200_000, 8_000_000  # a worker forgets its chunks beyond these
 SLICE_CHARS = 1_000_000  # texts handled at once
 
 
@@ -72,14 +72,14 @@ class Pool:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = Numbers()
+        self.numbers, self.held = Numbers(), 0
         self.flat = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
     def gather(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the number of ids of each; texts are chunk lists."""
-        if len(self.numbers) > MAX_CHUNKS:
+        if len(self.numbers) > MAX_CHUNKS or self.held > MAX_CHUNK_CHARS:
             self.clear()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         total = int(counts.sum())
@@ -87,6 +87,8 @@ class Pool:
         at = np.fromiter((n for t in texts for n in map(look, t)), np.int64, total)
         if self.numbers.fresh:
             flat, lengths = self.encode_new(self.numbers.fresh)
+            # a chunk is text, or a tuple that may hold a whole text
+            self.held += sum(len(c if isinstance(c, (str, bytes)) else str(c[0])) for c in self.numbers.fresh)
             self.numbers.fresh.clear()
             starts = len(self.flat) + np.cumsum(lengths) - lengths
             self.flat = np.concatenate([self.flat, flat])
