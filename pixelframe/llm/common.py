@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut_lineage, fresh_path
+from ..session import fresh_path
 
 
 ROW_GROUP_BYTES = 16 << 20  # what a writing task holds; whole texts are wide rows
 
 
+BATCH_ROWS = 1000  # rows that a task moves to or from Python at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session moves few rows at once to Python: whole texts are wide rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
@@ -19,13 +29,8 @@ def whole_text(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    return cut_lineage(df)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back."""
+    """The rows as a Parquet table in the shared folder, read back; the new plan is one scan."""
     path = fresh_path(df.sparkSession)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import written
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     join side can be split. Lineage is cut after each round; only a row count and a
     checksum reach the driver. Nulls and loops are ignored; no edge, no row.
     """
-    now = cut(forest(edges.where("u <> v")).distinct())
+    now = written(forest(edges.where("u <> v")).distinct())
     state = None
     for _ in range(rounds):
         both = now.union(now.select("v", "u")).toDF("a", "b")
@@ -60,7 +60,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(least, "v").select(
             F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")
         )
-        now = cut(small.select("e.u", "e.v").where("u <> v").distinct())
+        now = written(small.select("e.u", "e.v").where("u <> v").distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(seen) == state:
             break

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, written
+from .common import written
 from .graph import components
 
 LIST = 12  # neighbours of a vector
@@ -160,22 +160,21 @@ def lists_of_centre(back: DataFrame, size: int) -> DataFrame:
     return best(best(back.withColumn("slot", slot), "centre", "slot"), "centre").select("centre", "id")
 
 
-def audit(vectors: DataFrame, links: DataFrame, dense: DataFrame, dims: int, threshold: float, sample: int) -> tuple[float, int]:
-    """Recall of the true links, and how many audited links it rests on outside groups.
+def audit(vectors: DataFrame, links: DataFrame, apart: DataFrame, dims: int, threshold: float, sample: int) -> tuple[float, int]:
+    """Recall of the true links of vectors apart from groups, and how many links it rests on.
 
     Recall is the mean over vectors of the share of their links that is known, so a vector
-    of one link counts like one of a million. Vectors of groups that are counted as a whole
-    are audited apart; the smaller of both means is given. The sample of the others grows
-    until LINKS links are seen, AUDIT_MOST vectors at most.
+    of one link counts like one of a million. `apart` (id) are the vectors in or next to a
+    group that will be counted as a whole; those groups are audited once they are known.
+    The sample grows until LINKS links are seen, AUDIT_MOST vectors at most.
     """
-    inside = vectors.join(dense.select("id"), "id", "left_semi")
-    outside = vectors.join(dense.select("id"), "id", "left_anti")
-    low, _, _ = audited(vectors, inside, links, dense, dims, threshold, sample)
+    pool = vectors.join(apart, "id", "left_anti")
+    none = links.select(F.col("a").alias("id"), F.col("a").alias("group")).limit(0)
     while True:
-        share, seen, size = audited(vectors, outside, links, dense, dims, threshold, sample)
+        share, seen, size = audited(vectors, pool, links, none, dims, threshold, sample)
         if seen >= LINKS or size < sample or sample >= AUDIT_MOST:
             # a sample of the whole pool is no estimate
-            return min(low, share), LINKS if size < sample else seen
+            return share, LINKS if size < sample else seen
         sample = min(AUDIT_MOST, sample * 8)
 
 
@@ -270,30 +269,34 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     enough = orders_needed(bits, threshold, recall)
     graph, seen, done = None, None, 0
     while True:
-        fresh = cut(adjacent(ordered(vectors, range(done, done + tables), dims, bits), dims, REACH))
+        fresh = written(adjacent(ordered(vectors, range(done, done + tables), dims, bits), dims, REACH))
         done += tables
-        graph = cut(lists(fresh if graph is None else fresh.union(flat(graph)), size))
+        graph = written(lists(fresh if graph is None else fresh.union(flat(graph)), size))
         state = None
         for _ in range(rounds):
             better = joined_neighbours(graph, vectors, dims, size)
-            graph = cut(lists(flat(graph).union(better), size))
+            graph = written(lists(flat(graph).union(better), size))
             total = graph.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda a, n: a + n["sim"]))).first()[0] or 0.0
             if state is not None and total - state <= 1e-3 * abs(total):
                 break
             state = total
         one_way = flat(graph).union(fresh).where(F.col("sim") >= threshold).select("a", "b")
         one_way = one_way if seen is None else one_way.union(seen)
-        links = seen = cut(one_way.union(one_way.select("b", "a")).distinct())
+        links = seen = written(one_way.union(one_way.select("b", "a")).distinct())
         full = graph.where((F.size("near") >= size) & (F.element_at("near", -1)["sim"] >= threshold)).select("id")
-        group = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        inside = vectors.join(group, vectors["id"] == group["node"]).select("component", "id", "unit", "copies")
-        dense = group.join(full, group["node"] == full["id"]).select("component").distinct()
-        sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        members = inside.join(dense.join(sizes, "component"), "component").select(F.col("component").alias("group"), "id", "unit", "copies", "size")
-        share, judged = audit(vectors, links, members, dims, threshold, AUDIT)
+        apart = written(full.union(links.join(full, links["b"] == full["id"], "left_semi").select("a")).distinct())
+        share, judged = audit(vectors, links, apart, dims, threshold, AUDIT)
         # where hardly any link is seen, the orders must be as many as a pair at the threshold needs
         if share >= recall and (judged >= LINKS or done >= enough):
-            break
+            group = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+            inside = vectors.join(group, vectors["id"] == group["node"]).select("component", "id", "unit", "copies")
+            dense = group.join(full, group["node"] == full["id"]).select("component").distinct()
+            sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            members = written(inside.join(dense.join(sizes, "component"), "component").select(
+                F.col("component").alias("group"), "id", "unit", "copies", "size"))
+            share, _, _ = audited(vectors, vectors.join(members.select("id"), "id", "left_semi"), links, members, dims, threshold, AUDIT)
+            if share >= recall:
+                break
         if done >= max(ORDERS, 3 * enough):
             raise RuntimeError(f"{share:.4f} of the links of audited vectors are known after {done} orders, not {recall}")
     exact = group_counts(members, dims, threshold, BLOCK)

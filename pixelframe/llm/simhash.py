@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut
+from .common import written
 from .graph import components
 from .words import slices
 
@@ -128,7 +128,7 @@ def links(prints: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
     """(u, v): edges between distinct fingerprints that connect all within distance."""
     if distance != 2:
         raise ValueError("keys and points are made for two differing bits")
-    keys = cut(keyed(prints))
+    keys = written(keyed(prints))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowd = keys.join(sizes, "key")
     few = crowd.where(F.col("n") <= dense)
@@ -144,8 +144,8 @@ def links(prints: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
 
 def grouped(df: DataFrame, keep: tuple[str, ...], key: str, text: str, width: int) -> DataFrame:
     """The kept columns, print, group (a fingerprint of it) and component_id."""
-    prints = cut(fingerprints(df, tuple(dict.fromkeys((key, *keep))), text, width))
-    distinct = cut(prints.groupBy("print").agg(F.min(key).alias("least")))
+    prints = written(fingerprints(df, tuple(dict.fromkeys((key, *keep))), text, width))
+    distinct = written(prints.groupBy("print").agg(F.min(key).alias("least")))
     group = components(links(distinct))
     of = distinct.join(group, distinct["print"] == group["node"], "left").select(
         "print", "least", F.coalesce("component", "print").alias("group")
