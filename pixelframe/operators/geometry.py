@@ -517,19 +517,18 @@ def twirl_bilinear(df: DataFrame, angle: int, radius: int, cx: int, cy: int) ->
     return summed.unionByName(zero).unionByName(as_pixels(rest))
 
 
-def _covered(at: str, old: str, new: Column) -> Column:
-    """Destination indexes j with j * old div new == at."""
-    size = F.col(old)
-    lo = idiv(F.col(at) * new + size - 1, size)
-    hi = idiv((F.col(at) + 1) * new + size - 1, size)
-    return F.explode(span(lo.cast("int"), hi.cast("int")))
+def covered(at: Column, size: Column, new: Column) -> Column:
+    """Destination indexes j with j * size div new == at; NULL if there are none."""
+    lo = idiv(at * new + size - 1, size)
+    hi = idiv((at + 1) * new + size - 1, size)
+    return span(lo.cast("int"), hi.cast("int"))
 
 
 def scale_quick(df: DataFrame, new_width, new_height) -> DataFrame:
     """Nearest by integer ratio. Each pixel is copied to the cells it covers."""
     w, h = as_col(new_width), as_col(new_height)
-    spread = df.withColumn("_y", _covered("y", "height", h)).withColumn(
-        "_x", _covered("x", "width", w)
+    spread = df.withColumn("_y", F.explode(covered(F.col("y"), F.col("height"), h))).withColumn(
+        "_x", F.explode(covered(F.col("x"), F.col("width"), w))
     )
     return _moved(spread, x=F.col("_x"), y=F.col("_y"), width=w, height=h)
 

@@ -7,6 +7,7 @@ column like any other, so the same recipe runs over all frames at once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from ..functions import color, noise, ordered, tone
 from ..functions.kernels import preset
 from ..layout import RasterArgumentError
-from ..operators import combine, geometry, quantize, stats, stencil, watermark
+from ..operators import combine, geometry, quantize, remap, stats, stencil, watermark
 
 Operator = Callable[..., DataFrame]
 Step = tuple[str, Mapping[str, Any]]
@@ -107,8 +108,15 @@ def process(df: DataFrame, name: str, /, **arguments: Any) -> DataFrame:
 
 
 def recipe(df: DataFrame, steps: Iterable[Step]) -> DataFrame:
-    for name, arguments in steps:
-        df = process(df, name, **arguments)
+    """Run operators in turn; a run of canvas steps becomes one map with one fill."""
+    maps = [(name, arguments, remap.step(name, arguments)) for name, arguments in steps]
+    for foldable, run in groupby(maps, key=lambda m: m[2] is not None):
+        run = list(run)
+        if foldable and len(run) > 1:
+            df = remap.folded(df, [move for _, _, move in run])
+            continue
+        for name, arguments, _ in run:
+            df = process(df, name, **arguments)
     return df
 
 
