@@ -31,13 +31,19 @@ def widen(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def block_of(key: Column, block: int) -> Column:
+    """Which block of consecutive keys a key is in; also right below zero."""
+    return idiv(key - F.pmod(key, F.lit(block)), block)
+
+
 def missing_keys(df: DataFrame, key: str, block: int) -> DataFrame:
     """Keys that complete each block of ``block`` keys of which the table has some.
 
     A block's keys are gathered as places inside it, at most ``block`` small numbers.
     """
-    place = (F.col(key) % block).cast("int")
-    blocks = df.where(F.col(key) >= 0).groupBy(idiv(F.col(key), block).alias("_block")).agg(F.collect_set(place).alias("_held"))
+    place = F.pmod(F.col(key), F.lit(block)).cast("int")
+    known = df.where(F.col(key).isNotNull())
+    blocks = known.groupBy(block_of(F.col(key), block).alias("_block")).agg(F.collect_set(place).alias("_held"))
     free = F.array_except(F.sequence(F.lit(0), F.lit(block - 1)), "_held")
     return blocks.where(F.size("_held") < block).select(
         F.explode(F.transform(free, lambda p: F.col("_block") * block + p)).alias("k")
@@ -46,14 +52,22 @@ def missing_keys(df: DataFrame, key: str, block: int) -> DataFrame:
 
 def gray_from_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """A vector is a scan line, a dimension is a column."""
-    table = read_table(spark, folder, "embeddings")
-    lines = table.select(F.col("vec_id").alias("k"), "embedding")
-    blank = missing_keys(table, "vec_id", GRAY_SIDE).select(
-        "k", F.array_repeat(F.lit(None).cast("float"), GRAY_SIDE).alias("embedding")
-    )
+    return gray_lines(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+def gray_lines(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """Vectors as scan lines, GRAY_SIDE consecutive keys an image.
+
+    A null vector is a black line, a shorter one ends in black pixels and of a longer one
+    the first GRAY_SIDE numbers count. A row without a key has no place and is left out.
+    """
+    nothing = F.array_repeat(F.lit(None), GRAY_SIDE).cast(table.schema[vector].dataType)
+    sized = F.slice(F.coalesce(F.concat(F.col(vector), nothing), nothing), 1, GRAY_SIDE)
+    lines = table.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), sized.alias("embedding"))
+    blank = missing_keys(table, key, GRAY_SIDE).select("k", nothing.alias("embedding"))
     cells = lines.unionByName(blank).select(
-        idiv(F.col("k"), GRAY_SIDE).alias("image_id"),
-        (F.col("k") % GRAY_SIDE).alias("y"),
+        block_of(F.col("k"), GRAY_SIDE).alias("image_id"),
+        F.pmod(F.col("k"), F.lit(GRAY_SIDE)).alias("y"),
         F.posexplode("embedding").alias("x", "e"),
     )
     value = F.coalesce(
@@ -85,7 +99,7 @@ def rgb_from_orders(
     if wide:
         table = widen(table, "o_orderkey")
     key = F.col("o_orderkey")
-    real = table.select(
+    real = table.where(key.isNotNull()).select(
         key.alias("k"),
         ((key * 36) % 256).alias("a"),
         (F.floor("o_totalprice").cast("bigint") % 256).alias("r"),
@@ -99,11 +113,11 @@ def rgb_from_orders(
     placed = real.unionByName(blank)
     if not alpha:
         placed = placed.withColumn("a", F.lit(None).cast("int"))
-    return as_pixels(_place_cells(placed, idiv(F.col("k"), RGB_CELLS), F.col("k")))
+    return as_pixels(_place_cells(placed, block_of(F.col("k"), RGB_CELLS), F.col("k")))
 
 
 def _place_cells(df: DataFrame, image: Column, key: Column) -> DataFrame:
-    cell = key % RGB_CELLS
+    cell = F.pmod(key, F.lit(RGB_CELLS))
     return df.select(
         image.alias("image_id"),
         F.lit(RGB_SIDE).alias("width"),
@@ -207,11 +221,20 @@ def rgb_from_lineitem(
 def bytes_from_documents(
     spark: SparkSession, folder: str, width: int = BYTE_WIDTH
 ) -> DataFrame:
-    """Byte plot: the UTF-8 bytes of a document, ``width`` to a scan line."""
+    """Byte plot: the UTF-8 bytes of a document, ``width`` to a scan line.
+
+    A null or empty text has no byte, so its plot has no line and no row; ``unplotted`` lists them.
+    """
     table = widen(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return byte_plot(table, "doc_id", "text", width)
 
 
+def unplotted(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = BYTE_WIDTH) -> DataFrame:
+    """The images without a line: image_id, width and height 0 of null and empty texts."""
+    empty = df.where(F.coalesce(F.length(text), F.lit(0)) == 0)
+    return empty.select(F.col(key).alias("image_id"), F.lit(width).alias("width"), F.lit(0).alias("height"))
+
+
 def byte_plot(df: DataFrame, key: str, text: str, width: int = BYTE_WIDTH) -> DataFrame:
     raw = df.select(
         F.col(key).alias("image_id"), F.encode(F.col(text), "UTF-8").alias("raw")

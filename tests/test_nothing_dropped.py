@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelframe.layout import PIXEL_SCHEMA
+from pixelframe.layout import PIXEL_SCHEMA, density
 from pixelframe.operators import catalog, geometry, quantize, regions, stats, stencil
 from pixelframe.functions import color
 from pixelframe.functions.kernels import PRESETS, Kernel
@@ -138,3 +138,19 @@ def test_two_raster_operators_by_name(two):
     out = process(two, "render", colors=4)
     assert sizes(out) == {0: 64, 1: 9} and out.columns == two.columns
     assert process(two, "colorcount").count() == 2
+
+
+def test_vectors_of_any_length_and_null_make_dense_rasters(spark):
+    rows = [(0, [0.25] * 64), (1, None), (2, [0.25] * 70), (5, [0.25] * 3), (63, [None] * 64), (70, []), (-1, [0.25] * 64), (-64, None), (None, [0.1])]
+    df = tables.gray_lines(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    assert density(df).where("dense").count() == density(df).count() == 3
+    value = 128 + 55
+    held = {(r.image_id, r.y): r.n for r in df.where(F.col("r") == value).groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert held == {(0, 0): 64, (0, 2): 64, (0, 5): 3, (-1, 63): 64}
+    assert df.where("r not in (0, 183)").count() == 0
+
+
+def test_empty_texts_are_listed(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "doc_id long, text string")
+    assert sorted(r.image_id for r in tables.unplotted(df).collect()) == [2, 3]
+    assert {r.image_id for r in tables.byte_plot(df, "doc_id", "text").collect()} == {1}
