@@ -26,7 +26,12 @@ SAMPLE = 800  # labelled rows of each language, taken by a hash of their text
 SAMPLE_CHARS = 20_000  # longer labelled texts are not learnt from
 MOST_LANGUAGES = 200  # different labels in the training rows
 SIZE = 2048
-LETTER = re.compile(r"[^\W\d_]")
+WORDY = re.compile(r"[^\W\d_]")  # letters, and numerals that are no digits
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in WORDY.finditer(text))
+
 
 # Families of languages by their codes; fixed values. Others are families of one.
 FAMILIES = {
@@ -77,7 +82,7 @@ class Model:
         names, scores = [], []
         for text in texts:
             name, score = "und", 0.0
-            if text and self.families and LETTER.search(text):
+            if text and self.families and has_letter(text):
                 x = np.append(vector(text), 1.0)
                 margins = self.coarse @ x
                 at = int(np.argmax(margins))

@@ -193,3 +193,8 @@ def test_pipeline(spark, folder):
 
 def test_registered():
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in queries.QUERIES)] == []
+
+
+@pytest.mark.parametrize("text, letter", [("²", False), ("½ ¾", False), ("Ⅷ", False), ("12_3", False), ("", False), ("́", False), ("Ⅷ a", True), ("ß", True), ("½" * 100_000 + "é", True)])
+def test_numerals_are_no_letters(text, letter):
+    assert language.has_letter(text) is letter
