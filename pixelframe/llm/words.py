@@ -22,7 +22,7 @@ UNUSUAL = re.compile(
     " -  -₫₭-\U0010ffff]"
 )
 RUN_OF_SPACE = re.compile(r"\s\s")
-MAX_CHUNKS, MAX_CHUNK_CHARS = 200_000, 8_000_000  # a worker forgets its chunks beyond these
+MAX_CHUNKS, MAX_CHUNK_CHARS = 300_000, 16_000_000  # a worker forgets its chunks beyond these
 SLICE_CHARS = 1_000_000  # texts handled at once
 
 
