@@ -17,9 +17,11 @@ bytes in ascending order, the suffix before each one met is put next into its ow
 bucket. Neighbours in the sorted order whose common prefix has `length` bytes repeat.
 
 A name with very many different segments (a passage that a third of all documents
-share, each with its own surroundings) is dealt over salts; what is single within a
-salt is compared across salts by window hash. So no task and no row depends on how
-often a passage occurs.
+share, each with its own surroundings) isn't compared: its segments are texts of the
+next round, which names their windows by longer pieces. Windows that reach into private
+surroundings part company there; the last round's piece is the window itself. A segment
+gives a few rows a round, so the rows are in proportion to the segments, however many
+share a name, and no task meets more than CROWDED segments of one name.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from .common import whole_text, written
 LENGTH = 400
 GRAM = 100
 RUN = 256  # windows of a segment at most
-BLOCK_BYTES = 1_500_000  # of segments sorted at once
-SALT_ROWS = 4000  # segments of a name in one salt, about as many as a block holds
+BLOCK_BYTES = 500_000  # of segments sorted at once
+CROWDED = 1000  # different segments of a name that are compared; with more, they are named anew
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -130,24 +132,25 @@ def equal_inside(raw: bytes, length: int) -> list[tuple[int, int]]:
 
 
 def segment_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(name, segment, key, first, last) of every text with a window; texts: key, text.
+    """(name, segment, key, first, last, settled) of every text with a window.
 
-    Rows without a name are runs of windows that repeat inside a segment.
+    texts: key, raw (bytes), settled. Rows without a name are runs of windows that repeat
+    inside a segment.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             size = 0
 
             def batch() -> pa.RecordBatch:
                 columns = [np.concatenate(c) for c in out]
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0].view(np.int64), mask=columns[5]), *(pa.array(c) for c in (columns[1].view(np.int64), *columns[2:5]))],
-                    ["name", "segment", "key", "first", "last"])
+                    [pa.array(columns[0].view(np.int64), mask=columns[6]), *(pa.array(c) for c in (columns[1].view(np.int64), *columns[2:6]))],
+                    ["name", "segment", "key", "first", "last", "settled"])
 
-            for key, text in zip(part.column(0), part.column(1)):
-                raw = text.as_py().encode()
+            for key, text, settled in zip(part.column(0), part.column(1), part.column(2)):
+                raw = text.as_py()
                 if len(raw) < length:
                     continue
                 names, first, last, hashes, inner = segments(raw, length, gram)
@@ -157,17 +160,17 @@ def segment_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 for column, values in zip(out, (
                     np.concatenate([names, nothing]), np.concatenate([np.array(hashes, np.uint64), nothing]),
                     np.full(n + m, key.as_py(), np.int64), np.concatenate([first.astype(np.int32), ends[:, 0]]),
-                    np.concatenate([last.astype(np.int32), ends[:, 1]]), np.arange(n + m) >= n,
+                    np.concatenate([last.astype(np.int32), ends[:, 1]]), np.full(n + m, settled.as_py()), np.arange(n + m) >= n,
                 )):
                     column.append(values)
                 size += n + m
                 if size > 100_000:
                     yield batch()
-                    out, size = [[], [], [], [], [], []], 0
+                    out, size = [[], [], [], [], [], [], []], 0
             if size:
                 yield batch()
 
-    return texts.mapInArrow(run, "name long, segment long, key long, first int, last int")
+    return texts.mapInArrow(run, "name long, segment long, key long, first int, last int, settled boolean")
 
 
 # --- two-stage suffix sorting ---------------------------------------------------
@@ -264,37 +267,35 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
+PIECE = "group long, name long, segment long, key long, first int, crowded boolean, settled boolean, bytes binary"
+
+
 def compared(pieces: DataFrame, length: int) -> DataFrame:
     """Windows that repeat among different segments of a name.
 
-    pieces: group (name and salt), name, segment, key, first, salted, whole, bytes,
-    sorted by group within partitions. Gives runs (key, first, last, window null) and,
-    for salted names, a row per different window (key, first = last, window hash).
+    pieces: rows of PIECE, sorted by group within partitions; a group is a name, or a
+    single segment of a crowded name. Gives runs (key, first, last, the rest null); the
+    segments of crowded names are passed on, with their bytes, and piece = group.
     """
-    schema = "name long, key long, first int, last int, window long, known boolean"
+    schema = "key long, first int, last int, piece long, settled boolean, bytes binary"
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                          ["key", "first", "last", "piece", "settled", "bytes"])
 
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows = list({(r[0], r[2]): r for r in rows}.values())
-        if len(rows) < 2 and not any(r[5] for r in rows):
-            return
-        widths = [len(r[7]) - length + 1 for r in rows]
-        flags = repeated([r[7] for r in rows], widths, length, [r[6] for r in rows])
-        out, met = [], set()
-        for (group, name, segment, key, first, salted, whole, raw), flag, width in zip(rows, flags, widths):
-            if not whole:
-                out += [(name, key, first + a, first + b, None, True) for a, b in runs(flag)]
-            for i in range(width if salted else 0):  # one row per different window, for the other salts
-                window = np.uint64(xxh3_64_intdigest(raw[i:i + length])).astype(np.int64).item()
-                if (name, window) not in met:
-                    met.add((name, window))
-                    out.append((name, key, first + i, first + i, window, bool(whole or flag[i])))
-        for at in range(0, len(out), 50_000):
-            cols = list(zip(*out[at:at + 50_000]))
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["name", "key", "first", "last", "window", "known"])
+        open_ = [r for r in rows if not r[5]]
+        out = [(key, first, None, group, settled, raw) for group, _, _, key, first, crowded, settled, raw in rows if crowded]
+        if len(open_) > 1:
+            widths = [len(r[7]) - length + 1 for r in open_]
+            flags = repeated([r[7] for r in open_], widths, length, [r[6] for r in open_])
+            for (_, _, _, key, first, _, settled, _), flag in zip(open_, flags):
+                if not settled:
+                    out += [(key, first + a, first + b, None, None, None) for a, b in runs(flag)]
+        for at in range(0, len(out), 5000):
+            yield batch(out[at:at + 5000])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, group = [], 0, None
@@ -313,12 +314,10 @@ def compared(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments (key, list of struct), once per task."""
-    schema = "group long, name long, segment long, key long, first int, salted boolean, whole boolean, bytes binary"
-
-    names = ["group", "name", "segment", "key", "first", "salted", "whole", "bytes"]
+    """The bytes of the wanted segments (key, list of struct) as PIECE, once per task."""
     i64, i32, flag = pa.int64(), pa.int32(), pa.bool_()
     types = [i64, i64, i64, i64, i32, flag, flag, pa.binary()]
+    names = ["group", "name", "segment", "key", "first", "crowded", "settled", "bytes"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -330,18 +329,18 @@ def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             out, size = [], 0
             ends = part.column(2).offsets.to_pylist()
             inner = part.column(2).flatten()
-            lists_ = [inner.field(i).to_pylist() for i in range(7)]  # group, name, segment, first, last, salted, whole
+            lists_ = [inner.field(i).to_pylist() for i in range(7)]  # group, name, segment, first, last, crowded, settled
             for i, key in enumerate(part.column(0).to_pylist()):
                 raw = None
                 for j in range(ends[i] - ends[0], ends[i + 1] - ends[0]):
-                    group, name, segment, first, last, salted, whole = (c[j] for c in lists_)
+                    group, name, segment, first, last, crowded, settled = (c[j] for c in lists_)
                     if (name, segment) in seen:
                         continue
                     seen.add((name, segment))
-                    raw = part.column(1)[i].as_py().encode() if raw is None else raw
+                    raw = part.column(1)[i].as_py() if raw is None else raw
                     body = raw[first:last + length]
                     if len(body) == last + length - first:
-                        out.append((group, name, segment, key, first, salted, whole, body))
+                        out.append((group, name, segment, key, first, crowded, settled, body))
                         size += len(body)
                 if size > BLOCK_BYTES:
                     yield batch(out)
@@ -349,44 +348,65 @@ def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if out:
                 yield batch(out)
 
-    return texts.join(wanted, "key").select("key", "text", "wanted").mapInArrow(run, schema)
+    return texts.join(wanted, "key").select("key", "raw", "wanted").mapInArrow(run, PIECE)
 
 
-def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, spans): first and last start of the runs of repeated windows of each text.
+def matched(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Runs (key, first, last) of repeated windows, and the segments of crowded names.
 
-    texts: key (a hash of the text) and text, one row per document.
+    texts: key, raw (bytes) and settled: such a text is met by others but asks nothing.
     """
-    gram = min(gram, length)
     table = written(segment_table(texts, length, gram))
-    inner = table.where("name is null").select("key", "first", "last").distinct()
+    inner = table.where("name is null and not settled").select("key", "first", "last").distinct()
     table = table.where("name is not null")
-    counts = table.groupBy("name", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("rep"))
-    # kinds: how many segments to compare; none if all of them repeat as a whole
-    kinds = F.when(F.min("n") == 1, F.count(F.lit(1))).otherwise(F.lit(1))
+    counts = table.groupBy("name", "segment").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("rep"), F.min("settled").alias("known"))
+    # kinds: how many segments to compare; none if nothing is asked about a single one
+    kinds = F.when(F.max(F.expr("n = 1 and not known")), F.count(F.lit(1))).otherwise(F.lit(1))
     names = counts.groupBy("name").agg(F.sum("n").alias("all"), kinds.alias("kinds")).where("all > 1")
     judged = counts.join(names, "name").where("n > 1 or kinds > 1").select("name", "segment", "n", "rep", "kinds")
     judged = written(table.join(judged, ["name", "segment"]).where("n > 1 or key = rep"))
-    whole = judged.where("n > 1").select("key", "first", "last").distinct()
-    salts = F.expr(f"kinds div {SALT_ROWS} + 1")
+    whole = judged.where("n > 1 and not settled").select("key", "first", "last").distinct()
     one = judged.where("kinds > 1 and key = rep").groupBy("key", "name", "segment", "kinds", "n").agg(
-        F.min("first").alias("first"), F.min(F.expr("last - first")).alias("more")
+        F.min("first").alias("first"), F.min(F.expr("last - first")).alias("more"), F.min("settled").alias("known")
     )
+    # in the last round a name is a window, and its segments differ in their number of windows alone
+    crowded = F.col("kinds") > CROWDED if gram < length else F.lit(False)
     chosen = one.withColumn("last", F.col("first") + F.col("more")).select(
         "key",
         F.struct(
-            F.xxhash64("name", F.pmod("segment", salts)).alias("group"), "name", "segment", "first", "last",
-            (F.col("kinds") >= SALT_ROWS).alias("salted"), (F.col("n") > 1).alias("whole"),
+            F.when(crowded, F.xxhash64("name", "segment")).otherwise(F.col("name")).alias("group"), "name", "segment",
+            "first", "last", crowded.alias("crowded"), (F.col("known") | (F.col("n") > 1)).alias("settled"),
         ).alias("w"),
     )
     wanted = chosen.groupBy("key").agg(F.collect_list("w").alias("wanted"))  # at most the segments of one text
     pieces = fetched(texts, wanted, length)
     blocks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(compared(pieces.repartition(blocks, "group").sortWithinPartitions("group"), length))
-    lone = found.where("window is not null")
-    across = lone.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "window")
-    late = lone.where("not known").join(across, ["name", "window"], "left_semi").select("key", "first", "last")
-    spans = whole.union(inner).union(found.where("window is null").select("key", "first", "last")).union(late)
+    spans = whole.union(inner).union(found.where("piece is null").select("key", "first", "last"))
+    return spans, found.where("piece is not null").drop("last")
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(key, spans): first and last start of the runs of repeated windows of each text.
+
+    texts: key (a hash of the text) and raw (its bytes), one row per document.
+    """
+    gram = min(gram, length)
+    rounds = sorted({gram, *(length - (length - gram) // d for d in (2, 4, 8)), length})
+    spans, crowded = matched(texts.withColumn("settled", F.lit(False)), length, gram)
+    place = None  # where in the documents the texts of a round are
+    for gram in rounds[1:]:
+        if crowded.isEmpty():
+            break
+        at = crowded.withColumnRenamed("first", "_at")
+        if place is not None:
+            outer = place.select(F.col("piece").alias("key"), F.col("key").alias("_key"), F.col("_at").alias("_more"))
+            at = at.join(outer, "key").withColumns({"key": F.col("_key"), "_at": F.col("_at") + F.col("_more")})
+        place = written(at.select("piece", "key", "_at"))
+        again, crowded = matched(crowded.select(F.col("piece").alias("key"), F.col("bytes").alias("raw"), "settled"), length, gram)
+        again = again.withColumnRenamed("key", "piece").join(place, "piece")
+        spans = spans.union(again.select("key", F.expr("first + _at"), F.expr("last + _at")))
     return spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
@@ -405,7 +425,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tupl
     if {"n_bytes", "n_removed", "n_spans", "kept", "_text", "_key"} & set(names):
         raise ValueError("kept columns clash with the result's")
     base = docs.select(*names, whole_text(text).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    texts = base.select(F.col("_key").alias("key"), F.col("_text").alias("text")).where(F.octet_length("text") >= length)
+    texts = base.select(F.col("_key").alias("key"), F.col("_text").cast("binary").alias("raw")).where(F.octet_length("raw") >= length)
     spans = written(repeats(texts, length, gram))
     fields = [*docs.select(*names).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
               T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]

@@ -143,9 +143,9 @@ def cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram,salt", [(400, 100, 1000), (30, 8, 2), (12, 12, 1000)])
-def test_removed_bytes(spark, texts, monkeypatch, length, gram, salt):
-    monkeypatch.setattr(suffix, "SALT_ROWS", salt)
+@pytest.mark.parametrize("length,gram,crowd", [(400, 100, 1000), (400, 100, 1), (30, 8, 2), (12, 12, 1000), (12, 12, 1)])
+def test_removed_bytes(spark, texts, monkeypatch, length, gram, crowd):
+    monkeypatch.setattr(suffix, "CROWDED", crowd)
     rows = suffix.removed(table(spark, texts), length=length, gram=gram).collect()
     want = cut(texts, length)
     assert len(rows) == len(texts)
@@ -153,6 +153,23 @@ def test_removed_bytes(spark, texts, monkeypatch, length, gram, salt):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], texts[r.doc_id]
 
 
+@pytest.mark.parametrize("passage", [120, 260, 399, 401, 650])
+def test_crowded_passage(spark, monkeypatch, passage):
+    """A passage just below or above 400 bytes in all texts, each with its own surroundings."""
+    rng = random.Random(passage)
+    body = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = body(passage)
+    same = [body(rng.randint(0, 500)) + shared + body(rng.randint(0, 500)) for _ in range(40)]
+    same += same[:3] + [body(9) + same[4][-300:] + body(500), shared * 3]
+    rows = {}
+    for crowd in (2, 1000):
+        monkeypatch.setattr(suffix, "CROWDED", crowd)
+        rows[crowd] = suffix.removed(table(spark, same)).collect()
+        want = cut(same, 400)
+        for r in rows[crowd]:
+            assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
+
+
 def test_removed_query(spark, folder):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     want = dict(zip(docs, cut(docs.values(), 400)))
