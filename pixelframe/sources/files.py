@@ -1,4 +1,4 @@
-"""Image files: ingest by Spark's image source, format sniffing, sinks."""
+"""Image files: ingest by Spark's image source, format sniffing, Parquet sinks."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..layout import COLORS, PIXEL_SCHEMA, require, span
+from .images import discard, exists, qualified, settle, staged
 
 # File name suffixes and leading bytes, tried in this order.
 SUFFIXES = [
@@ -81,7 +82,7 @@ def load_images(
     what travels to Python in one row is a line, never a whole image.
     """
     require(invalid in ("raise", "skip"), "invalid is raise or skip")
-    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    raw = _image_source(spark, path)
     origin = F.col("origin")
     if invalid == "raise":
         stop = F.raise_error(F.concat(F.lit("cannot decode "), origin))
@@ -106,13 +107,19 @@ def load_images(
     return lines.mapInArrow(_decode_lines, PIXEL_SCHEMA)
 
 
+def _image_source(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder and of all folders in it."""
+    reader = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true")
+    return reader.load(path).select("image.*")
+
+
 def _decoded() -> Column:
     return (F.col("width") > 0) & (F.col("height") > 0)
 
 
 def rejected_images(spark: SparkSession, path: str) -> DataFrame:
     """(path) of the files under a folder that cannot be decoded."""
-    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    raw = _image_source(spark, path)
     return raw.where(~_decoded()).select(F.col("origin").alias("path"))
 
 
@@ -209,8 +216,19 @@ def load_pixels(spark: SparkSession, path: str) -> DataFrame:
 def save_indexed(
     indexed: DataFrame, palettes: DataFrame, path: str, overwrite: bool = False
 ) -> None:
-    """Write pens and palettes of rendered rasters side by side."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    palettes.write.mode(mode).parquet(f"{path}/palettes")
-    ordered = indexed.repartitionByRange("image_id", "y").sortWithinPartitions("image_id", "y", "x")
-    ordered.write.mode(mode).parquet(f"{path}/indexed_pixels")
+    """Write pens and palettes of rendered rasters side by side, with one commit.
+
+    Both tables are written into a staging folder beside the path, which then gets the
+    path's name; a failure of either leaves nothing, and what is overwritten goes last.
+    """
+    path = qualified(indexed.sparkSession, path)
+    require(overwrite or not exists(path), f"{path} exists")
+    stage = staged(path)
+    try:
+        palettes.write.parquet(f"{stage}/palettes")
+        ordered = indexed.repartitionByRange("image_id", "y").sortWithinPartitions("image_id", "y", "x")
+        ordered.write.parquet(f"{stage}/indexed_pixels")
+        settle(stage, path, overwrite)
+    except BaseException:
+        discard(stage)
+        raise

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..layout import density
 from ..session import fresh_path
-from ..sources import files, generate, tables
+from ..sources import files, generate, images, tables
 from .core import (
     ARGB_SQL, GRAY_SQL, PLOT_SQL, RGB_SQL, argb, gray, plot, query, rgb, shown, sql,
 )
@@ -113,29 +113,19 @@ def _(spark, d):
     return blobs.select("doc_id", files.sniff_format(F.col("path"), F.col("content")).alias("format"))
 
 
-# Header of a 24-bit 32 x 32 bitmap file. With samples below 128
-# every byte of such a file is ASCII, so the text sink can write it.
-BITMAP_HEADER = (
-    "424D360C0000000000003600000028000000200000002000000001001800"
-    "00000000000C000000000000000000000000000000000000"
-)
-
-
-def bitmap_files(df, path):
-    """One bitmap per 32 x 32 image under path/image_id=N; samples are halved."""
-    code = F.concat(*[F.chr(F.shiftright(c, 1)) for c in "bgr"])
-    cell = F.struct((-F.col("y")).alias("line"), "x", code.alias("code"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["code"]), "")
-    header = F.decode(F.unhex(F.lit(BITMAP_HEADER)), "US-ASCII")
-    files = df.groupBy("image_id").agg(F.concat(header, body).alias("value"))
-    files.write.partitionBy("image_id").text(path)
+@query("load_images", sql(RGB_SQL, "SELECT image_id, width, height, y, x, a, r, g, b FROM px"))
+def _(spark, d):
+    """Files made from the orders raster by the image sink, read by the image source."""
+    path = fresh_path(spark)
+    images.save_images(rgb(spark, d), path)
+    number = lambda origin: F.regexp_extract(origin, r"(\d+)\.png$", 1)
+    return files.load_images(spark, path, number)
 
 
-@query("load_images", sql(RGB_SQL, """
-SELECT image_id, width, height, y, x, a, r >> 1 AS r, g >> 1 AS g, b >> 1 AS b FROM px"""))
+@query("save_images", sql(ARGB_SQL, "SELECT image_id, y, x, a, r, g, b FROM px"))
 def _(spark, d):
-    """Bitmap files made from the orders raster, read by the image source."""
+    """The same with alpha."""
     path = fresh_path(spark)
-    bitmap_files(rgb(spark, d), path)
-    number = lambda origin: F.regexp_extract(origin, r"image_id=(\d+)", 1)
-    return files.load_images(spark, path, number)
+    images.save_images(argb(spark, d), path, alpha=True)
+    number = lambda origin: F.regexp_extract(origin, r"(\d+)\.png$", 1)
+    return shown(files.load_images(spark, path, number), "a")

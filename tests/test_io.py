@@ -5,11 +5,12 @@ import zlib
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from pixelframe.functions import tone
 from pixelframe.layout import RasterArgumentError, density
 from pixelframe.operators import quantize
-from pixelframe.sources import files, tables
+from pixelframe.sources import files, images, tables
 from pixelframe.streaming import points
 
 
@@ -102,6 +103,55 @@ def test_save_indexed(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o/palettes")).groupBy("image_id").count().count() == 2
 
 
+def test_save_indexed_leaves_nothing(spark, folder, tmp_path):
+    df = tables.rgb_from_orders(spark, folder)
+    indexed, palettes = quantize.render_indexed(df, 8, "none", "median_cut")
+    fails = indexed.withColumn("pen", F.when(F.col("y") == 31, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("pen")))
+    with pytest.raises(Exception, match="lost"):
+        files.save_indexed(fails, palettes, str(tmp_path / "o"))
+    assert list(tmp_path.iterdir()) == []
+    files.save_indexed(indexed, palettes, str(tmp_path / "o"))
+    with pytest.raises(RasterArgumentError):
+        files.save_indexed(indexed, palettes, str(tmp_path / "o"))
+    with pytest.raises(Exception, match="lost"):  # the old tables stay
+        files.save_indexed(fails, palettes, str(tmp_path / "o"), overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "o/indexed_pixels")).count() == df.count()
+    files.save_indexed(indexed.where("y < 3"), palettes, str(tmp_path / "o"), overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "o/indexed_pixels")).count() == 2 * 32 * 3
+    assert [p.name for p in tmp_path.iterdir()] == ["o"]
+
+
+def file_number(origin):
+    return F.regexp_extract(origin, r"(\d+)\.png$", 1)
+
+
+@pytest.mark.parametrize("alpha", [False, True])
+def test_save_images(spark, raster, cells, tmp_path, alpha):
+    cell = lambda i, y, x: ((x * 9 % 256,) if alpha else ()) + ((i * 7 + x) % 256, 255 - y, (128 + x * y) % 256)
+    rows = [[[cell(i, y, x) for x in range(40 + i)] for y in range(30)] for i in range(5)]
+    df = raster(rows[0], 0)
+    for i in range(1, 5):
+        df = df.union(raster(rows[i], i))
+    path = str(tmp_path / "o")
+    images.save_images(df, path, alpha)
+    back = files.load_images(spark, path, file_number)
+    assert back.count() == df.count() and back.select(df.columns).exceptAll(df).count() == 0
+    with pytest.raises(RasterArgumentError):
+        images.save_images(df, path, alpha)
+    images.save_images(df.where("image_id = 3"), path, alpha, overwrite=True)
+    assert [p.name for p in (tmp_path / "o").rglob("*.png")] == ["3.png"]
+    assert [p.name for p in tmp_path.iterdir()] == ["o"]
+
+
+def test_save_images_fails_as_a_whole(spark, raster, tmp_path):
+    whole = raster([[(1, 2, 3)] * 4] * 3, 1)
+    for broken in (raster([[(1, 2, 3)] * 4] * 3, 2).where("y <> 1"), raster([[(9, 1, 2, 3)] * 4] * 3, 2),
+                   raster([[(1, 2, 3)] * 4] * 3, 2).where("y < 2"), raster([[(1, 2, 3)] * 4] * 3, 2).where("x <> 2")):
+        with pytest.raises(Exception, match="image 2|alpha"):
+            images.save_images(whole.union(broken), str(tmp_path / "o"))
+        assert list(tmp_path.iterdir()) == []
+
+
 STEPS = [("BRIGHTNESS", {"amount": 0.2}), ("NEGATIVE", {}), ("FLIPX", {}), ("CROP", dict(x0=2, y0=1, x1=30, y1=31))]
 
 
