@@ -92,6 +92,15 @@ def is_small(rows: int | None, row_bytes: int = ROW_BYTES) -> bool:
     return rows is not None and rows * row_bytes <= BROADCAST_BYTES
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """A join side that must not be broadcast.
+
+    Size estimates don't count the rows that an explode adds or the memory a row
+    takes, so a small file may hide a table too large for the driver.
+    """
+    return table.hint("merge")
+
+
 def attach(
     pixels: DataFrame,
     table: DataFrame,
@@ -114,8 +123,8 @@ def attach(
     columns = pixels.columns + [c for c in table.columns if c != key]
     if is_small(rows, row_bytes):
         return pixels.join(F.broadcast(table), key, how).select(*columns)
-    slotted = table.withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    slotted = shuffled(
+        table.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     return (
         pixels.withColumn(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import COLORS, SALTS, attach, heads, idiv, is_small, require, span
+from ..layout import COLORS, SALTS, attach, heads, idiv, is_small, require, shuffled, span
 
 METHODS = (
     "direct",
@@ -92,7 +92,7 @@ def deal(source: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFr
         .withColumn("_slot", F.pmod(F.col("y"), F.lit(SALTS)).cast("int"))
         .drop("_parts")
     )
-    return copies.join(dealt, ["image_id", "_part", "_slot"]).drop("_part", "_slot")
+    return copies.join(shuffled(dealt), ["image_id", "_part", "_slot"]).drop("_part", "_slot")
 
 
 def place(source: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
@@ -122,7 +122,7 @@ def composite(
     The join key (image_id, y, x) is unique on both sides, so no key is hot.
     A source with alpha is blended over the destination after the method.
     """
-    joined = destination.join(placed, ["image_id", "y", "x"], "left")
+    joined = destination.join(shuffled(placed), ["image_id", "y", "x"], "left")
     return _combined(joined, method, ratio).select(*destination.columns)
 
 
@@ -208,7 +208,7 @@ def add_alpha(
         value = F.coalesce(F.col("s_a"), F.lit(0))
     new = placed.select("image_id", "y", "x", value.alias("_alpha"))
     return (
-        destination.join(new, ["image_id", "y", "x"], "left")
+        destination.join(shuffled(new), ["image_id", "y", "x"], "left")
         .withColumn("a", F.coalesce("_alpha", "a"))
         .select(*destination.columns)
     )
@@ -237,7 +237,7 @@ def stamp_mask(
         slots = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         slotted = marks.withColumn("_slot", slots)
         slot = F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).cast("int")
-        joined = df.withColumn("_slot", slot).join(slotted, ["y", "x", "_slot"], "left")
+        joined = df.withColumn("_slot", slot).join(shuffled(slotted), ["y", "x", "_slot"], "left")
     return joined.withColumns(
         {
             c: F.when(F.col("_ink"), F.lit(v)).otherwise(F.col(c))

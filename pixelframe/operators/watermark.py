@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import MAX_SIDE, attach, heads, idiv, require, span
+from ..layout import MAX_SIDE, attach, heads, idiv, require, shuffled, span
 
 # The leading bytes of a stream.
 COOKIE = "4DA0"
@@ -165,7 +165,7 @@ def embed(
     marks = placed.groupBy("image_id", "y", "x").agg(
         *[F.max(F.when(F.col("ch") == i, F.col("bit"))).alias(f"_m{c}") for i, c in enumerate(names)]
     )
-    joined = df.join(marks, ["image_id", "y", "x"], "left")
+    joined = df.join(shuffled(marks), ["image_id", "y", "x"], "left")
     new = {
         c: F.coalesce(F.col(c).bitwiseAND(F.lit(254)).bitwiseOR(F.col(f"_m{c}")), F.col(c))
         for c in names
