@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import SALTS, idiv
+from ..layout import SALTS, idiv, shuffled
 
 # Bit of each colour space in an accepts-mask.
 COLORSPACE_BITS = {"GRAY": 1, "RGB": 2, "LUT": 4, "ARGB": 8}
@@ -77,7 +77,7 @@ def delete_frame(df: DataFrame, ids: DataFrame) -> DataFrame:
         return df.join(doomed, "image_id", "left_anti")
     slotted = doomed.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kept = df.withColumn("_slot", F.pmod(F.col("y"), F.lit(SALTS)).cast("int"))
-    return kept.join(slotted, ["image_id", "_slot"], "left_anti").select(*df.columns)
+    return kept.join(shuffled(slotted), ["image_id", "_slot"], "left_anti").select(*df.columns)
 
 
 def find_frame(images: DataFrame, name: str | DataFrame) -> DataFrame:
