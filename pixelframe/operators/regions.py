@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..layout import idiv, require, span
+from ..layout import idiv, require, shuffled, span
 
 Point = tuple[int, int]
 
@@ -117,11 +117,18 @@ def polygon_mask(spans: DataFrame) -> DataFrame:
 
 
 def in_region_table(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Add boolean ``selected`` from a mask (image_id, y, x) by equi join."""
-    marks = mask.select("image_id", "y", "x", F.lit(True).alias("_hit"))
+    """Add boolean ``selected`` from a mask (image_id, y, x) by equi join.
+
+    The mask travels as words of 64 pixels of a line, made on the map side.
+    """
+    word, place = F.shiftright("x", 6), F.col("x").bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    words = mask.groupBy("image_id", "y", word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    hit = F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(bit) != 0
     return (
-        pixels.join(marks, ["image_id", "y", "x"], "left")
-        .withColumn("selected", F.coalesce(F.col("_hit"), F.lit(False)))
+        pixels.withColumn("_word", word)
+        .join(shuffled(words), ["image_id", "y", "_word"], "left")
+        .withColumn("selected", hit)
         .select(*pixels.columns, "selected")
     )
 
