@@ -18,7 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..layout import PIXEL_COLUMNS, span
 
 LINE = 14  # bits of an x coordinate
-FRAGMENT = "image_id bigint, width int, height int, y int, x int, rgb binary, alpha binary"
+Y_BITS = 20  # bits of a y coordinate
+FRAGMENT = "image_id bigint, width int, height int, y int, x int, n int, rgb binary, alpha binary"
+LINES = FRAGMENT.replace("n int, ", "")
+PACK_PIXELS = 1 << 17  # pixels packed at once
 BAND_PIXELS = 1 << 19  # a band has about so many pixels besides its halo
 
 # view: rows x columns x channels of a band with its halo; top: first row of the band
@@ -45,53 +48,129 @@ def flat(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """Fragments of scan lines: image, size, y, first x, samples; alpha is two bytes a
-    pixel, -1 for none, or NULL if no pixel of the fragment has one.
+def fragments(df: DataFrame) -> DataFrame:
+    """Fragments of scan lines: image, size, y, first x, pixels, samples; alpha is two bytes
+    a pixel, -1 for none, or NULL if no pixel of the fragment has one. A fragment of grays
+    has one byte a pixel, others three.
 
-    Lines are gathered in the JVM, a number a pixel (a line is at most 16 383 pixels):
-    far cheaper than moving pixel rows to Python. A line with gaps gives several fragments.
+    Pixels go to Python as three numbers each and are packed where they are read, so no
+    pixel is shuffled. What comes in the order of lines gives a fragment a line; other
+    input is sorted by PACK_PIXELS first, and a line is then in several fragments.
     """
     parts = {"x": 33, "a": 24, "r": 16, "g": 8, "b": 0}  # lowest bit of each field
     values = {"a": F.coalesce("a", F.lit(256))}
     code = F.lit(0).cast("bigint")
     for name, bit in parts.items():
         code = code.bitwiseOR(F.shiftleft(values.get(name, F.col(name)).cast("bigint"), bit))
-    size = F.shiftleft(F.col("height"), LINE).bitwiseOR(F.col("width"))
-    small = df.select(F.col("image_id").cast("bigint").alias("image_id"), size.alias("size"), "y", code.alias("code"))
-    gathered = small.groupBy("image_id", "size", "y").agg(F.collect_list("code").alias("codes"))
+    line = F.shiftleft(F.col("height").cast("bigint"), LINE + Y_BITS).bitwiseOR(
+        F.shiftleft(F.col("y").cast("bigint"), LINE)).bitwiseOR(F.col("width").cast("bigint"))
+    small = df.select(F.col("image_id").cast("bigint").alias("image_id"), line.alias("line"), code.alias("code"))
+
+    def pack(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lost = rows.column(0).is_null().to_numpy(zero_copy_only=False)
+        image = rows.column(0).fill_null(0).to_numpy()
+        line, code = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+
+        def cuts() -> np.ndarray:
+            new = (np.diff(image) != 0) | (np.diff(line) != 0) | (np.diff(code >> 33) != 1) | (lost[1:] != lost[:-1])
+            return np.flatnonzero(np.append(True, new))
+
+        at = cuts()
+        if len(at) * 16 > len(code):
+            order = np.lexsort((code >> 33, line, image, lost))
+            image, line, code, lost = image[order], line[order], code[order], lost[order]
+            at = cuts()
+        ends = np.append(at, len(code))
+        samples = code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 5:]
+        gray = np.minimum.reduceat((samples[:, :1] == samples[:, 1:]).all(axis=1), at)
+        if gray.all():
+            rgb = binary(samples[:, 0], ends)
+        else:
+            each = np.repeat(np.where(gray, 1, 3), np.diff(ends))
+            kept = np.arange(3) < each[:, None]
+            rgb = binary(samples[kept], np.append(0, np.cumsum(each))[ends])
+        alpha = (code >> 24 & 511).astype(np.int16)
+        alpha[alpha == 256] = -1
+        some = np.maximum.reduceat(alpha, at) >= 0
+        alphas = pa.nulls(len(at), pa.binary())
+        if some.any():
+            alphas = binary(alpha.view(np.uint8), ends * 2).take(pa.array(np.arange(len(at)), mask=~some))
+        where = line[at]
+        width, y, height = where & (1 << LINE) - 1, where >> LINE & (1 << Y_BITS) - 1, where >> LINE + Y_BITS
+        numbers = [pa.array(c.astype(np.int32)) for c in (width, height, y, code[at] >> 33, np.diff(ends))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(image[at], mask=lost[at]), *numbers, rgb, alphas],
+            ["image_id", "width", "height", "y", "x", "n", "rgb", "alpha"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += part.num_rows
+            if size >= PACK_PIXELS:
+                yield pack(pa.concat_batches(held))
+                held, size = [], 0
+        if size:
+            yield pack(pa.concat_batches(held))
+
+    return small.where("code is not null").mapInArrow(run, FRAGMENT)
+
+
+def samples(rgb: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """Pixels x channels of fragments with so many pixels: one channel if all are gray."""
+    data, each = flat(rgb), np.diff(borders(rgb))
+    if (each == sizes).all():
+        return data[:, None]
+    if (each == 3 * sizes).all():
+        return data.reshape(-1, 3)
+    wide = np.repeat(each // np.maximum(sizes, 1), sizes)  # bytes of each pixel
+    first = np.cumsum(wide) - wide
+    return data[first[:, None] + np.where(wide[:, None] == 3, np.arange(3), 0)]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Fragments joined to whole lines, three bytes a pixel; a line with gaps gives several."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fragments(df).repartition(parts, "image_id", "y").sortWithinPartitions("image_id", "y", "x")
+
+    def borders_of(rows: pa.RecordBatch) -> np.ndarray:
+        """Whether a row is of another line than the row before it."""
+        lost = rows.column(0).is_null().to_numpy(zero_copy_only=False)
+        new = lost[1:] != lost[:-1]
+        for c in rows.columns[:4]:
+            new |= np.diff(c.fill_null(0).to_numpy()) != 0
+        return new
+
+    def joined(rows: pa.RecordBatch) -> pa.RecordBatch:
+        x, sizes = (rows.column(i).to_numpy() for i in (4, 5))
+        data = samples(rows.column(6), sizes)
+        data = np.repeat(data, 3, axis=1) if data.shape[1] == 1 else data
+        alpha = np.full(len(data), -1, np.int16)
+        some = rows.column(7).is_valid().to_numpy(zero_copy_only=False)
+        alpha[np.repeat(some, sizes)] = np.frombuffer(flat(rows.column(7)).tobytes(), np.int16)
+        at = np.flatnonzero(np.append(True, borders_of(rows) | (x[1:] != (x + sizes)[:-1])))
+        ends = np.append(0, np.cumsum(sizes))[np.append(at, len(x))]
+        none = ~np.logical_or.reduceat(some, at)
+        alphas = binary(alpha.view(np.uint8), ends * 2).take(pa.array(np.arange(len(at)), mask=none))
+        return pa.RecordBatch.from_arrays(
+            [*(rows.column(i).take(pa.array(at)) for i in range(5)), binary(data, ends * 3), alphas],
+            ["image_id", "width", "height", "y", "x", "rgb", "alpha"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
         for part in parts:
             if not part.num_rows:
                 continue
-            image, size, y = (c.to_numpy() for c in part.columns[:3])
-            lists = part.column(3)
-            counts = np.diff(lists.offsets.to_numpy())
-            line, code = np.repeat(np.arange(len(y)), counts), lists.flatten().to_numpy()
-            x = code >> 33
-            if not ((np.diff(line) > 0) | (np.diff(x) > 0)).all():
-                order = np.lexsort((x, line))
-                x, code = x[order], code[order]
-            at = np.flatnonzero(np.append(True, (np.diff(line) > 0) | (np.diff(x) != 1)))
-            ends, of = np.append(at, len(x)), line[at]
-            samples = code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 5:]
-            alpha = (code >> 24 & 511).astype(np.int16)
-            alpha[alpha == 256] = -1
-            some = np.maximum.reduceat(alpha, at) >= 0
-            alphas = pa.nulls(len(at), pa.binary())
-            if some.any():
-                whole = binary(alpha.view(np.uint8), ends * 2)
-                alphas = whole.take(pa.array(np.arange(len(at)), mask=~some))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(image[of]), pa.array(size[of] & (1 << LINE) - 1), pa.array(size[of] >> LINE),
-                    pa.array(y[of]), pa.array(x[at].astype(np.int32)), binary(samples, ends * 3), alphas,
-                ],
-                ["image_id", "width", "height", "y", "x", "rgb", "alpha"],
-            )
-
-    return gathered.mapInArrow(run, FRAGMENT)
+            whole = pa.concat_batches([*waiting, part])
+            last = np.flatnonzero(borders_of(whole))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield joined(whole.slice(0, cut))
+            waiting = [whole.slice(cut)]
+        if waiting:
+            yield joined(waiting[0])
+
+    return dealt.mapInArrow(run, LINES)
 
 
 def unpacked(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -126,20 +205,22 @@ def banded(
     size = band_rows(F.col("width"), rows)
     lo = F.greatest(F.lit(0), F.floor((F.col("y") - radius) / size))
     hi = F.least(F.floor((F.col("height") - 1) / size), F.floor((F.col("y") + radius) / size))
-    dealt = packed(df).withColumn("size", size).withColumn("band", F.explode(span(lo.cast("int"), hi.cast("int") + 1)))
+    dealt = fragments(df).withColumn("size", size).withColumn("band", F.explode(span(lo.cast("int"), hi.cast("int") + 1)))
     # a number given keeps small bytes, which become many pixels, from being dealt to few tasks
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "image_id", "band").sortWithinPartitions("image_id", "band", "y", "x")
 
     def one(own: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """The fragments of a band with their new samples."""
-        image, width, height, ys, xs, rgb, alpha, step, band = own.columns
+        image, width, height, ys, xs, ns, rgb, alpha, step, band = own.columns
         y, wide = ys.to_numpy(), width[0].as_py()
-        low, data = int(y[0]), flat(rgb).reshape(-1, 3)
-        sizes = np.diff(borders(rgb)) // 3
+        sizes = ns.to_numpy()
+        low, data = int(y[0]), samples(rgb, sizes)
+        if not separate and data.shape[1] == 1:
+            data = np.repeat(data, 3, axis=1)
         first = (y - low).astype(np.int64) * wide + xs.to_numpy()
         at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(data))
-        view = np.zeros(((int(y[-1]) - low + 1) * wide, 3), np.uint8)
+        view = np.zeros(((int(y[-1]) - low + 1) * wide, data.shape[1]), np.uint8)
         view[at] = data
         core = np.flatnonzero(y // step[0].as_py() == band[0].as_py())
         if not len(core):
@@ -169,8 +250,9 @@ def banded(
             if not part.num_rows:
                 continue
             whole = pa.concat_batches([*waiting, part])
-            image, band = whole.column(0).to_numpy(), whole.column(8).to_numpy()
-            border = np.flatnonzero((image[1:] != image[:-1]) | (band[1:] != band[:-1])) + 1
+            lost = whole.column(0).is_null().to_numpy(zero_copy_only=False)
+            image, band = whole.column(0).fill_null(0).to_numpy(), whole.column(9).to_numpy()
+            border = np.flatnonzero((image[1:] != image[:-1]) | (band[1:] != band[:-1]) | (lost[1:] != lost[:-1])) + 1
             starts = np.append(0, border)
             for a, b in zip(starts, border):
                 yield from one(whole.slice(int(a), int(b - a)))

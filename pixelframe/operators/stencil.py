@@ -1,40 +1,19 @@
 """Neighbourhood operators.
 
-* ``convolve``, ``remove_isolated``, ``median`` and ``hist_eq_local`` pack scan lines
-  into bytes and run on bands of lines with a halo (``lines.banded``). About one row a
-  line is shuffled, whatever the number of taps or kernels.
-* ``box_blur_separable`` runs two bounded windows (a line, then a column).
+All pack scan lines into bytes and run on bands of lines with a halo (``lines.banded``).
+About one row a line is shuffled, whatever the number of taps or kernels.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.kernels import Kernel
-from ..layout import COLORS, as_pixels, idiv, require
+from ..layout import as_pixels, require
 from .lines import banded
 
-# Three channel sums share one BIGINT, 21 bits each; weights times 255 stay below 2^20.
-FIELD = 21
-WEIGHT_LIMIT = (1 << (FIELD - 1)) // 255
-CELL = ("image_id", "width", "height", "y", "x")
-
-
-def _packed_fields() -> Column:
-    r, g, b = (F.col(c).cast("bigint") for c in COLORS)
-    return r + F.shiftleft(g, FIELD) + F.shiftleft(b, 2 * FIELD)
-
-
-def _fields(packed: Column) -> list[Column]:
-    """The three signed sums of a packed total."""
-    half, mask = 1 << (FIELD - 1), (1 << FIELD) - 1
-    out, rest = [], packed
-    for _ in COLORS:
-        low = (rest + half).bitwiseAND(F.lit(mask).cast("bigint")) - half
-        out.append(low)
-        rest = F.shiftright(rest - low, FIELD)
-    return out
+WEIGHT_LIMIT = (1 << 20) // 255  # weights times 255 stay below 2^20
 
 
 def convolve_band(
@@ -83,20 +62,24 @@ def convolve_each(
     return new.where(region).unionByName(outside)
 
 
+def blur_band(view: np.ndarray, top: int, rows: int, radius: int) -> np.ndarray:
+    """Average of a square: sums along the lines, then sums of those along the columns."""
+    side = 2 * radius + 1
+    near = view[max(0, top - radius) : top + rows + radius].astype(np.int32)
+    missing = (max(0, radius - top), max(0, top + rows + radius - len(view)))
+    wide = np.pad(near, (missing, (radius, radius), (0, 0)))
+    line = sum(wide[:, i : i + view.shape[1]] for i in range(side))
+    return (sum(line[i : i + rows] for i in range(side)) // (side * side)).astype(np.uint8)
+
+
 def box_blur_separable(df: DataFrame, radius: int) -> DataFrame:
-    """Average kernel of side 2 * radius + 1 as two one-dimensional windows."""
+    """Average kernel of side 2 * radius + 1 as two one-dimensional sums."""
     require(1 <= radius <= 3, "average kernels have radius 1..3")
-    side = 2 * radius + 1
-    line = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-radius, radius)
-    column = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-radius, radius)
-    rows = df.select(*CELL, "a", F.sum(_packed_fields()).over(line).alias("_line"))
-    total = rows.withColumn("_total", F.sum("_line").over(column))
-    values = _fields(F.col("_total"))
-    return as_pixels(
-        total.select(
-            *CELL, "a", *[idiv(v, side * side).alias(c) for c, v in zip(COLORS, values)]
-        )
-    )
+
+    def run(view, top, rows):
+        return blur_band(view, top, rows, radius)
+
+    return banded(df, radius, run)
 
 
 def isolated_band(view: np.ndarray, top: int, rows: int) -> np.ndarray:

@@ -76,3 +76,26 @@ def test_wide_median_against_numpy(spark):
     for r in stencil.median(df, 4, rows=9).collect():
         window = wide[r.y : r.y + 9, r.x : r.x + 9].reshape(-1, 3)
         assert (r.r, r.g, r.b) == tuple(int(v) for v in np.sort(window, axis=0)[40])
+
+
+def test_pixels_are_packed_before_they_are_shuffled(spark, pixels):
+    """What reaches the bands is fragments; no pixel is gathered or sorted in a shuffle."""
+    df = spark.createDataFrame(pixels, PIXEL_SCHEMA)
+    for found in (stencil.convolve(df, preset("gauss4")), stencil.box_blur_separable(df, 1)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+        assert plan.rindex("MapInArrow") > plan.index("Exchange")
+    gray = df.where("image_id = 7").coalesce(1)
+    assert [tuple(r) for r in lines.fragments(gray).select("n", F.octet_length("rgb")).distinct().collect()] == [(20, 20)]
+
+
+def test_blur_is_an_average_and_keeps_a_missing_image_number(spark):
+    rng = np.random.default_rng(4)
+    for key in (3, None):
+        old = rng.integers(0, 256, (70, 9, 3))
+        rows = [(key, 9, 70, y, x, 5, *map(int, old[y, x])) for y in range(70) for x in range(9)]
+        df = spark.createDataFrame(rows, PIXEL_SCHEMA).repartition(3)
+        wide = np.pad(old, ((2, 2), (2, 2), (0, 0)))
+        want = sum(wide[i:i + 70, j:j + 9] for i in range(5) for j in range(5)) // 25
+        found = {(r.y, r.x): (r.image_id, r.a, r.r, r.g, r.b) for r in stencil.box_blur_separable(df, 2).collect()}
+        assert found == {(y, x): (key, 5, *map(int, want[y, x])) for y in range(70) for x in range(9)}
