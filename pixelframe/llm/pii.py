@@ -3,10 +3,10 @@
 Four rules give the base spans, which always stay. Generators of high recall propose
 further, overlapping candidates. Gradient boosted trees score each candidate from its
 format (length, digits, separators, groups, checks) and context (neighbouring
-characters); they are trained on candidates of a bounded sample of documents, where a
+characters); they are trained on the candidates of all documents, where a
 candidate is positive if it is a base span of its kind. The trees become column
 expressions, so scoring stays in the plan of the scan. A threshold for each kind is
-calibrated on a part of the sample that the trees don't see: the lowest score from
+calibrated on a third of the candidates that the trees don't see: the lowest score from
 which at least `precision` of the candidates are positive. Candidates above it that
 overlap no base span, nor a better candidate, are added.
 
@@ -21,10 +21,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import whole_text
+from .common import whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 4000  # documents the trees may learn from
 ROUNDS, DEPTH = 8, 3
 PRECISION = 0.98
 
@@ -199,36 +198,35 @@ def examples(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("c.*", same.cast("double").alias("label"))
 
 
-def train(df: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Judge:
-    """Trees from the candidates of at most sample_docs documents, taken by text hash."""
+def train(df: DataFrame, text: str = "text", precision: float = PRECISION) -> Judge:
+    """Trees and thresholds from the candidates of all documents.
+
+    Equal candidates are one row with a weight, so the table the trees read grows with
+    the number of formats and contexts, not with the number of documents.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    n = df.count()
-    share = max(1, n // max(1, sample_docs))
-    some = df.where(F.pmod(F.xxhash64(whole_text(text), F.lit("sample")), F.lit(share)) == 0).limit(sample_docs)
-    rows = examples(some, text).withColumn("part", F.pmod(F.xxhash64("name", "start", "end", *FEATURES[1:4]), F.lit(3)))
-    rows = rows.persist()
-    try:
-        counts = dict(rows.where("part > 0").groupBy("label").count().collect())
-        if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 10:
-            return Judge(None, dict.fromkeys(KINDS, 2.0))
-        vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        tool = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=1, featuresCol="features", labelCol="label")
-        judge = Judge(tool.fit(vector.transform(rows.where("part > 0"))), {})
-        c = F.struct("name", *FEATURES)
-        judged = rows.where("part = 0").select("name", "label", F.floor(judge.score(c) * 50).cast("int").alias("bin"))
-        table = judged.groupBy("name", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
-        for kind in KINDS:
-            total = good = 0.0
-            judge.thresholds[kind] = 2.0
-            for r in sorted((r for r in table if r["name"] == kind), key=lambda r: -r["bin"]):
-                total, good = total + r["n"], good + r["good"]
-                if total >= 10 and good / total >= precision:
-                    judge.thresholds[kind] = max(0.5, r["bin"] / 50)
-        return judge
-    finally:
-        rows.unpersist()
+    rows = examples(df, text).withColumn("part", F.pmod(F.xxhash64("name", "start", "end", *FEATURES[1:4]), F.lit(3)))
+    rows = written(rows.groupBy("name", *FEATURES, "label", "part").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    learnt = rows.where("part > 0")
+    counts = dict(learnt.groupBy("label").agg(F.sum("weight")).collect())
+    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 10:
+        return Judge(None, dict.fromkeys(KINDS, 2.0))
+    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    tool = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=1, featuresCol="features", labelCol="label", weightCol="weight")
+    judge = Judge(tool.fit(vector.transform(learnt)), {})
+    c = F.struct("name", *FEATURES)
+    judged = rows.where("part = 0").select("name", "label", "weight", F.floor(judge.score(c) * 50).cast("int").alias("bin"))
+    table = judged.groupBy("name", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect()
+    for kind in KINDS:
+        total = good = 0.0
+        judge.thresholds[kind] = 2.0
+        for r in sorted((r for r in table if r["name"] == kind), key=lambda r: -r["bin"]):
+            total, good = total + r["n"], good + r["good"]
+            if total >= 10 and good / total >= precision:
+                judge.thresholds[kind] = max(0.5, r["bin"] / 50)
+    return judge
 
 
 # --- spans, redaction --------------------------------------------------------------

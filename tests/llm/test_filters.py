@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pixelframe.llm import language, pii, preference, queries, toxicity
@@ -198,3 +199,14 @@ def test_registered():
 @pytest.mark.parametrize("text, letter", [("²", False), ("½ ¾", False), ("Ⅷ", False), ("12_3", False), ("", False), ("́", False), ("Ⅷ a", True), ("ß", True), ("½" * 100_000 + "é", True)])
 def test_numerals_are_no_letters(text, letter):
     assert language.has_letter(text) is letter
+
+
+def test_trees_learn_from_all_documents(spark, monkeypatch):
+    """Candidates of the last of many documents count, each with its weight."""
+    seen = []
+    keep = pii.written
+    monkeypatch.setattr(pii, "written", lambda df: seen.append(keep(df)) or seen[-1])
+    plain = spark.range(9000).selectExpr("id as doc_id", "concat('no number here ', id % 7) as text")
+    tail = spark.range(9000, 9040).selectExpr("id as doc_id", "'mail ann@example.org or call 123 456 789 1' as text")
+    pii.train(plain.unionByName(tail).coalesce(1))
+    assert {r["name"]: r["n"] for r in seen[0].groupBy("name").agg(F.sum("weight").alias("n")).collect()} == {"email": 40, "phone": 40}
