@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from ..layout import PIXEL_COLUMNS, span
+from ..layout import PIXEL_COLUMNS, shuffled, span
+from ..session import fresh_path
 
 LINE = 14  # bits of an x coordinate
 Y_BITS = 20  # bits of a y coordinate
@@ -264,3 +265,94 @@ def banded(
     lines = dealt.mapInArrow(
         run, f"{head}image_id bigint, width int, height int, y int, x int, colors array<int>, alphas array<smallint>")
     return unpacked(lines, ("kernel",) if names else ())
+
+
+SLOT_LINES = 512  # lines of an image that meet one copy of its curves
+
+
+def equalised(df: DataFrame) -> DataFrame | None:
+    """Every colour as 255 * cum(v) div N of its image; None if a pixel lacks a sample.
+
+    The fragments of lines are written once. Their histograms, at most 256 rows an image
+    and PACK_PIXELS, give the curves; lines meet the curves of their image, copied once
+    per SLOT_LINES lines, so no pixel is shuffled.
+    """
+    spark, seen = df.sparkSession, Observation()
+    lacking = F.count(F.when(F.col("r").isNull() | F.col("g").isNull() | F.col("b").isNull(), 1))
+    path = fresh_path(spark)
+    fragments(df.observe(seen, lacking.alias("n"))).write.parquet(path)
+    if seen.get["n"]:
+        return None
+    lines = spark.read.schema(FRAGMENT).parquet(path)
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            image, sizes = part.column(0), part.column(2).to_numpy()
+            keys = image.dictionary_encode(null_encoding="encode")
+            code = keys.indices.to_numpy()
+            data, of = samples(part.column(3), sizes), np.repeat(code, sizes)
+            deep = np.zeros(len(keys.dictionary), np.int32)
+            np.maximum.at(deep, code, part.column(1).to_numpy())
+            tally = [np.bincount(of * 256 + data[:, min(c, data.shape[1] - 1)], minlength=256 * len(deep)) for c in range(3)]
+            at = np.flatnonzero(sum(tally))
+            yield pa.RecordBatch.from_arrays(
+                [keys.dictionary.take(pa.array(at // 256)), pa.array(deep[at // 256]), pa.array((at % 256).astype(np.int32)),
+                 *(pa.array(t[at]) for t in tally)], ["image_id", "y", "value", "r", "g", "b"])
+
+    def curves(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, image, deep = np.zeros((3, 256), np.int64), None, -1
+
+        def ready() -> pa.RecordBatch:
+            curve = held.cumsum(axis=1) * 255 // held.sum(axis=1)[:, None]
+            if image is None:  # belongs to no image and stays
+                curve = np.tile(np.arange(256), (3, 1))
+            curve = curve.astype(np.uint8)
+            n = deep // SLOT_LINES + 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([image] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([curve.tobytes()] * n)],
+                ["image_id", "slot", "curve"])
+
+        for part in parts:
+            if not part.num_rows:
+                continue
+            images, ys, v = part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy()
+            tally = np.stack([part.column(3 + c).to_numpy() for c in range(3)])
+            cuts = [0, *(i for i in range(1, len(images)) if images[i] != images[i - 1]), len(images)]
+            for a, b in zip(cuts, cuts[1:]):
+                if deep >= 0 and images[a] != image:
+                    yield ready()
+                    held, deep = np.zeros((3, 256), np.int64), -1
+                image, deep = images[a], max(deep, int(ys[a:b].max()))
+                for c in range(3):
+                    np.add.at(held[c], v[a:b], tally[c, a:b])
+        if deep >= 0:
+            yield ready()
+
+    def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            sizes = part.column(5).to_numpy()
+            data, of = samples(part.column(6), sizes), np.repeat(np.arange(len(sizes)), sizes)
+            curve = flat(part.column(8)).reshape(-1, 3, 256)
+            code = np.zeros(len(of), np.int32)
+            for c in range(3):
+                code = code << 8 | curve[of, c, data[:, min(c, data.shape[1] - 1)]]
+            alphas = pa.nulls(len(sizes), pa.list_(pa.int16()))
+            if part.column(7).null_count < len(sizes):
+                alphas = pa.array([None if v is None else np.frombuffer(v, np.int16) for v in part.column(7).to_pylist()], alphas.type)
+            colors = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(code))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:5], colors, alphas], ["image_id", "width", "height", "y", "x", "colors", "alphas"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tallies = lines.select("image_id", "y", "n", "rgb").mapInArrow(
+        count, "image_id bigint, y int, value int, r bigint, g bigint, b bigint")
+    found = tallies.repartition(n, "image_id").sortWithinPartitions("image_id").mapInArrow(
+        curves, "image_id bigint, slot int, curve binary")
+    key, slot = F.col("lines.image_id").eqNullSafe(F.col("found.image_id")), (F.col("y") / SLOT_LINES).cast("int")
+    met = lines.alias("lines").join(shuffled(found).alias("found"), key & (slot == F.col("found.slot")))
+    return unpacked(met.select("lines.*", "curve").mapInArrow(
+        apply, "image_id bigint, width int, height int, y int, x int, colors array<int>, alphas array<smallint>"))

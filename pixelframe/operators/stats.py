@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..layout import COLORS, attach, heads, idiv, packed_rgb
+from ..layout import COLORS, PIXEL_COLUMNS, attach, heads, idiv, is_small, packed_rgb
+from .lines import equalised
 
 BIN_565 = (5, 6, 5)
 
@@ -167,7 +168,14 @@ def stretch_tables(df: DataFrame) -> DataFrame:
 def hist_eq_global(
     df: DataFrame, region: Column | None = None, rows: int | None = None
 ) -> DataFrame:
-    """Equalise each colour over the selection: 255 * cum(v) div N."""
+    """Equalise each colour over the selection: 255 * cum(v) div N.
+
+    Whole images that aren't proven few go as scan lines, not as pixels.
+    """
+    if region is None and not is_small(rows) and set(df.columns) == set(PIXEL_COLUMNS):
+        new = equalised(df)
+        if new is not None:
+            return new.select(*df.columns)
     tables = curve_arrays(equalisation_curve(channel_histogram(df, region)))
     return lut_apply_per_image(df, tables, region, rows)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions.kernels import preset
 from pixelframe.layout import PIXEL_SCHEMA
-from pixelframe.operators import lines, stencil
+from pixelframe.operators import lines, stats, stencil
 
 
 def picture(seed, height, width, alpha):
@@ -99,3 +99,21 @@ def test_blur_is_an_average_and_keeps_a_missing_image_number(spark):
         want = sum(wide[i:i + 70, j:j + 9] for i in range(5) for j in range(5)) // 25
         found = {(r.y, r.x): (r.image_id, r.a, r.r, r.g, r.b) for r in stencil.box_blur_separable(df, 2).collect()}
         assert found == {(y, x): (key, 5, *map(int, want[y, x])) for y in range(70) for x in range(9)}
+
+
+def test_equalisation_meets_lines_not_pixels(spark, pixels):
+    """Images not proven few: the same as by broadcast, and no pixel in a shuffle."""
+    tall = [(11, 2, 1200, y, x, None, *[(y * 7 + x) % 200] * 3) for y in range(1200) for x in range(2)]
+    lost = [(None, *p[1:]) for p in picture(6, 4, 5, "some")]
+    df = spark.createDataFrame(pixels + tall + lost, PIXEL_SCHEMA).repartition(5)
+    out = stats.hist_eq_global(df)
+    assert sorted(map(tuple, out.where("image_id is not null").collect()), key=str) == sorted(
+        map(tuple, stats.hist_eq_global(df, rows=8).where("image_id is not null").collect()), key=str)
+    assert sorted(map(tuple, out.where("image_id is null").collect()), key=str) == sorted(lost, key=str)
+    first = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in first.split("Exchange")[0] and "Broadcast" not in first
+
+
+def test_equalisation_keeps_pixels_without_a_sample(spark, pixels):
+    df = spark.createDataFrame([*pixels[:20], (1, 13, 9, 8, 12, None, None, 4, 5)], PIXEL_SCHEMA)
+    assert stats.hist_eq_global(df).where("r is null").count() == 1
