@@ -28,6 +28,7 @@ BAND_PIXELS = 1 << 19  # a band has about so many pixels besides its halo
 # view: rows x columns x channels of a band with its halo; top: first row of the band
 # inside the view; rows: how many it has.
 BandFunction = Callable[[np.ndarray, int, int], np.ndarray]
+RowFunction = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -192,7 +193,7 @@ def band_rows(width: Column, rows: int | None) -> Column:
 
 def banded(
     df: DataFrame, radius: int, fn: BandFunction, rows: int | None = None,
-    names: list[str] | None = None, separate: bool = True,
+    names: list[str] | None = None, separate: bool = True, uneven: RowFunction | None = None,
 ) -> DataFrame:
     """Run a neighbourhood function on bands of whole lines with a halo of `radius` lines.
 
@@ -201,7 +202,8 @@ def banded(
     the lines, each once or, at a border, twice. Every pixel given comes out once; one
     that is missing in an image counts as black. With ``names`` the function gives one
     result per name, told apart by ``kernel``. ``separate``: channels don't mix, so that
-    bands whose channels are equal need one.
+    bands whose channels are equal need one. ``uneven`` takes over where pixels are
+    missing or given twice: it gets their y, x and samples, and gives a row for each.
     """
     size = band_rows(F.col("width"), rows)
     lo = F.greatest(F.lit(0), F.floor((F.col("y") - radius) / size))
@@ -229,9 +231,13 @@ def banded(
         begin, top = int(core[0]), int(y[core[0]]) - low
         if separate and (data[:, :1] == data[:, 1:]).all():
             view = view[:, :1]
-        out = fn(view.reshape(-1, wide, view.shape[1]), top, int(y[core[-1]]) - low - top + 1)
-        ends = np.append(0, np.cumsum(sizes[core]))
-        inside = at[int(sizes[:begin].sum()) :][: int(ends[-1])] - top * wide
+        ends, skipped = np.append(0, np.cumsum(sizes[core])), int(sizes[:begin].sum())
+        if uneven and (len(at) != len(view) or np.bincount(at).max() > 1):
+            out = uneven(at // wide, at % wide, data)
+            inside = np.arange(skipped, skipped + int(ends[-1]))
+        else:
+            out = fn(view.reshape(-1, wide, view.shape[1]), top, int(y[core[-1]]) - low - top + 1)
+            inside = at[skipped:][: int(ends[-1])] - top * wide
         kept = [c.slice(begin, len(core)) for c in (image, width, height, ys, xs, alpha)]
         alphas = pa.nulls(len(core), pa.list_(pa.int16()))
         if kept[-1].null_count < len(core):

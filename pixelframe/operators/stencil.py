@@ -72,6 +72,26 @@ def blur_band(view: np.ndarray, top: int, rows: int, radius: int) -> np.ndarray:
     return (sum(line[i : i + rows] for i in range(side)) // (side * side)).astype(np.uint8)
 
 
+def moving_sum(values: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For every row the sum of the rows up to radius before and after it in its group."""
+    out = values.copy()
+    for step in range(1, radius + 1):
+        near = (group[step:] == group[:-step])[:, None]
+        out[step:] += near * values[:-step]
+        out[:-step] += near * values[step:]
+    return out
+
+
+def blur_rows(y: np.ndarray, x: np.ndarray, data: np.ndarray, radius: int) -> np.ndarray:
+    """``blur_band`` where pixels are missing or repeated: neighbours are those next in order."""
+    values, order = data.astype(np.int64), np.lexsort((x, y))
+    line = moving_sum(values[order], y[order], radius)
+    column = np.lexsort((y[order], x[order]))
+    total = np.empty_like(line)
+    total[order[column]] = moving_sum(line[column], x[order][column], radius)
+    return (total // (2 * radius + 1) ** 2).clip(0, 255).astype(np.uint8)
+
+
 def box_blur_separable(df: DataFrame, radius: int) -> DataFrame:
     """Average kernel of side 2 * radius + 1 as two one-dimensional sums."""
     require(1 <= radius <= 3, "average kernels have radius 1..3")
@@ -79,7 +99,10 @@ def box_blur_separable(df: DataFrame, radius: int) -> DataFrame:
     def run(view, top, rows):
         return blur_band(view, top, rows, radius)
 
-    return banded(df, radius, run)
+    def uneven(y, x, data):
+        return blur_rows(y, x, data, radius)
+
+    return banded(df, radius, run, uneven=uneven)
 
 
 def isolated_band(view: np.ndarray, top: int, rows: int) -> np.ndarray:

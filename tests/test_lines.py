@@ -117,3 +117,20 @@ def test_equalisation_meets_lines_not_pixels(spark, pixels):
 def test_equalisation_keeps_pixels_without_a_sample(spark, pixels):
     df = spark.createDataFrame([*pixels[:20], (1, 13, 9, 8, 12, None, None, 4, 5)], PIXEL_SCHEMA)
     assert stats.hist_eq_global(df).where("r is null").count() == 1
+
+
+def test_blur_of_repeated_pixels(spark):
+    """Neighbours are the pixels next in order, as in windows over a line and a column."""
+    old = np.random.default_rng(8).integers(0, 256, (5, 4))
+    rows = [(1, 4, 5, y, x, None, *[int(old[y, x])] * 3) for y in range(5) for x in range(4)]
+    seen = {}
+    twice = np.repeat(old, 2, axis=1)
+    line = sum(np.pad(twice, ((0, 0), (1, 1)))[:, i:i + 8] for i in range(3))
+    for x in range(4):
+        column = np.pad(line[:, 2 * x:2 * x + 2].reshape(-1), 1)
+        for i, v in enumerate(sum(column[j:j + 10] for j in range(3)) // 9):
+            seen.setdefault((i // 2, x), []).append(int(v))
+    found = {}
+    for r in stencil.box_blur_separable(spark.createDataFrame(rows * 2, PIXEL_SCHEMA), 1).collect():
+        found.setdefault((r.y, r.x), []).append(r.r)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(min(255, n) for n in v) for k, v in seen.items()}
