@@ -187,6 +187,56 @@ def test_removed_edges(spark):
     assert suffix.removed(df.limit(0)).count() == 0
 
 
+def cut_words(texts, length, words):
+    """Kept bytes where strings of bytes, and strings of words, go."""
+    raw = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)] for b in raw]
+    seen = {}
+    for b, at in zip(raw, places):
+        for own in [b[i:i + length] for i in range(len(b) - length + 1)]:
+            seen[own] = seen.get(own, 0) + 1
+        for i in range(len(at) - words + 1):
+            own = tuple(b[x:y] for x, y in at[i:i + words])
+            seen[own] = seen.get(own, 0) + 1
+    out = []
+    for b, at in zip(raw, places):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            gone[i:i + length] |= seen[b[i:i + length]] > 1
+        for i in range(len(at) - words + 1):
+            if seen[tuple(b[x:y] for x, y in at[i:i + words])] > 1:
+                gone[at[i][0]:at[i + words - 1][1]] = True
+        out.append(bytes(x for x, g in zip(b, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("length,gram,words,crowd", [(400, 100, 51, 2), (30, 8, 1, 1000)])
+def test_passages_of_words(spark, texts, monkeypatch, length, gram, words, crowd):
+    """Strings of words go as well, whatever their bytes and the blanks between them."""
+    monkeypatch.setattr(suffix, "CROWDED", crowd)
+    rng = random.Random(5)
+    body = lambda n: [rng.choice("abcdefgh") + rng.choice("é xyz").strip() for _ in range(n)]
+    shared = body(53)
+    more = [" ".join(body(rng.randint(0, 30)) + shared[:n]) + "\n\t" + "  ".join(body(rng.randint(0, 30))) for n in (49, 50, 51, 52, 53) for _ in range(4)]
+    more += [" ".join(body(9)) + " " + "\n".join(shared), " ".join(shared[:10] * 6), "", None, " ", "one"]
+    rows = suffix.removed(table(spark, texts + more), length=length, gram=gram, words=words).collect()
+    want = cut_words(texts + more, length, words)
+    assert len(rows) == len(want)
+    for r in rows:
+        assert bytes(r.kept) == want[r.doc_id] and r.n_removed == r.n_bytes - len(want[r.doc_id])
+
+
+def test_pipeline_cuts_short_words(spark):
+    """A passage of 51 words with fewer than 400 bytes that two documents share goes, one of 50 stays."""
+    import corpus_pipeline
+
+    own = [f"{i}" for i in range(500)]
+    text = {1: own[:51] + ["a"], 2: ["b"] + own[:51], 3: own[100:150] + ["c"], 4: ["d"] + own[100:150]}
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "web", 0) for k, t in text.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.cut_repeated_passages(spark, docs, None).collect()}
+    assert found == {1: (" a", 2), 2: ("b ", 2), 3: (" ".join(text[3]), 0), 4: (" ".join(text[4]), 0)}
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for trial in range(200):
