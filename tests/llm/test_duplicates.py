@@ -253,6 +253,34 @@ def test_suffix_order():
         assert [data[i:i + 8] for i in order] == sorted(seen)
 
 
+def test_windows_in_order_hold_little_memory():
+    """Whole windows are copied a part at a time, not all of a block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 117, 120_000, dtype=np.uint8).tobytes()
+    starts = np.arange(len(data) - 399)
+    tracemalloc.start()
+    order = suffix.sort_windows(data, starts, starts == starts[-1], 400)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24e6 and sorted(order.tolist()) == starts.tolist()
+    assert all(data[a:a + 400] <= data[b:b + 400] for a, b in zip(order[:-1].tolist(), order[1:].tolist()))
+
+
+def test_words_are_coded_where_segments_are_found(spark, texts, monkeypatch):
+    """Two Python steps in a row would be two Python processes for each task."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(suffix, "written", seen)
+    suffix.repeats(table(spark, texts).selectExpr("doc_id AS key", "cast(coalesce(text, '') AS binary) AS raw"), 204, 51, words=51)
+    assert plans[0].count("MapInArrow") == 1
+
+
 # --- sketches ----------------------------------------------------------------------
 
 
